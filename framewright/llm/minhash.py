@@ -54,12 +54,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingle hashes of many texts at once, from their bytes."""
 
-    def __init__(self, words: int):
+    def __init__(self, words: int, punctuation: bool = True):
+        """punctuation: whether ASCII marks belong to words; else they part words, as white space does."""
         self.words = words
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[ord("A") : ord("Z") + 1] += 32
         self.space = np.zeros(256, dtype=bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
+        if not punctuation:
+            self.space[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
         self.code = mix(np.arange(1, 257, dtype=U64) * U64(MULTIPLIER))
         self.powers = np.ones(1, dtype=U64)
         self.inverse = np.ones(1, dtype=U64)
@@ -90,21 +93,30 @@ class Shingler:
         words = mix((sums[b] - sums[a]) * self.inverse[a] + (b - a).astype(U64) * U64(MULTIPLIER))
         return words, np.diff(np.searchsorted(a, starts))
 
-    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct shingle hashes of the texts, sorted within each, and their numbers (null: empty)."""
+    def words_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, and the number in each (null: none)."""
         texts = texts.fill_null("").cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-        words, counts = self.word_hashes(data, offsets - offsets[0])
+        return self.word_hashes(data, offsets - offsets[0])
+
+    def rolled(self, words: np.ndarray) -> np.ndarray:
+        """Rolling hash of the shingle that starts at each word; the last few are not whole."""
+        out = words.copy()
+        for step in range(1, min(self.words, len(words))):
+            out[: len(words) - step] = out[: len(words) - step] * U64(0xC2B2AE3D27D4EB4F) + words[step:]
+        return mix(out)
+
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingle hashes of the texts, sorted within each, and their numbers (null: empty)."""
+        words, counts = self.words_of(texts)
         k = self.words
-        rolled = words.copy()
-        for step in range(1, k):
-            rolled[: len(words) - step] = rolled[: len(words) - step] * U64(0xC2B2AE3D27D4EB4F) + words[step:]
+        rolled = self.rolled(words)
         found, sizes = [], np.zeros(len(counts), dtype=np.int64)
         ends = np.cumsum(counts)
         for doc, (n, end) in enumerate(zip(counts.tolist(), ends.tolist())):
             if n >= k:
-                own = np.unique(mix(rolled[end - n : end - k + 1]))
+                own = np.unique(rolled[end - n : end - k + 1])
             elif n:
                 whole = 0
                 for w in words[end - n : end].tolist():

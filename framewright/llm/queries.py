@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontaminate import leaks
+from .language_id import language_id
 from .minhash import near_duplicates
 from .packing import pack
+from .secrets import find_secrets
+from .sharding import shard_documents
 from .token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +33,29 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_dedup, op3_best_fit_packing, op6_token_files)}
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_minhash_dedup, op3_best_fit_packing, op5_minimax_shards, op6_token_files, op7_secret_ownership, op8_benchmark_tiling, op9_language_id)
+}
 
 ORACLES: dict[str, str] = {}
