@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontaminate import leaks
+from .fingerprints import fingerprints
 from .language_id import language_id
 from .minhash import near_duplicates
 from .packing import pack
@@ -53,9 +54,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op3_best_fit_packing, op5_minimax_shards, op6_token_files, op7_secret_ownership, op8_benchmark_tiling, op9_language_id)
+    for f in (op1_minhash_dedup, op3_best_fit_packing, op5_minimax_shards, op6_token_files, op7_secret_ownership, op8_benchmark_tiling, op9_language_id, op10_imatch_fingerprints)
 }
 
 ORACLES: dict[str, str] = {}
