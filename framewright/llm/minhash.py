@@ -8,7 +8,8 @@ reaches the threshold.
 
 In each bucket of a band all members are compared with one pivot, the member
 that shares most buckets. Members that this leaves in different components are
-then compared with each other, in every bucket, so no pair of a bucket is lost.
+then compared with each other, in every bucket, unless what is known of both
+against their common pivot rules similarity out, so no pair of a bucket is lost.
 A bucket of near copies thus costs a number of comparisons in proportion to its
 size, not to its square.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch
 from .components import components
@@ -228,12 +229,15 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return keyed.mapInArrow(collect, "id long, items array<long>").join(ids, "id", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of the intersection."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    counted = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("total"))
-    return counted.where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("total") - F.col("shared"))).select("a", "b").distinct()
+    return both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("shared"))
+
+
+def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union"""
+    return F.lit(100 + percent) * shared.cast("long") >= F.lit(percent) * (n + m).cast("long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -255,22 +259,55 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links that connect whatever the buckets' verified pairs connect; members: (key, id, n, c)."""
-    fits = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    rank = members.groupBy("id").agg(F.sum("c").alias("weight"))
-    pivots = members.join(rank, "id").groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("pivot"), F.col("n").alias("m")), F.struct("weight", -F.col("id"))).alias("p")).select("key", "p.*")
-    first = members.join(pivots, "key").where(F.col("id") != F.col("pivot")).where(fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    """Verified links that connect whatever the buckets' similar pairs connect; members: (key, id, n, c)."""
+    weights = scratch.write(members.groupBy("id").agg(F.sum("c").alias("weight"), F.first("n").alias("n")), "weights")
+    pivots = members.join(weights.drop("n"), "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
+    first = members.join(pivots, "key").where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     first = scratch.write(first, "first_pairs")
-    ids = members.select("id").distinct()
-    sets = scratch.write(shingle_sets(docs, ids, words), "sets")
-    links = scratch.write(verified(first, sets, percent), "first_links")
+    sets = scratch.write(shingle_sets(docs, weights.select("id"), words), "sets")
+    scored = scratch.write(compared(first, sets), "scored")
+    links = scored.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
     joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "joined")
     placed = members.where("c > 2").join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = scratch.write(placed.join(apart, "key", "left_semi").select("key", "id", "n", "component"), "rest")
-    other = rest.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("component").alias("component2"))
-    crossing = rest.join(other, (rest.key == other.key) & (F.col("component") < F.col("component2")) & fits).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    anchored = placed.join(apart, "key", "left_semi").join(anchors(scored, weights), "id").select("key", "id", "n", "component", "anchor", "common")
+    rest = scratch.write(anchored, "rest")
+    second = crossing(rest, percent).unionAll(sharing(rest, sets, percent)).distinct()
     tested = first.unionAll(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = scratch.write(crossing.join(tested, ["a", "b"], "left_anti"), "second_pairs")
-    return links.unionAll(scratch.write(verified(second, sets, percent), "second_links"))
+    second = scratch.write(second.join(tested, ["a", "b"], "left_anti"), "second_pairs")
+    more = compared(second, sets).where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    return links.unionAll(scratch.write(more, "second_links"))
+
+
+def anchors(scored: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, anchor, common): of the pivots that a member was compared with, and itself, the one that shares most buckets, and the shingles common to both."""
+    own = weights.select("id", F.col("id").alias("anchor"), F.col("n").cast("int").alias("common"), "weight")
+    others = scored.select(F.col("b").alias("id"), F.col("a").alias("anchor"), F.col("shared").alias("common")).join(weights.select(F.col("id").alias("anchor"), "weight"), "anchor")
+    best = F.max_by(F.struct("anchor", "common"), F.struct("weight", -F.col("anchor")))
+    return own.unionByName(others).groupBy("id").agg(best.alias("b")).select("id", "b.*")
+
+
+def crossing(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components that may be similar though they share nothing that their anchor lacks.
+
+    Two sets with one anchor that share no shingle outside of it share at most what
+    each has in common with it, which rules out most pairs of a group of near copies.
+    """
+    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "anchor", "common")])
+    fits = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
+    may = (F.col("anchor") != F.col("anchor2")) | similar(F.least("common", "common2"), F.col("n"), F.col("n2"), percent)
+    pairs = rest.join(other, (rest["key"] == other["key"]) & (F.col("component") < F.col("component2")) & fits & may)
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
+def sharing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with one anchor in different components that share shingles outside of it, enough to be similar perhaps."""
+    one = rest.drop("key").distinct().where("id <> anchor")
+    both = one.join(sets, "id").join(sets.select(F.col("id").alias("anchor"), F.col("items").alias("there")), "anchor")
+    extra = both.select("anchor", "id", "n", "component", "common", F.explode(F.array_except("items", "there")).alias("item"))
+    meeting = extra.groupBy("anchor", "item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("anchor", "item")
+    extra = extra.join(meeting, ["anchor", "item"])
+    other = extra.select("anchor", "item", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "common")])
+    pairs = extra.join(other, ["anchor", "item"]).where("component < component2").groupBy("id", "id2", "n", "n2", "common", "common2").agg(F.count(F.lit(1)).alias("more"))
+    return pairs.where(similar(F.least("common", "common2") + F.col("more"), F.col("n"), F.col("n2"), percent)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
