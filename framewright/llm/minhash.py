@@ -258,6 +258,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "class_id")
 
 
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay: of each group of near duplicates the one with the smallest doc_id, once.
+
+    Rows of a doc_id that stays all do if their texts differ; rows without doc_id stay.
+    """
+    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    once = named.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return once.unionAll(docs.where("doc_id is null"))
+
+
 def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links that connect whatever the buckets' similar pairs connect; members: (key, id, n, c)."""
     weights = scratch.write(members.groupBy("id").agg(F.sum("c").alias("weight"), F.first("n").alias("n")), "weights")
