@@ -1,0 +1 @@
+"""The keyed folds on streams."""
