@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.frames import BY_SOURCE
+from ..sources.frames import by_source
 
 
-def reasons(frames: DataFrame, max_gap: int, key: Column | None = None, order=BY_SOURCE) -> DataFrame:
+def reasons(frames: DataFrame, max_gap: int, key: Column | None = None, order=None) -> DataFrame:
     """The reason why a frame doesn't continue the one before: start, source_or_geometry_change, missing_frame, time_gap, or null.
 
     Time or order that runs back is an error.
     """
-    key = F.lit(0) if key is None else key
+    key, order = F.lit(0) if key is None else key, order or by_source()
     keyed = frames.withColumn("__key", key)
     last_pts, last_ordinal, last_key = (F.lag(c).over(order) for c in ("pts", "ordinal", "__key"))
     wrong = (F.col("pts") <= last_pts) | (F.col("ordinal") <= last_ordinal)
@@ -29,11 +29,11 @@ def reasons(frames: DataFrame, max_gap: int, key: Column | None = None, order=BY
 def segments(frames: DataFrame, max_gap: int, key: Column | None = None) -> DataFrame:
     """Frames with the number of their segment, from 1."""
     marked = reasons(frames, max_gap, key)
-    return marked.withColumn("segment", F.sum(F.when(F.col("reason").isNotNull(), 1).otherwise(0)).over(BY_SOURCE))
+    return marked.withColumn("segment", F.sum(F.when(F.col("reason").isNotNull(), 1).otherwise(0)).over(by_source()))
 
 
 def reset_floor(frames: DataFrame, key: Column) -> DataFrame:
     """The latest ordinal at or before each frame at which the key changed."""
-    last = F.lag(key).over(BY_SOURCE)
+    last = F.lag(key).over(by_source())
     reset = F.when(F.col("ordinal") == 0, F.lit(True)).otherwise(~key.eqNullSafe(last))
-    return frames.withColumn("is_reset", reset).withColumn("floor", F.max(F.when(F.col("is_reset"), F.col("ordinal"))).over(BY_SOURCE))
+    return frames.withColumn("is_reset", reset).withColumn("floor", F.max(F.when(F.col("is_reset"), F.col("ordinal"))).over(by_source()))

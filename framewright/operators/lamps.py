@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..sources.frames import BY_SOURCE
+from ..sources.frames import by_source
 
 UNKNOWN = "unknown"
 
@@ -31,7 +31,7 @@ def phases(rows: DataFrame, config: LampConfig) -> DataFrame:
     thresholds, and its first value is no change.
     """
     usable = F.col("status") == "usable"
-    runs = rows.withColumn("run", F.sum(F.when(usable, 0).otherwise(1)).over(BY_SOURCE))
+    runs = rows.withColumn("run", F.sum(F.when(usable, 0).otherwise(1)).over(by_source()))
     raw = F.when(F.col("brightness") >= config.on, "on").when(F.col("brightness") <= config.off, "off")
     within = Window.partitionBy("source_id", "run").orderBy("ordinal")
     held = runs.where(usable).withColumn("phase", F.last(raw, ignorenulls=True).over(within))

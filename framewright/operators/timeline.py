@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..sources.frames import BY_SOURCE
+from ..sources.frames import by_source
 
 
 def normalised(frames: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def extent(frames: DataFrame) -> DataFrame:
 
 def with_durations(timeline: DataFrame, stream_end: Column) -> DataFrame:
     """A zero duration becomes the time to the next frame, or to the stream's end."""
-    following = F.lead("pts").over(BY_SOURCE) - F.col("pts")
+    following = F.lead("pts").over(by_source()) - F.col("pts")
     return timeline.withColumn("duration", F.coalesce(F.nullif("duration", F.lit(0)), following, stream_end - F.col("pts")))
 
 
@@ -36,7 +36,7 @@ def lower_bound(frames: DataFrame, tick: int) -> DataFrame:
 
 def clipped_windows(blocks: DataFrame, start: int, end: int) -> DataFrame:
     """Blocks (source_id, ordinal, ticks, length) that meet the window: how many, first and last clipped tick, and overlaps of neighbours."""
-    before = F.lag(F.col("ticks") + F.col("length")).over(BY_SOURCE)
+    before = F.lag(F.col("ticks") + F.col("length")).over(by_source())
     marked = blocks.withColumn("overlap", F.coalesce(before > F.col("ticks"), F.lit(False)))
     met = marked.where((F.col("ticks") < end) & (F.col("ticks") + F.col("length") > start))
     return met.groupBy("source_id").agg(

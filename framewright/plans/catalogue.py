@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..operators import association, boundaries, evaluation, geometry, lamps, lanes, planning, receipts, timeline, tracking
-from ..sources.frames import BY_SOURCE, frames
+from ..operators import association, audit, boundaries, evaluation, geometry, lamps, lanes, planning, receipts, timeline, tracking
+from ..sources.frames import by_source, frames
+from ..session import shared_folder
 from ..sources.inputs import closed_shape
+from ..streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -522,10 +524,39 @@ k AS (SELECT source_id, ordinal, z AS x, 0.0::DOUBLE AS v, 1.0::DOUBLE AS a, 0.0
 SELECT source_id, ordinal, round(x, 5) AS x, round(v, 5) AS v FROM k""")
 def kalman_filter_1d(read):
     """One channel of the motion filter as a native fold: measurement variance 4, spectral density 1, time in days."""
-    rows = ticked(read).withColumn("z", F.col("cents") / 100.0).withColumn("dt", (F.col("ticks") - F.lag("ticks").over(BY_SOURCE)) / float(DAY))
+    rows = ticked(read).withColumn("z", F.col("cents") / 100.0).withColumn("dt", (F.col("ticks") - F.lag("ticks").over(by_source())) / float(DAY))
     ordered = rows.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "z", "dt"))).alias("rows"))
     pred = "named_struct('x', s.x + r.dt * s.v, 'v', s.v, 'a', s.a + r.dt * (2 * s.b + r.dt * s.c) + r.dt * r.dt * r.dt / 3, 'b', s.b + r.dt * s.c + r.dt * r.dt / 2, 'c', s.c + r.dt)"
     corr = "named_struct('o', r.ordinal, 'x', p.x + p.a / (p.a + 4) * (r.z - p.x), 'v', p.v + p.b / (p.a + 4) * (r.z - p.x), 'a', p.a - p.a / (p.a + 4) * p.a, 'b', p.b - p.a / (p.a + 4) * p.b, 'c', p.c - p.b / (p.a + 4) * p.b)"
     first = "named_struct('o', r.ordinal, 'x', r.z, 'v', 0D, 'a', 1D, 'b', 0D, 'c', 1D)"
     fold = f"aggregate(rows, cast(array() as array<struct<o:bigint,x:double,v:double,a:double,b:double,c:double>>), (acc, r) -> array_append(acc, if(size(acc) = 0, {first}, element_at(transform(transform(array(element_at(acc, -1)), s -> {pred}), p -> {corr}), 1))))"
     return ordered.select("source_id", F.explode(F.expr(fold)).alias("e")).select("source_id", F.col("e.o").alias("ordinal"), F.round("e.x", 5).alias("x"), F.round("e.v", 5).alias("v"))
+
+
+# --- streams and audits
+
+
+@query(f"WITH {FRAMES}, {lamp_sql()} SELECT source_id, ordinal, ticks, phase, changes FROM p")
+def stream_lamp(read):
+    """The lamp fold as a stream over files, run until all are read."""
+    rows = lamp_rows(read)
+    spark = rows.sparkSession
+    folder = shared_folder(spark, "stream-lamp")
+    rows.write.parquet(f"{folder}/in")
+    out = folds.lamp_phase_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), LAMP)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query()
+def candidate_catalogue(read):
+    rows = ticked(read)
+    asked = rows.where("event_type = 'signup'").select("source_id", F.col("ordinal").alias("candidate"), F.col("ticks").alias("start"), (F.col("ticks") + HOUR).alias("end"), F.when(F.col("cents") % 2 == 0, "left").otherwise("right").alias("direction"))
+    samples = rows.where("event_type = 'view'").select("source_id", "ticks", F.lit(60_000_000).alias("length"))
+    left, right = (lamps.window_report(lamp_rows(read, k), *WINDOW, LAMP).select("source_id", F.col("state").alias(f"{s}_state"), F.col("blink_evidence").alias(f"{s}_blinks")) for k, s in ((1, "left"), (7, "right")))
+    return audit.catalogue(asked, samples, left.join(right, "source_id"), DAY, DAY)
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS source_id, CAST(NULL AS BIGINT) AS ordinal, '' AS problem WHERE false")
+def tracking_report_audit(read):
+    return audit.report_problems(tracking.track(event_detections(read), POLICY))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-BY_SOURCE = Window.partitionBy("source_id").orderBy("ordinal")
+def by_source():
+    """The window of a source's frames in order."""
+    return Window.partitionBy("source_id").orderBy("ordinal")
+
 
 
 def micros(column: str):
