@@ -132,11 +132,8 @@ def redact(docs: DataFrame, owner: list[str] | None = None, repository: list[str
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("__spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     joined = docs.join(marks, (F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == marks["id"]) & (F.xxhash64(docs["text"]) == marks["h"]), "left")
-    text = F.when(F.col("__spans").isNull(), docs["text"]).otherwise(clean).alias("text")
-    columns = []
-    for c in docs.columns:
-        if c == n_chars:
-            columns.append(F.when(F.col("__spans").isNull(), docs[c]).otherwise(F.length(clean)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(text if c == "text" else docs[c])
-    return joined.select(*columns)
+    named = joined.withColumn("__clean", F.when(F.col("__spans").isNotNull(), clean))
+    changed = {"text": F.coalesce("__clean", docs["text"])}
+    if n_chars in docs.columns:
+        changed[n_chars] = F.when(F.col("__clean").isNull(), docs[n_chars]).otherwise(F.length("__clean")).cast(docs.schema[n_chars].dataType)
+    return named.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
