@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .fingerprints import fingerprints
 from .language_id import language_id
 from .minhash import near_duplicates
+from .oracles import ORACLES as ORACLES
 from .packing import pack
 from .secrets import find_secrets
 from .sharding import shard_documents
@@ -75,5 +76,3 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_minhash_dedup, op2_warc_index, op3_best_fit_packing, op4_chat_assembly, op5_minimax_shards, op6_token_files, op7_secret_ownership, op8_benchmark_tiling, op9_language_id, op10_imatch_fingerprints)
 }
-
-ORACLES: dict[str, str] = {}
