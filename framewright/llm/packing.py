@@ -209,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     # the plan's size depends on the capacity alone
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to")))
     return placed.select(
-        *pieces.columns,
+        *[F.col(c).cast("long") if c == "length" else F.col(c) for c in pieces.columns],
         F.expr("p_sequence + (rank - p_from) div p_copies").alias("sequence_id"),
         F.expr("p_offset + length * ((rank - p_from) % p_copies)").alias("offset"),
     )
