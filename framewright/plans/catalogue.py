@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..operators import association, audit, boundaries, evaluation, geometry, lamps, lanes, planning, receipts, timeline, tracking
+from ..operators import association, audit, boundaries, evaluation, geometry, lamps, lanes, planning, receipts, replay, timeline, tracking
 from ..sources.frames import by_source, frames
 from ..session import shared_folder
 from ..sources.inputs import closed_shape
@@ -560,3 +560,33 @@ def candidate_catalogue(read):
 @query("SELECT CAST(NULL AS BIGINT) AS source_id, CAST(NULL AS BIGINT) AS ordinal, '' AS problem WHERE false")
 def tracking_report_audit(read):
     return audit.report_problems(tracking.track(event_detections(read), POLICY))
+
+
+# --- replay
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT source_id, ordinal, ticks, event_type = 'signup' AS asked FROM t), x AS (SELECT source_id, ordinal AS candidate, greatest(ticks - {DAY}, 0) AS a, ticks + {DAY} AS b FROM c WHERE asked AND ordinal IN (1, 4, 9, 16, 25)),
+w AS (SELECT x.source_id, candidate, min(c.ordinal) AS first, count(*) AS n FROM x JOIN c ON c.source_id = x.source_id AND c.ticks >= a AND c.ticks < b GROUP BY ALL),
+m AS (SELECT *, max(first + n) OVER (PARTITION BY source_id ORDER BY first, n, candidate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM w),
+g AS (SELECT *, sum(CASE WHEN first <= ended THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY first, n, candidate) - 1 AS grp FROM m)
+SELECT source_id, CAST(grp AS INTEGER) AS "group", min(first) AS first, max(first + n) - min(first) AS count, count(*) AS n_windows FROM g GROUP BY source_id, grp""")
+def batch_window_plan(read):
+    rows = ticked(read)
+    asked = rows.where("event_type = 'signup'").select("source_id", F.col("ordinal").alias("candidate"), F.greatest(F.col("ticks") - DAY, F.lit(0)).alias("context_from"), (F.col("ticks") + DAY).alias("context_to"))
+    return replay.batch_windows(rows, asked, [1, 4, 9, 16, 25])
+
+
+@query(f"""WITH {FRAMES}, k AS (SELECT source_id, ordinal, lag(cents % 3) OVER (PARTITION BY source_id ORDER BY ordinal) IS DISTINCT FROM cents % 3 AS reset FROM t) SELECT source_id, ordinal FROM k WHERE reset OR ordinal = 0""")
+def replay_resets(read):
+    rows = lane_rows(read).select("source_id", "ordinal", "lane", "interior", "cents").join(lamp_rows(read).drop("ticks"), ["source_id", "ordinal"])
+    found = replay.analyse(ticked(read).select("source_id", "ordinal", "pts", "ticks"), rows, replay.source_key(F.col("cents") % 3), 3 * DAY, HOUR, WINDOW, LAMP)
+    return found["resets"]
+
+
+@query(f"""WITH {FRAMES} SELECT source_id, ordinal, CASE WHEN event_type = 'error' THEN 'identity_uncertain' WHEN cents % 5 = 0 THEN 'model_uncertain' WHEN cents % 7 = 0 THEN 'identity_uncertain' WHEN cents % 11 = 0 THEN 'model_uncertain'
+ WHEN event_type = 'view' THEN 'usable' WHEN event_type = 'click' THEN 'model_uncertain' ELSE 'occluded' END AS status FROM t""")
+def lamp_roi_status(read):
+    kind, cents = F.col("event_type"), F.col("cents")
+    visibility = F.when(kind == "view", "visible").when(kind == "click", "unknown").otherwise("occluded")
+    status = replay.roi_gate(F.when(kind != "error", 1), F.when(cents % 5 != 0, 1), cents % 7 != 0, cents % 11 != 0, visibility)
+    return ticked(read).select("source_id", "ordinal", status.alias("status"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.clock import Clock, exact
-from framewright.operators import audit, boundaries, evaluation, lamps, lanes, planning, receipts, tracking
+from framewright.operators import audit, boundaries, evaluation, lamps, lanes, planning, receipts, replay, tracking
 from framewright.sources import inputs, media
 from framewright.streaming import folds
 
@@ -254,3 +254,19 @@ def test_audits(spark):
     assert [r[0] is None for r in rows.select(audit.bracket_problem(["a", "b", "c", "d"])).collect()] == [True, False, False]
     reports = pd.DataFrame([(1, 0, "observed", 1, 0), (1, 0, "observed", 2, 0)], columns=["source_id", "ordinal", "state", "track_id", "det_index"])
     assert [r.problem for r in audit.report_problems(spark.createDataFrame(reports)).collect()] == ["det_index twice"]
+
+
+def test_pixels_and_modes(spark):
+    bgr = bytes(range(48))
+    frame = spark.createDataFrame([(1, 0, 4, 4, bytearray(bgr), 0.5, 0.0, 3.2, 2.9, "usable"), (1, 1, 4, 4, bytearray(bgr), 0.5, 0.0, 1.2, 2.9, "usable"), (1, 2, 4, 4, bytearray(bgr), 0.0, 0.0, 4.0, 4.0, "occluded")], "source_id long, ordinal long, width int, height int, bgr binary, left_x1 double, left_y1 double, left_x2 double, left_y2 double, left_status string")
+    got = replay.brightness(replay.pixel_window(frame, 0, 3), "left", 2).orderBy("ordinal").select("status", "total", "samples").collect()
+    want = sum(bgr[3:9]) + sum(bgr[15:21])
+    assert [tuple(r) for r in got] == [("usable", want, 12), ("too_small", None, None), ("occluded", None, None)]
+    with pytest.raises(ValueError):
+        replay.pixel_window(frame, 0, 121)
+    with pytest.raises(Exception, match="wrong size"):
+        replay.pixel_window(frame.withColumn("width", F.lit(5)), 0, 3).collect()
+    rows = spark.createDataFrame([(1, "a"), (1, None), (2, None)], "source_id long, p string")
+    with pytest.raises(Exception, match="mixes"):
+        replay.one_mode(rows, "p").collect()
+    assert replay.one_mode(rows.where("source_id = 2"), "p").count() == 1
