@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -132,12 +134,14 @@ REPORT = "source_id long, ordinal long, segment int, reset_reason string, state
 
 def run_frames(tracker: Tracker, rows: pd.DataFrame) -> list[dict]:
     """Feed rows (source_id, ordinal, pts, det_index, class_id, box, score; one without det_index for an empty frame) in order."""
-    out = []
-    for (ordinal, pts), frame in rows.sort_values(["ordinal", "det_index"]).groupby(["ordinal", "pts"], sort=True):
-        seen = [{"index": int(r.det_index), "class_id": int(r.class_id), "box": (r.x1, r.y1, r.x2, r.y2), "score": r.score} for r in frame.itertuples() if not pd.isna(r.det_index)]
-        for r in tracker.update(int(ordinal), int(pts), seen):
-            box = dict(zip(("x1", "y1", "x2", "y2"), r.pop("box")))
-            out.append({"source_id": int(rows["source_id"].iloc[0]), "ordinal": int(ordinal), **r, **box})
+    fields = ["ordinal", "pts", "det_index", "class_id", "x1", "y1", "x2", "y2", "score"]
+    ordered = rows.sort_values(["ordinal", "det_index"])
+    source, out = int(rows["source_id"].iloc[0]), []
+    for (ordinal, pts), frame in groupby(zip(*(ordered[c].tolist() for c in fields)), key=itemgetter(0, 1)):
+        seen = [{"index": int(r[2]), "class_id": int(r[3]), "box": r[4:8], "score": r[8]} for r in frame if not pd.isna(r[2])]
+        for r in tracker.update(ordinal, pts, seen):
+            x1, y1, x2, y2 = r.pop("box")
+            out.append({"source_id": source, "ordinal": ordinal, **r, "x1": x1, "y1": y1, "x2": x2, "y2": y2})
     return out
 
 
