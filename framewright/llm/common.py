@@ -12,8 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows in a batch that goes to a Python worker, where the session doesn't say: whole texts can be long.
+ARROW_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, unless their path has it already."""
+    """Make this package importable in Python workers, unless their path has it already, and keep their batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     root = Path(__file__).resolve().parents[2]
     on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]

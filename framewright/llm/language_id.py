@@ -40,7 +40,7 @@ CALIBRATION = 5
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.05, 0.05, 3
 SCALE = 20.0
 #: Bytes of text that one pass works on.
-SLICE = 2 << 20
+SLICE = 1 << 20
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []

@@ -34,7 +34,7 @@ from .tokens import batches
 #: 40 bands of 6: a pair at similarity 0.8 meets in a bucket but for 5 in a million cases.
 BANDS, ROWS = 40, 6
 #: Bytes of text hashed at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bits of the map that says which documents' sets are needed again.
 MAP_BITS = 1 << 20
 
@@ -153,7 +153,7 @@ def super_minhash(elements: np.ndarray, sizes: np.ndarray, slots: int) -> np.nda
     np.minimum.at(flat, owner * slots + slot, value)
     open_docs = (out == EMPTY).any(1) & (sizes > 0)
     left = np.flatnonzero(open_docs[owner])
-    order = np.tile(np.arange(slots, dtype=np.uint16), (len(left), 1))
+    order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(left), 1))
     row = np.arange(len(left))
     order[row, slot[left]] = 0
     order[:, 0] = slot[left]
@@ -162,7 +162,7 @@ def super_minhash(elements: np.ndarray, sizes: np.ndarray, slots: int) -> np.nda
         k, value = draw(elements[left], level)
         here, there = order[row, level], order[row, k]
         order[row, level], order[row, k] = there, here
-        np.minimum.at(flat, owner[left] * slots + there, value)
+        np.minimum.at(flat, owner[left] * slots + there.astype(np.int64), value)
         level += 1
         ids = np.flatnonzero(open_docs)
         open_docs[ids[~(out[ids] == EMPTY).any(1)]] = False

@@ -126,7 +126,12 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def batches(table_batches, size: int = BATCH_BYTES):
-    """Slices of the incoming record batches with about ``size`` bytes of text at most (one row at least)."""
+    """The incoming rows in batches of about ``size`` bytes of text at most (one row at least): larger ones are cut, smaller ones joined."""
+    held, total = [], 0
+
+    def whole():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in table_batches:
         if batch.num_rows == 0:
             continue
@@ -134,4 +139,11 @@ def batches(table_batches, size: int = BATCH_BYTES):
         part = (np.cumsum(lengths) - lengths) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a)
+            more = int(lengths[a:b].sum())
+            if held and total + more > size:
+                yield whole()
+                held, total = [], 0
+            held.append(batch.slice(a, b - a))
+            total += more
+    if held:
+        yield whole()
