@@ -7,6 +7,8 @@ once, and the ids of the texts are gathered with numpy.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
 import numpy as np
@@ -20,7 +22,7 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that one gather works on.
 BATCH_BYTES = 14 << 20
 #: Runs whose ids a task remembers between batches; later ones are encoded anew (results don't depend on it).
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def spans(sizes: np.ndarray) -> np.ndarray:
@@ -54,6 +56,9 @@ class WordEncoder:
         vocabulary = self.whole.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.known = pa.array([], pa.string())
         self.known_ids, self.known_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -125,6 +130,17 @@ def word_encoder(path: str) -> WordEncoder:
     return _CODERS[path]
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back: a worker process stays for later tasks."""
+    for coder in _CODERS.values():
+        coder.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(table_batches, size: int = BATCH_BYTES):
     """The incoming rows in batches of about ``size`` bytes of text at most (one row at least): larger ones are cut, smaller ones joined."""
     held, total = [], 0
@@ -147,3 +163,5 @@ def batches(table_batches, size: int = BATCH_BYTES):
             total += more
     if held:
         yield whole()
+    held = None
+    release()
