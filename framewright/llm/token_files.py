@@ -193,7 +193,7 @@ def open_shard(uri: str) -> WaveletShard:
 
 
 INDEX_SCHEMA = "part int, shard int, file string, first_doc long, docs long, tokens long"
-READ_SCHEMA = "doc_id long, within long, n_tokens long, ids_crc32 long, part int, shard int"
+READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int"
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -248,7 +248,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(row_tasks(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(row_tasks(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(write, INDEX_SCHEMA)
 
 
@@ -257,7 +257,7 @@ NO_ID = -(1 << 63)
 
 
 def read_shards(index: DataFrame) -> DataFrame:
-    """Per document of the listed files: its place in the shard, its length and the crc32 of its ids."""
+    """Per document of the listed files (file, part, shard, base: ids of all earlier files): its place, its length and the crc32 of its ids."""
 
     def read(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
@@ -270,12 +270,12 @@ def read_shards(index: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()),
+                    [pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), pa.array(starts + row["base"], pa.int64()), pa.array(ends - starts, pa.int64()),
                      pa.array(crc, pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32())],
-                    names=["doc_id", "within", "n_tokens", "ids_crc32", "part", "shard"])
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "shard"])
 
     spark = index.sparkSession
-    return index.select("file", "part", "shard").repartition(row_tasks(spark), "file").mapInArrow(read, READ_SCHEMA)
+    return index.select("file", "part", "shard", "base").repartition(row_tasks(spark), "file").mapInArrow(read, READ_SCHEMA)
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -291,7 +291,5 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_tok
     before_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before_shard = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("p0", F.coalesce(F.sum("in_part").over(before_part), F.lit(0))).select("part", "p0")
-    places = index.withColumn("s0", F.coalesce(F.sum("tokens").over(before_shard), F.lit(0))).join(starts, "part").select("part", "shard", (F.col("p0") + F.col("s0")).alias("base"))
-    return read_shards(index).join(places, ["part", "shard"]).select(
-        "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "part", "shard"
-    )
+    based = index.withColumn("s0", F.coalesce(F.sum("tokens").over(before_shard), F.lit(0))).join(starts, "part").withColumn("base", F.col("p0") + F.col("s0"))
+    return read_shards(based)
