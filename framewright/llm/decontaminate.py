@@ -1,6 +1,6 @@
 """Benchmark passages in documents, by greedy string tiling.
 
-Words are compared in lower case and without ASCII marks. Runs of MIN_TILE words
+Words are compared in lower case, of all letters, and without ASCII marks. Runs of MIN_TILE words
 are found by a rolling Karp-Rabin hash that is looked up among the benchmark's;
 runs on one diagonal join to maximal matches. For each document and item the
 longest match whose words are unmarked on both sides becomes a tile, again and
@@ -23,6 +23,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, ship
@@ -65,13 +66,18 @@ def tile(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndar
     return tiles
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """The texts in lower case; the Shingler by itself lowers A to Z only. Large strings, as some letters grow."""
+    return pc.utf8_lower(texts.cast(pa.large_string()))
+
+
 class Block:
     """Some benchmark items with the rolling hashes of their runs."""
 
     def __init__(self, ids: list[int], texts: list[str], least: int):
         shingler = Shingler(least, punctuation=False)
         self.ids = ids
-        self.words, counts = shingler.words_of(pa.array(texts, pa.string()))
+        self.words, counts = shingler.words_of(lowered(pa.array(texts, pa.string())))
         self.starts = np.concatenate([[0], np.cumsum(counts)])
         runs, item = shingler.rolled(self.words), np.repeat(np.arange(len(ids)), counts)
         place = np.arange(len(self.words)) - self.starts[item]
@@ -115,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, cover: f
         def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(least, punctuation=False)
             for batch in batches(incoming, SLICE):
-                words, counts = shingler.words_of(batch.column("text"))
+                words, counts = shingler.words_of(lowered(batch.column("text")))
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 where, hit = block.find(shingler.rolled(words))
                 doc = np.searchsorted(starts, where, "right") - 1

@@ -281,6 +281,23 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(table(spark, docs), bench).collect()) == [3, 4, 5, 6]
 
 
+def test_leaks_in_capitals_with_accents(spark):
+    draw = random.Random(12)
+    said = [f"{draw.choice(['ción', 'éonle', 'ñandú', 'žluť', 'над'])}{draw.choice('àêïõüç')}{draw.randrange(10**6)}" for _ in range(40)]
+    capitals = [w.upper() for w in said]
+    docs = [
+        (1, words(draw, 50) + " " + " ".join(capitals) + " " + words(draw, 50)),
+        (2, " ".join(capitals[20:]) + " between " + " ".join(capitals[:20])),
+        (3, " ".join(capitals[:15])),
+    ]
+    for item in (said, capitals):
+        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        found = {(r.doc_id, r.item_id): (r.tiles, r.coverage) for r in decontaminate.leaks(table(spark, docs), bench).collect()}
+        assert found == {(1, 1): (1, 1.0), (2, 1): (2, 1.0)}
+        lower = table(spark, [(i, t.lower()) for i, t in docs])
+        assert [r.doc_id for r in decontaminate.without_leaks(lower, bench).collect()] == [3]
+
+
 def brute_tiles(item, doc, least):
     marked_i, marked_d, total = set(), set(), 0
     while True:
