@@ -3,13 +3,12 @@
 Terms are the distinct lower-cased words. The lexicon holds the terms whose
 inverse document frequency lies in a band: in at most one of FEW documents and at
 least one of MANY (two documents at least), counted over all documents. Hashes
-deal it at random into COARSE subsets that hold all of it, and into FINE smaller
-ones that hold a part; for each subset the hash of the document's terms in it is
-one entry of the fingerprint. A document with more than LOAD terms in a coarse
-subset on average has entries for fine ones only, as a large set of terms rarely
-stays as it is. Distinct terms are hashed by an order-free sum, which stands for
-hashing them sorted. A document without any term of the lexicon has one entry,
-the hash of all its sorted terms.
+deal it at random into SUBSETS subsets, the same for every document whatever its
+size, that together hold all of it; for each subset the hash of the document's
+terms in it is one entry of the fingerprint. There are so many subsets because a
+large set of terms rarely stays as it is. Distinct terms are hashed by an
+order-free sum, which stands for hashing them sorted. A document without any term
+of the lexicon has one entry, the hash of all its sorted terms.
 
 At least one document in MANY has each term of the lexicon, so it has at most
 MANY times the mean number of distinct terms of a document, however many
@@ -32,14 +31,14 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, row_tasks
 
-COARSE, FINE, FINE_CELLS, LOAD = 64, 128, 512, 3
+SUBSETS = 511
 FEW, MANY = 10, 2000
 #: A larger lexicon isn't broadcast.
 BROADCAST_TERMS = 2_000_000
 NO_ID = -(1 << 63)
-#: Entries keep this many bits of a hash, below the number of their subset.
-ENTRY_BITS = 23
-REST = COARSE + FINE  # the subset number of the entry of documents without a term of the lexicon
+#: Entries keep this many bits of a hash, below the number of their subset; both fill a positive int.
+ENTRY_BITS = 22
+REST = SUBSETS  # the subset number of the entry of documents without a term of the lexicon
 
 
 def terms(text: Column) -> Column:
@@ -73,28 +72,20 @@ def lexicon(scratch: Scratch, texts: DataFrame, documents: int) -> DataFrame:
     """(term, subset, mark): the terms within the band, their subset and hash."""
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = counts.where((F.col("df") >= max(2, documents / MANY)) & (F.col("df") <= max(2, documents / FEW)))
-    draw = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "term"), F.lit(n)).cast("int")
-    coarse = band.select("term", draw("coarse", COARSE).alias("subset"))
-    fine = band.select("term", draw("fine", FINE_CELLS).alias("cell")).where(F.col("cell") < FINE).select("term", (F.col("cell") + COARSE).alias("subset"))
-    return scratch.write(coarse.unionAll(fine).withColumn("mark", F.xxhash64("term")), "lexicon")
+    subset = F.pmod(F.xxhash64(F.lit("subset"), "term"), F.lit(SUBSETS)).cast("int")
+    return scratch.write(band.select("term", subset.alias("subset"), F.xxhash64("term").alias("mark")), "lexicon")
 
 
 def entries(parts: DataFrame, words: DataFrame) -> DataFrame:
     """(k, h, own, edited): fingerprints of the texts in parts(k, h, side, terms)."""
     each = parts.select("k", "h", "side", F.explode("terms").alias("term")).join(words, "term")
-    sums = each.groupBy("k", "h", "side", "subset").agg(F.sum(F.shiftright("mark", 16)).alias("s"), F.bit_xor("mark").alias("x"), F.count(F.lit(1)).alias("c"))
+    sums = each.groupBy("k", "h", "side", "subset").agg(F.sum(F.shiftright("mark", 16)).alias("s"), F.bit_xor("mark").alias("x"))
     entry = F.col("subset") * F.lit(1 << ENTRY_BITS) + F.pmod(F.xxhash64("subset", "s", "x"), F.lit(1 << ENTRY_BITS)).cast("int")
-    coarse = F.col("subset") < COARSE
 
-    def side(k: int, name: str) -> list[Column]:
-        mine = F.col("side") == k
-        return [F.sort_array(F.collect_list(F.when(mine, entry))).alias(name), F.sum(F.when(mine & coarse, F.col("c"))).alias(f"{name}_load"), F.sum(F.when(mine & ~coarse, F.col("c"))).alias(f"{name}_fine")]
+    def side(k: int, name: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("side") == k, entry))).alias(name)
 
-    def light(name: str) -> Column:
-        heavy = (F.col(f"{name}_load") > LOAD * COARSE) & (F.col(f"{name}_fine") > 0)
-        return F.when(heavy, F.filter(name, lambda e: F.shiftright(e, ENTRY_BITS) >= COARSE)).otherwise(F.col(name)).alias(name)
-
-    return sums.groupBy("k", "h").agg(*side(0, "own"), *side(1, "edited")).select("k", "h", light("own"), light("edited"))
+    return sums.groupBy("k", "h").agg(side(0, "own"), side(1, "edited"))
 
 
 def rest_entry(all_terms: Column) -> Column:

@@ -356,6 +356,22 @@ def test_fingerprints(spark):
     assert sorted(r.n_chars for r in again.collect()) == [0, 3, 5, 5]
 
 
+def test_long_and_short_texts_have_the_same_subsets(spark):
+    name = lambda *parts: "q" + "x".join(map(str, parts))
+    base = lambda p, n: [name(p, k) for k in range(n)]
+    rows = []
+    for p in range(8):  # two long texts that differ in one term; the third one puts both terms in the lexicon
+        rows += [base(p, 250) + ["only" + name(p, "a")], base(p, 250) + ["only" + name(p, "b")], ["only" + name(p, "a"), "only" + name(p, "b"), "filler" + name(p)]]
+    rows += [base(20, 185), base(20, 205), base(20, 205)[185:] + ["q"]]  # about as long, on both sides of 192 terms
+    rows += [[f"unique{k}", f"single{k}"] for k in range(40)]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, [(k, " ".join(t)) for k, t in enumerate(rows)])).collect()}
+    for p in range(8):
+        assert got[3 * p].fingerprint != got[3 * p + 1].fingerprint
+        assert 0.95 < got[3 * p].near_next < 1
+    assert 0.75 < got[24].near_next < 1
+    assert len({r.fingerprint for r in got.values()}) == len(rows)
+
+
 def test_archives(spark):
     draw = random.Random(3)
     pages = [(n, f"http://x/{n}", draw.choice(["<p>é</p>", "", None, words(draw, 500)])) for n in range(60)] + [(None, None, "<p>é</p>"), (3, "http://x/3\r\ny", "twice"), (3, "http://x/3\r\ny", "twice"), (99, None, "\r\n\r\nWARC/1.1")]
