@@ -111,11 +111,12 @@ def blocks(benchmark: DataFrame, least: int, size: int) -> Iterator[Block]:
         yield Block(ids, texts, least)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, cover: float = LEAST_COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs and item that it leaks: doc_id, item_id, the tiles and the share of the item they cover."""
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, cover: float = LEAST_COVER, block_bytes: int = BLOCK_BYTES, keep_hash: bool = False) -> DataFrame:
+    """One row for each row of docs and item that it leaks: doc_id, item_id, the tiles and the share of the item they cover; with keep_hash also the text's hash."""
     spark = docs.sparkSession
     ship(spark)
-    schema = "doc_id long, " + LEAKS
+    schema = "doc_id long, " + LEAKS + (", text_hash long" if keep_hash else "")
+    arrow_schema = ARROW_LEAKS.append(pa.field("text_hash", pa.int64())) if keep_hash else ARROW_LEAKS
 
     def search(block: Block):
         def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +141,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, cover: f
                     if tiled >= cover * len(item):
                         spans = [dict(zip(("item_start", "doc_start", "words"), t)) for t in tiles]
                         rows.append({"doc_id": batch.column("doc_id")[d].as_py(), "item_id": block.ids[k], "tiles": len(tiles), "tiled_words": tiled, "item_words": len(item), "coverage": tiled / len(item), "spans": spans})
+                        if keep_hash:
+                            rows[-1]["text_hash"] = batch.column("text_hash")[d].as_py()
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW_LEAKS)
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
         return run
 
-    narrow = docs.select(F.col("doc_id").cast("long"), "text")
+    narrow = docs.select(F.col("doc_id").cast("long"), "text", *([F.xxhash64("text").alias("text_hash")] if keep_hash else []))
     found = [narrow.mapInArrow(search(block), schema) for block in blocks(benchmark, least, block_bytes)]
     if not found:
         return spark.createDataFrame([], schema)
@@ -160,7 +163,8 @@ ARROW_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("tile
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, cover: float = LEAST_COVER) -> DataFrame:
-    """The rows of docs that leak no item. A row without doc_id is judged with the others that have none."""
+    """The rows of docs that leak no item. Rows are told apart by doc_id and text, so only rows with the text that leaks go."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    dirty = scratch.write(leaks(docs, benchmark, least, cover).select(F.col("doc_id").alias("__leaking")).distinct(), "dirty")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__leaking"]), "left_anti")
+    found = leaks(docs, benchmark, least, cover, keep_hash=True)
+    dirty = scratch.write(found.select(F.col("doc_id").alias("__leaking"), F.col("text_hash").alias("__text")).distinct(), "dirty")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__leaking"]) & (F.xxhash64(docs["text"]) == dirty["__text"]), "left_anti")

@@ -298,6 +298,16 @@ def test_leaks_in_capitals_with_accents(spark):
         assert [r.doc_id for r in decontaminate.without_leaks(lower, bench).collect()] == [3]
 
 
+def test_clean_rows_without_id_or_of_a_leaking_id_stay(spark):
+    draw = random.Random(13)
+    item = words(draw, 30, 10**6)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(None, item), (None, "clean, without an id"), (None, None), (4, item), (4, "clean, of the same id"), (4, item + " again"), (5, "clean")]
+    kept = decontaminate.without_leaks(table(spark, docs), bench)
+    assert kept.columns == table(spark, docs).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "clean, without an id"), (4, "clean, of the same id"), (5, "clean")]
+
+
 def brute_tiles(item, doc, least):
     marked_i, marked_d, total = set(), set(), 0
     while True:
