@@ -6,6 +6,8 @@ hashed, and for each hash the distinct owners and the distinct repositories that
 have it are counted over the corpus: a value that many owners have is a copied
 example, one that a single owner has in few repositories looks live. Such long
 tokens become spans of the kind ``owned``; base spans stay, whatever their class.
+Redaction takes every long token that a single owner has, in however many
+repositories.
 
 With the columns of ``documents`` an owner is a source, and a repository one
 language of a source.
@@ -78,8 +80,11 @@ def ownership(spans: DataFrame) -> DataFrame:
     return each.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"))
 
 
-def classified(scratch: Scratch, docs: DataFrame, keys: list[Column | str], owner: list[str], repository: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(found, spans): each row's keys and base spans under a row number; per row with spans, all that count, in order, with their class."""
+def classified(scratch: Scratch, docs: DataFrame, keys: list[Column | str], owner: list[str], repository: list[str], spread: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(found, spans): each row's keys and base spans under a row number; per row with spans, all that count, in order, with their class.
+
+    With spread also the long tokens that a single owner has in more repositories than look live.
+    """
     narrow = with_spans(docs, owner, repository).select(
         *keys, F.monotonically_increasing_id().alias("row"), F.col("__base").alias("base"), F.col("__more").alias("more"), F.col("__owner").alias("owner"), F.col("__repository").alias("repository")
     )
@@ -89,7 +94,7 @@ def classified(scratch: Scratch, docs: DataFrame, keys: list[Column | str], owne
     counts = scratch.write(ownership(every), "ownership").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     known = every.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(counts, ["hash", "salt"])
     live = (F.col("owners") == 1) & (F.col("repositories") <= MOST_REPOSITORIES)
-    kept = known.withColumn("label", F.when(live, "live").when(F.col("owners") >= COPIED_OWNERS, "copied").otherwise("shared")).where((F.col("kind") < 3) | live)
+    kept = known.withColumn("label", F.when(live, "live").when(F.col("owners") >= COPIED_OWNERS, "copied").otherwise("shared")).where((F.col("kind") < 3) | (F.col("owners") == 1 if spread else live))
     spans = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "label"))).alias("spans"))
     return found, spans
 
@@ -119,7 +124,7 @@ def redact(docs: DataFrame, owner: list[str] | None = None, repository: list[str
     owner, repository = owner or ["source"], repository or ["source", "lang"]
     scratch = Scratch(docs.sparkSession, "redaction")
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h")]
-    found, spans = classified(scratch, docs, key, owner, repository)
+    found, spans = classified(scratch, docs, key, owner, repository, spread=True)
     marks = scratch.write(found.join(spans, "row").groupBy("id", "h").agg(F.first("spans").alias("__spans")), "marks")
 
     def step(acc, s):

@@ -265,6 +265,14 @@ def test_secrets(spark):
     assert clean[100].key == "clash" and clean[100].n_chars == len(clean[100].text)
 
 
+def test_redaction_takes_what_one_owner_has_in_many_repositories(spark):
+    own, common = "Ab1" + "Xy9" * 8, "Cd2" + "Zw8" * 8
+    rows = [(k, f"see {own} end", "one", lang) for k, lang in enumerate(("en", "fr", "de", None))] + [(k, f"see {common} end", f"s{k % 2}", "en") for k in (10, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {k: "see [SECRET] end" if k < 10 else t for k, t, *_ in rows}
+    assert all(r.spans == "" for r in secrets.find_secrets(docs).collect())  # as its SQL says
+
+
 def test_leaks(spark):
     draw = random.Random(9)
     items = [(1, words(draw, 40, 10**6)), (2, words(draw, 20, 10**6) + ". Last, one!"), (3, "too short"), (None, "x"), (4, None)]
