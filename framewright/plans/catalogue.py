@@ -583,6 +583,29 @@ def replay_resets(read):
     return found["resets"]
 
 
+def replayed(read) -> dict[str, DataFrame]:
+    """The replay of rows of which some frames have none."""
+    rows = lane_rows(read).select("source_id", "ordinal", "lane", "interior", "cents").join(lamp_rows(read).drop("ticks"), ["source_id", "ordinal"]).where("cents % 13 <> 0")
+    return replay.analyse(ticked(read).select("source_id", "ordinal", "pts", "ticks"), rows, replay.source_key(F.col("cents") % 3), 3 * DAY, HOUR, WINDOW, LAMP)
+
+
+def unrecorded(sql: str, seen: str, name: str) -> str:
+    """SQL in which frames without a recorded row have the value of that name where a recorded one has what was seen."""
+    if seen not in sql:
+        raise ValueError("the SQL has no such value")
+    return sql.replace(seen, f"CASE WHEN cents % 13 = 0 THEN {name} {seen.removeprefix('CASE ')}")
+
+
+@query(unrecorded(f"{LANE_CHANGES} {CHANGES}", "CASE WHEN cents % 17 <> 0", "NULL"))
+def replay_lane_changes(read):
+    return replayed(read)["changes"]
+
+
+@query(unrecorded(f"WITH {FRAMES}, {report_sql(1, '1')} SELECT * FROM w1", "CASE WHEN cents % 29 = 0", "'no_actual_observation'"))
+def replay_lamp_reports(read):
+    return replayed(read)["lamps"]
+
+
 @query(f"""WITH {FRAMES} SELECT source_id, ordinal, CASE WHEN event_type = 'error' THEN 'identity_uncertain' WHEN cents % 5 = 0 THEN 'model_uncertain' WHEN cents % 7 = 0 THEN 'identity_uncertain' WHEN cents % 11 = 0 THEN 'model_uncertain'
  WHEN event_type = 'view' THEN 'usable' WHEN event_type = 'click' THEN 'model_uncertain' ELSE 'occluded' END AS status FROM t""")
 def lamp_roi_status(read):
