@@ -4,12 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import chat, decontaminate, fingerprints, language_id, minhash, packing, queries, secrets, sharding, token_files, tokens, warc
@@ -374,6 +376,69 @@ def test_fingerprints(spark):
     assert sorted(r.n_chars for r in again.collect()) == [0, 3, 5, 5]
 
 
+def spark_hash(values):
+    """Spark's xxhash64 of a string, or of an array of longs: each element's hash seeds the next one's."""
+    if isinstance(values, str):
+        return xxhash.xxh64_intdigest(values.encode(), seed=42)
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed)
+    return seed
+
+
+def brute_prints(rows, edits):
+    """For each text and its edit the entries by plain loops, None where a subset has no term."""
+    split = lambda t: {spark_hash(w) >> 4 for w in re.split(r"[ \t-\r!-/:-@\[-`{-~]+", t.lower()) if w}
+    sets = [split(t) for t in rows]
+    df = Counter(m for s in sets for m in s)
+    n = len(rows)
+    band = {m for m, c in df.items() if max(2, n / fingerprints.MANY) <= c <= max(2, n / fingerprints.FEW)}
+
+    def entries(terms):
+        held = sorted(terms & band)
+        out = [spark_hash(held) >> 33 if held else None, None if held else spark_hash(sorted(terms)) >> 33]
+        for p in fingerprints.PATTERNS:
+            some = [m for m in held if m & p == 0]
+            out.append(spark_hash(some) >> 33 if some else None)
+        return out
+
+    return [entries(s) for s in sets], [entries(split(t)) for t in edits]
+
+
+def brute_likeness(a, b):
+    either = sum(x is not None or y is not None for x, y in zip(a, b))
+    return sum(x is not None and x == y for x, y in zip(a, b)) / either
+
+
+def test_fingerprints_are_brute_force(spark):
+    draw = random.Random(21)
+    rows = [t or "" for t in texts()] + [words(draw, draw.choice([5, 40, 300, 2000]), 3000) for _ in range(40)]
+    edits = []
+    for k, t in enumerate(rows):
+        other, n = rows[(k + 1) % len(rows)], len(t) // 4
+        edits.append(t[: len(t) - n] + other[:n])
+    own, edited_ = brute_prints(rows, edits)
+    said = lambda entries: "".join("-" if e is None else f"{e:08x}" for e in entries)
+    got = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, list(enumerate(rows)))).collect()}
+    for k in range(len(rows)):
+        assert (got[k].fingerprint, got[k].edited_fingerprint) == (said(own[k]), said(edited_[k]))
+        assert got[k].near_edited == pytest.approx(brute_likeness(own[k], edited_[k]))
+        assert got[k].near_next == pytest.approx(brute_likeness(own[k], own[(k + 1) % len(rows)]))
+    assert sum(e is not None for e in own[-1]) > 20
+
+
+def test_an_edit_keeps_more_entries_than_another_text_shares(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mean = fingerprints.fingerprints(docs).agg(F.avg("near_edited"), F.avg("near_next"), F.avg((F.col("near_edited") > F.col("near_next")).cast("int"))).first()
+    assert mean[0] > 0.2 and mean[1] < 0.02 and mean[2] > 0.9
+
+
+def test_smallest_doc_id_is_no_null(spark):
+    low = -(1 << 63)
+    got = fingerprints.fingerprints(table(spark, [(low, "a b c"), (None, "d e f"), (0, "g h")])).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in got) == [(False, 0, 5), (True, low, 5), (True, 0, 3)]
+
+
 def test_long_and_short_texts_have_the_same_subsets(spark):
     name = lambda *parts: "q" + "x".join(map(str, parts))
     base = lambda p, n: [name(p, k) for k in range(n)]
@@ -383,10 +448,11 @@ def test_long_and_short_texts_have_the_same_subsets(spark):
     rows += [base(20, 185), base(20, 205), base(20, 205)[185:] + ["q"]]  # about as long, on both sides of 192 terms
     rows += [[f"unique{k}", f"single{k}"] for k in range(40)]
     got = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, [(k, " ".join(t)) for k, t in enumerate(rows)])).collect()}
-    for p in range(8):
-        assert got[3 * p].fingerprint != got[3 * p + 1].fingerprint
-        assert 0.95 < got[3 * p].near_next < 1
-    assert 0.75 < got[24].near_next < 1
+    joined = [" ".join(t) for t in rows]
+    own, _ = brute_prints(joined, joined)
+    for k in [*range(0, 24, 3), 24]:  # the likeness of overlapping subsets, the same for texts of any length
+        assert got[k].fingerprint != got[k + 1].fingerprint
+        assert got[k].near_next == pytest.approx(brute_likeness(own[k], own[k + 1])) and 0.4 < got[k].near_next < 1
     assert len({r.fingerprint for r in got.values()}) == len(rows)
 
 
