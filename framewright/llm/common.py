@@ -33,14 +33,17 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """A fresh folder under ``spark.checkpoint.dir``, the place that driver and executors share.
 
-    Tables written here cut lineage: a lost executor costs only the tasks it was
-    running. The folder is removed when the JVM ends; ``drop`` removes one table
+    Where it isn't set, a temporary folder serves a local session; a cluster has to
+    name one. Tables written here cut lineage: a lost executor costs only the tasks
+    it was running. The folder is removed when the JVM ends; ``drop`` removes one table
     as soon as it is no longer read.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="framewright-")
             spark.conf.set("spark.checkpoint.dir", base)
         ship(spark)
@@ -82,15 +85,15 @@ def row_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def number_within(scratch: Scratch, df: DataFrame, group: str, spread: Column, buckets: int, out: str, order: list[str]) -> DataFrame:
+def number_within(scratch: Scratch, df: DataFrame, group: str, spread: Column, buckets: int | Column, out: str, order: list[str]) -> DataFrame:
     """Number the rows of each ``group`` gaplessly from 0, without one task per group.
 
     Each group is spread over ``buckets`` cells by ``spread``; a row's number is
     its rank in its cell plus the rows of the group's earlier cells. The cell
-    counts form a table of at most groups x buckets rows (the caller bounds the
-    number of groups), so it may be broadcast.
+    counts form a table of one row a cell (the caller bounds the number of groups
+    and cells), so it may be broadcast.
     """
-    cell = df.withColumn("__cell", F.pmod(spread, F.lit(buckets)).cast("int"))
+    cell = df.withColumn("__cell", F.pmod(spread, buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("int"))
     counts = cell.groupBy(group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(

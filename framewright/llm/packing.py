@@ -1,12 +1,19 @@
 """Packing documents into sequences of a fixed size by length patterns.
 
 Only lengths matter for packing, and there are at most ``capacity`` of them, so
-the plan is made from the histogram of lengths: all patterns of two or three
+the plan is made from the histogram of lengths. All patterns of two or three
 lengths that fill a sequence exactly get repeat counts by non-negative least
-squares against the histogram, the counts are rounded down to what the
-histogram holds, and the rest is packed best-fit, longest first. The plan has a
-bounded number of rows however many documents there are; each piece finds its
-sequence from its number among the pieces of its length.
+squares against the histogram, less a small reserve. The fit is thinned out: the
+patterns with the largest counts are kept and fitted again, until about as many
+are left as there are lengths, so that counts are large and rounding keeps most of
+them. Counts are rounded along their running sum and kept within the histogram,
+and what that leaves is fitted once more, ROUNDS times. The reserve and the rest,
+which have pieces of all lengths, are packed best-fit, longest first. Pieces that
+fill a sequence are a pattern by themselves.
+
+The plan has a bounded number of rows however many documents there are; each piece
+finds its sequence from its number among the pieces of its length, by a search in
+the plan. A length is numbered in as many cells as its number of pieces asks for.
 
 Defined results: a null text is an empty one (its single id is the end id);
 repeated rows are packed each; other columns are ignored; an empty table gives
@@ -26,10 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, number_within
 from .tokens import batches, word_encoder
 
-#: Steps of the least-squares descent.
-STEPS = 400
-#: Cells that the pieces of one length are numbered in.
-CELLS = 64
+#: Share of every length's pieces that is kept for the gaps that patterns leave.
+RESERVE = 0.05
+#: Descent steps, and the patterns kept after them as multiples of the capacity.
+THINNING = ((40, 16.0), (60, 4.0), (80, 1.5))
+#: Descent steps over the patterns that are left, before each rounding.
+STEPS, ROUNDS = 100, 3
+#: Pieces of one length that one task numbers, about.
+CELL_PIECES = 1 << 18
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -38,66 +49,76 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-def fit_patterns(counts: np.ndarray, steps: int = STEPS) -> list[Plan]:
-    """Roundings of the fitted repeat counts of patterns that fill a sequence; counts[L]: pieces of length L, capacity = len(counts) - 1.
+def all_patterns(there: np.ndarray) -> np.ndarray:
+    """Rows of two or three lengths (the last may be 0: none) that add up to the capacity; there[L]: whether a piece of length L is."""
+    capacity = len(there) - 1
+    have = np.flatnonzero(there[:capacity])
+    have = have[have > 0]
+    a, b = (m.ravel() for m in np.meshgrid(have, have, indexing="ij"))
+    c = capacity - a - b
+    good = (a >= b) & (b >= c) & (c >= 0)
+    a, b, c = a[good], b[good], c[good]
+    good = (c == 0) | there[c]
+    return np.column_stack([a[good], b[good], c[good]])
+
 
-    Minimises the squared difference between what the patterns use and the
-    histogram over repeats >= 0, by accelerated projected descent, then rounds
-    down, or to the nearest number, and keeps within the histogram.
+def least_squares(rows: np.ndarray, goal: np.ndarray, x: np.ndarray, steps: int) -> np.ndarray:
+    """Repeats >= 0 of the patterns that bring what they use near the goal, by accelerated projected descent from x.
+
+    Differences weigh by how often a length occurs, so that rare lengths count as
+    much as frequent ones.
     """
-    capacity = len(counts) - 1
-    have = np.flatnonzero(counts[:capacity])
-    if not len(have):
-        return [[]]
-    there = counts > 0
-    there[0] = there[capacity] = False
-    a, b = np.meshgrid(have, have, indexing="ij")
-    c = capacity - a - b
-    triple = (a >= b) & (b >= c) & (c > 0)
-    triple[triple] &= there[c[triple]]
-    double = (a >= b) & (c == 0)
-    rows = np.concatenate([np.column_stack([a[triple], b[triple], c[triple]]), np.column_stack([a[double], b[double], np.zeros(double.sum(), a.dtype)])])
-    if not len(rows):
-        return [[]]
-    used = rows.ravel()
-    weight = (used > 0).astype(float)
-    goal = counts.astype(float)
-    # each length's rows weigh by how often it occurs, so that rare lengths count as much as frequent ones
-    scale = 1 / np.sqrt(np.maximum(goal, 1))
-
-    def use(x):
-        return np.bincount(used, weights=np.repeat(x, 3) * weight, minlength=capacity + 1)
-
-    def back(r):
-        return (r[used] * weight).reshape(-1, 3).sum(1)
-
-    degree = use(np.ones(len(rows)))
-    # a diagonal majoriser of the normal matrix: A' W^2 A 1
-    majorant = np.maximum(back(scale**2 * use(np.ones(len(rows)))), 1e-12)
-    x = back(goal / np.maximum(degree, 1)) / 3
+    used, there = rows.ravel(), (rows > 0).ravel().astype(float)
+    weight = 1 / np.maximum(goal, 1)
+
+    def use(x: np.ndarray) -> np.ndarray:
+        return np.bincount(used, weights=np.repeat(x, 3) * there, minlength=len(goal))
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return (r[used] * there).reshape(-1, 3).sum(1)
+
+    majorant = np.maximum(back(weight * use(np.ones(len(rows)))), 1e-12)  # of the normal matrix, on its diagonal
     y, t = x, 1.0
     for _ in range(steps):
-        new = np.maximum(0, y - back(scale**2 * (use(y) - goal)) / majorant)
+        new = np.maximum(0, y - back(weight * (use(y) - goal)) / majorant)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
-    rounded = np.floor(x + 1e-6).astype(np.int64)
-    return [within_histogram(counts, rows, x, parts) for parts in ((rounded,), (rounded, np.ceil(x - 0.5).astype(np.int64) - rounded))]
+    return x
 
 
-def within_histogram(counts: np.ndarray, rows: np.ndarray, x: np.ndarray, parts: tuple[np.ndarray, ...]) -> Plan:
-    """The patterns with whole repeat counts, as far as the histogram holds the pieces; the most repeated first."""
-    left, plan = counts.copy(), []
-    for repeats in parts:
-        for k in np.argsort(-x, kind="stable"):
-            if repeats[k] <= 0:
-                continue
-            lengths = tuple(int(v) for v in rows[k] if v)
-            n = int(min(repeats[k], *(left[v] // lengths.count(v) for v in lengths)))
-            if n > 0:
-                for v in lengths:
-                    left[v] -= n
-                plan.append((lengths, n))
-    return plan
+def fit_patterns(counts: np.ndarray, steps: int = STEPS) -> Plan:
+    """Patterns with whole repeat counts within the histogram; counts[L]: pieces of length L, capacity = len(counts) - 1."""
+    capacity = len(counts) - 1
+    left = np.floor(counts * (1 - RESERVE)).astype(np.int64)
+    left[0] = left[capacity] = 0
+    rows = all_patterns(left > 0)
+    goal = left.astype(float)
+    degree = np.maximum(np.bincount(rows.ravel(), minlength=capacity + 1), 1)
+    x = (goal / degree)[rows].sum(1) / 3
+    for some, share in THINNING:
+        x = least_squares(rows, goal, x, some)
+        keep = int(share * capacity)
+        if len(rows) > keep:
+            best = np.sort(np.argpartition(-x, keep)[:keep])
+            rows, x = rows[best], x[best]
+    repeats = np.zeros(len(rows), dtype=np.int64)
+    for _ in range(ROUNDS):
+        x = least_squares(rows, left.astype(float), x, steps)
+        # rows are sorted by their lengths, so rounding the running sum keeps the sums of neighbouring patterns
+        whole = np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0).astype(np.int64)
+        before = repeats.sum()
+        for k in np.argsort(-whole, kind="stable"):
+            if whole[k] <= 0:
+                break
+            lengths, copies = np.unique(rows[k][rows[k] > 0], return_counts=True)
+            n = int(min(whole[k], *(left[lengths] // copies)))
+            left[lengths] -= n * copies
+            repeats[k] += n
+        if repeats.sum() == before:
+            break
+        x = np.zeros(len(rows))
+    plan = [(tuple(int(v) for v in rows[k] if v), int(repeats[k])) for k in np.flatnonzero(repeats)]
+    return [*([((capacity,), int(counts[capacity]))] if counts[capacity] else []), *plan]
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
@@ -143,19 +164,14 @@ def best_fit(counts: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
     return [(items, n) for groups in open_.values() for items, n in groups]
 
 
-def plan_rows(counts: np.ndarray, steps: int = STEPS) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, copies in a sequence, first offset)."""
-    best: list[tuple[list[tuple[int, int]], int]] | None = None
-    for plan in [*fit_patterns(counts, steps), []]:  # without patterns, all is left to best fit
-        left, groups = counts.copy(), []
-        for lengths, n in plan:
-            groups.append(([(v, lengths.count(v)) for v in dict.fromkeys(lengths)], n))
-            for v in lengths:
-                left[v] -= n
-        groups += best_fit(left)
-        if best is None or sum(n for _, n in groups) < sum(n for _, n in best):
-            best = groups
-    groups = best
+def plan_rows(counts: np.ndarray, plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, copies in a sequence, first offset): the patterns' sequences, then best-fit ones."""
+    left, groups = counts.copy(), []
+    for lengths, n in plan:
+        groups.append(([(v, lengths.count(v)) for v in dict.fromkeys(lengths)], n))
+        for v in lengths:
+            left[v] -= n
+    groups += best_fit(left)
     taken = np.zeros(len(counts), dtype=np.int64)
     rows, sequence = [], 0
     for items, n in groups:
@@ -196,23 +212,40 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + (", ids binary" if keep_ids else ""))
 
 
+def place(ranked: DataFrame, rows: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """The ranked pieces with sequence_id and offset, by a search in the plan, whose size depends on the capacity alone."""
+    length, first, end, sequence, copies, offset = np.array(sorted(rows), dtype=np.int64).reshape(-1, 6).T
+    bits = 45  # ranks have fewer
+    key = (length << bits) + first
+
+    def find(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            own = np.asarray(batch.column("length"), dtype=np.int64)
+            rank = np.asarray(batch.column("rank"), dtype=np.int64)
+            at = np.searchsorted(key, (own << bits) + rank, "right") - 1
+            past = rank - first[at]
+            columns = {c: batch.column(c) for c in batch.schema.names if c != "rank"}
+            columns["length"] = pa.array(own)
+            columns["sequence_id"] = pa.array(sequence[at] + past // copies[at])
+            columns["offset"] = pa.array(offset[at] + own * (past % copies[at]))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    fields = ", ".join(f"{f.name} {'long' if f.name == 'length' else f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
+    return ranked.mapInArrow(find, f"{fields}, sequence_id long, offset long")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """Place every piece: the columns of ``cut_pieces`` with sequence_id and offset."""
+    """Place every piece: the columns of ``cut_pieces`` with sequence_id, offset and in_pattern (else packed best-fit)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = scratch.write(cut_pieces(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # one row for each length up to the capacity
         counts[length] = n
-    plan = spark.createDataFrame(plan_rows(counts), "p_length int, p_from long, p_to long, p_sequence long, p_copies long, p_offset long")
-    ranked = number_within(scratch, pieces, "length", F.xxhash64("doc_id", "piece"), CELLS, "rank", ["doc_id", "piece", "ids_crc32"])
-    # the plan's size depends on the capacity alone
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to")))
-    return placed.select(
-        *[F.col(c).cast("long") if c == "length" else F.col(c) for c in pieces.columns],
-        F.expr("p_sequence + (rank - p_from) div p_copies").alias("sequence_id"),
-        F.expr("p_offset + length * ((rank - p_from) % p_copies)").alias("offset"),
-    )
+    plan = fit_patterns(counts)
+    cells = F.get(F.lit([int(n) for n in 1 + counts // CELL_PIECES]), F.col("length"))
+    ranked = number_within(scratch, pieces, "length", F.xxhash64("doc_id", "piece"), cells, "rank", ["doc_id", "piece", "ids_crc32"])
+    return place(ranked, plan_rows(counts, plan)).withColumn("in_pattern", F.col("sequence_id") < sum(n for _, n in plan))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 EACH_LETTER = "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7))
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that one gather works on.
-BATCH_BYTES = 14 << 20
+BATCH_BYTES = 8 << 20
 #: Runs whose ids a task remembers between batches; later ones are encoded anew (results don't depend on it).
 REMEMBERED = 500_000
 
@@ -141,8 +141,8 @@ def release() -> None:
         trim(0)
 
 
-def batches(table_batches, size: int = BATCH_BYTES):
-    """The incoming rows in batches of about ``size`` bytes of text at most (one row at least): larger ones are cut, smaller ones joined."""
+def batches(table_batches, size: int = BATCH_BYTES, column: str = "text"):
+    """The incoming rows in batches of about ``size`` bytes of a text column at most (one row at least): larger ones are cut, smaller ones joined."""
     held, total = [], 0
 
     def whole():
@@ -151,7 +151,7 @@ def batches(table_batches, size: int = BATCH_BYTES):
     for batch in table_batches:
         if batch.num_rows == 0:
             continue
-        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         part = (np.cumsum(lengths) - lengths) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
