@@ -9,7 +9,7 @@ reaches the threshold.
 In each bucket of a band all members are compared with one pivot, the member
 that shares most buckets. Members that this leaves in different components are
 then compared with each other, in every bucket, unless what is known of both
-against their common pivot rules similarity out, so no pair of a bucket is lost.
+against the bucket's pivot rules similarity out, so no pair of a bucket is lost.
 A bucket of near copies thus costs a number of comparisons in proportion to its
 size, not to its square.
 
@@ -37,6 +37,12 @@ BANDS, ROWS = 40, 6
 SLICE = 1 << 20
 #: Bits of the map that says which documents' sets are needed again.
 MAP_BITS = 1 << 20
+#: Pairs of one document that one task compares, about.
+PAIRS_A_TASK = 1 << 13
+#: A larger table of such documents isn't broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Tasks that the members of a class meet it in.
+SALTS = 16
 
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -229,9 +235,20 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return keyed.mapInArrow(collect, "id long, items array<long>").join(ids, "id", "left_semi")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their full sets and of the intersection."""
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+def compared(scratch: Scratch, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of the intersection.
+
+    The set of an a with very many pairs is copied under several salts, so that
+    they meet it in several tasks.
+    """
+    heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIRS_A_TASK).select("a", F.ceil(F.col("c") / PAIRS_A_TASK).cast("int").alias("salts"))
+    heavy = scratch.write(heavy, f"heavy_{label}")
+    if heavy.count() <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    salts = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(heavy, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    copies = sets.select(F.col("id").alias("a"), F.col("items").alias("x")).join(heavy, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    both = salted.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(copies, ["a", "salt"])
     return both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("shared"))
 
 
@@ -241,79 +258,90 @@ def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept, and class_id, the smallest doc_id with an equal set."""
+    """Per row of docs: doc_id, n_shingles, component_id, kept, and class_id, the smallest doc_id with an equal set.
+
+    Equal sets have equal keys, so a class takes them from any of its members in a
+    partial aggregate. Only classes of several members are looked up by their
+    digest, each under several salts and without the keys.
+    """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     signed = scratch.write(signatures(docs, words, bands, rows), "signed")
-    equal = signed.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    classed = scratch.write(signed.join(equal, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("class_id"), "keys"), "classed")
-    scratch.drop("signed")
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    digest = ["n_shingles", "d1", "d2"]
+    classes = signed.where(some).groupBy(*digest).agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("c"))
+    classes = scratch.write(classes, "classes")
 
-    shown = classed.where("doc_id = class_id and n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    shown = classes.select(F.col("first").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = scratch.write(shown.join(shared, "key").distinct(), "members")
     links = all_links(scratch, docs, members, words, percent)
     groups = scratch.write(components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "groups"), "groups")
-    result = classed.drop("keys").join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    component = F.coalesce("component", "class_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "class_id")
+
+    again = classes.where("c > 1").select(*digest, "first").join(groups.select(F.col("node").alias("first"), F.col("component").alias("of_class")), "first", "left")
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classed = signed.where(some).select("doc_id", *digest, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(again, [*digest, "salt"], "left")
+    classed = scratch.write(classed.select("doc_id", "n_shingles", "first", "of_class"), "classed")
+    alone = signed.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    single = classed.where("first is null").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    single = single.select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    several = classed.where("first is not null").select("doc_id", "n_shingles", F.col("first").alias("class_id"), F.coalesce("of_class", "first").alias("component_id"))
+    result = single.unionAll(several).unionAll(alone)
+    return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each group of near duplicates the one with the smallest doc_id, once.
+    """The rows of docs that stay, with all their columns whatever their names: of each group of near duplicates the one with the smallest doc_id.
 
-    Rows of a doc_id that stays all do if their texts differ; rows without doc_id stay.
+    Rows that repeat a doc_id and its text stay once; rows of a doc_id that stays
+    all do if their texts differ; rows without doc_id stay.
     """
-    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    once = named.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return once.unionAll(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    whole = whole.select("doc", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc.text").alias("h"))
+    once = whole.where("id is not null").join(kept, "id", "left_semi").dropDuplicates(["id", "h"]).select("doc")
+    stay = once.unionAll(whole.where("id is null").select("doc"))
+    return stay.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links that connect whatever the buckets' similar pairs connect; members: (key, id, n, c)."""
-    weights = scratch.write(members.groupBy("id").agg(F.sum("c").alias("weight"), F.first("n").alias("n")), "weights")
-    pivots = members.join(weights.drop("n"), "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
+    weights = scratch.write(members.groupBy("id").agg(F.sum("c").alias("weight")), "weights")
+    pivots = members.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
     first = members.join(pivots, "key").where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     first = scratch.write(first, "first_pairs")
     sets = scratch.write(shingle_sets(docs, weights.select("id"), words), "sets")
-    scored = scratch.write(compared(first, sets), "scored")
+    scored = scratch.write(compared(scratch, first, sets, "first"), "scored")
     links = scored.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
     joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "joined")
     placed = members.where("c > 2").join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    anchored = placed.join(apart, "key", "left_semi").join(anchors(scored, weights), "id").select("key", "id", "n", "component", "anchor", "common")
-    rest = scratch.write(anchored, "rest")
+    common = scored.select(F.col("a").alias("anchor"), F.col("b").alias("id"), F.col("shared").alias("common"))
+    open_ = placed.join(apart, "key", "left_semi").join(pivots.withColumnRenamed("pivot", "anchor"), "key").join(common, ["anchor", "id"], "left")
+    # the pivot has all of its shingles in common with itself
+    rest = scratch.write(open_.select("key", "id", "n", "component", "anchor", F.coalesce("common", F.col("n").cast("int")).alias("common")), "rest")
     second = crossing(rest, percent).unionAll(sharing(rest, sets, percent)).distinct()
     tested = first.unionAll(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = scratch.write(second.join(tested, ["a", "b"], "left_anti"), "second_pairs")
-    more = compared(second, sets).where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    more = compared(scratch, second, sets, "second").where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     return links.unionAll(scratch.write(more, "second_links"))
 
 
-def anchors(scored: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, anchor, common): of the pivots that a member was compared with, and itself, the one that shares most buckets, and the shingles common to both."""
-    own = weights.select("id", F.col("id").alias("anchor"), F.col("n").cast("int").alias("common"), "weight")
-    others = scored.select(F.col("b").alias("id"), F.col("a").alias("anchor"), F.col("shared").alias("common")).join(weights.select(F.col("id").alias("anchor"), "weight"), "anchor")
-    best = F.max_by(F.struct("anchor", "common"), F.struct("weight", -F.col("anchor")))
-    return own.unionByName(others).groupBy("id").agg(best.alias("b")).select("id", "b.*")
-
-
 def crossing(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that may be similar though they share nothing that their anchor lacks.
+    """Pairs of a bucket in different components that may be similar though they share nothing that the bucket's pivot lacks.
 
-    Two sets with one anchor that share no shingle outside of it share at most what
-    each has in common with it, which rules out most pairs of a group of near copies.
+    Two sets that share no shingle outside of the pivot share at most what each has
+    in common with it, which rules out most pairs of a group of near copies.
     """
-    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "anchor", "common")])
+    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "common")])
     fits = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
-    may = (F.col("anchor") != F.col("anchor2")) | similar(F.least("common", "common2"), F.col("n"), F.col("n2"), percent)
+    may = similar(F.least("common", "common2"), F.col("n"), F.col("n2"), percent)
     pairs = rest.join(other, (rest["key"] == other["key"]) & (F.col("component") < F.col("component2")) & fits & may)
     return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def sharing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with one anchor in different components that share shingles outside of it, enough to be similar perhaps."""
+    """Pairs that met in buckets of one pivot, in different components, that share shingles outside of it, enough to be similar perhaps."""
     one = rest.drop("key").distinct().where("id <> anchor")
     both = one.join(sets, "id").join(sets.select(F.col("id").alias("anchor"), F.col("items").alias("there")), "anchor")
     extra = both.select("anchor", "id", "n", "component", "common", F.explode(F.array_except("items", "there")).alias("item"))
