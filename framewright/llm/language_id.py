@@ -24,8 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch
 from .tokens import batches
@@ -53,27 +52,29 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def ngrams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For n of 1, 2 and 3 the feature of the n-gram at each position; where each text's positions start, with the end; whether it has letters.
+def ngrams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """For n of 1, 2 and 3 the feature of the n-gram at each position; where each text's positions start and end; whether it has letters.
 
-    Texts stand one after the other with a space before each and one at the end.
+    A text's positions are those of a space before it and of its characters. Two
+    more spaces follow it, so that no n-gram reaches into the next text.
     """
     rows = pc.utf8_lower(texts.fill_null("")).to_pylist()
     sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) + 1
-    points = np.frombuffer((" " + " ".join(rows) + "   ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = np.frombuffer("".join(f" {row}  " for row in rows).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     alpha = letters()[points]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    starts = np.cumsum(sizes + 2) - sizes - 2
+    ends = starts + sizes
     there = np.concatenate([[0], np.cumsum(alpha)])
-    some = there[starts[1:]] > there[starts[:-1]]
+    some = there[ends] > there[starts]
     points = np.where(alpha, points, np.uint32(32))
-    n = int(starts[-1])
+    n = max(0, len(points) - 2)
     shift = np.uint32(32 - FEATURE_BITS)
     h, grams = np.zeros(n, dtype=np.uint32), []
     for k in range(3):
         h = (h + points[k : k + n] + np.uint32(k + 1)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         grams.append((h * np.uint32(0x85EBCA6B)) >> shift)
-    return grams, starts, some
+    return grams, starts, ends, some
 
 
 @dataclass
@@ -84,12 +85,24 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        grams, starts, some = ngrams(texts)
+        grams, starts, ends, some = ngrams(texts)
         total = np.zeros((len(some), len(self.languages)))
+        bounds = np.column_stack([starts, ends]).ravel()
+        if len(bounds) and bounds[-1] == len(grams[0]):
+            bounds = bounds[:-1]  # the last text ends where the positions do
         for gram in grams:
             for k in range(len(self.languages)):
-                total[:, k] += np.add.reduceat(self.weights[k][gram], starts[:-1]) if len(some) else 0
-        return total / (3 * np.diff(starts))[:, None] + self.bias, some
+                total[:, k] += np.add.reduceat(self.weights[k][gram], bounds)[::2] if len(some) else 0
+        return total / (3 * (ends - starts))[:, None] + self.bias, some
+
+    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its score; without a letter, or a model, UNKNOWN with score 0."""
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        logits, some = self.logits(texts)
+        p = softmax(logits / self.temperature)
+        names = [self.languages[k] if s else UNKNOWN for k, s in zip(p.argmax(1).tolist(), some.tolist())]
+        return names, np.where(some, p.max(1), 0.0)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -143,47 +156,66 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def bucket_of(draw: Column) -> Column:
+    """A draw's bucket: 64 of them between a number and its double, so the smallest draws of any number of rows are told apart."""
+    return F.floor(F.log2(draw.cast("double") + 1) * 64).cast("int")
+
+
+def last_buckets(learn: DataFrame, each: int) -> dict[str, int]:
+    """For each language the last bucket of draws up to which it has no more than ``each`` rows (the first one at least)."""
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in learn.groupBy("lang", bucket_of(F.col("draw")).alias("b")).count().collect():  # some thousand a language at most
+        counts.setdefault(r["lang"], []).append((r["b"], r["count"]))
+    last = {}
+    for lang, rows in counts.items():
+        rows.sort()
+        sums = np.cumsum([n for _, n in rows])
+        last[lang] = rows[max(0, int(np.searchsorted(sums, each, "right")) - 1)][0]
+    return last
+
+
 def train(scratch: Scratch, docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the training documents' text and lang alone."""
-    learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").withColumn("draw", F.xxhash64("doc_id"))
-    languages = [r[0] for r in learn.groupBy("lang").count().orderBy("lang").collect()]
+    learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    languages = [r[0] for r in learn.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
         return Model([], np.zeros((0, 1 << FEATURE_BITS), np.float32), np.zeros(0))
     each = max(2, sample // len(languages))
-    first = Window.partitionBy("lang").orderBy("draw")
-    limits = learn.select("lang", "draw").withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).groupBy("lang").agg(F.max("draw").alias("top")).collect()
-    top = F.create_map(*[F.lit(v) for r in limits for v in (r["lang"], r["top"])])
+    top = F.create_map(*[F.lit(v) for pair in last_buckets(learn, each).items() for v in pair])
 
     def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << FEATURE_BITS
         frequency, flags, docs_seen = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int8), 0
+        taken = set()  # draws of this task's part of the sample: a repeated row is taken once
 
-        def row(kind, lang, at, values):
+        def row(kind, lang, draw, at, values):
             return pa.RecordBatch.from_arrays(
-                [pa.array([kind], pa.int32()), pa.array([lang], pa.string()), pa.array([at], pa.list_(pa.int32())), pa.array([values], pa.list_(pa.int64()))],
-                names=["kind", "lang", "at", "n"],
+                [pa.array([kind], pa.int32()), pa.array([lang], pa.string()), pa.array([draw], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([values], pa.list_(pa.int64()))],
+                names=["kind", "lang", "draw", "at", "n"],
             )
 
         for batch in batches(incoming, SLICE):
-            grams, starts, some = ngrams(batch.column("text"))
+            grams, starts, ends, some = ngrams(batch.column("text"))
             chosen = batch.column("chosen").to_pylist()
             for k in np.flatnonzero(some):
-                a, b = starts[k], starts[k + 1]
+                a, b = starts[k], ends[k]
                 for gram in grams:
                     flags[gram[a:b]] = 1
                 frequency += flags
                 flags[:] = 0
                 docs_seen += 1
-                if chosen[k]:
+                if chosen[k] and (lang := batch.column("lang")[int(k)].as_py(), draw := batch.column("draw")[int(k)].as_py()) not in taken:
+                    taken.add((lang, draw))
                     tf = sum(np.bincount(gram[a:b], minlength=size) for gram in grams)
                     at = np.flatnonzero(tf)
-                    yield row(1, batch.column("lang")[int(k)].as_py(), at.astype(np.int32), tf[at])
+                    yield row(1, lang, draw, at.astype(np.int32), tf[at])
         if docs_seen:
             at = np.flatnonzero(frequency)
-            yield row(0, None, at.astype(np.int32), frequency[at])
-            yield row(2, None, [], [docs_seen])
+            yield row(0, None, None, at.astype(np.int32), frequency[at])
+            yield row(2, None, None, [], [docs_seen])
 
-    counted = learn.select("lang", "text", (F.col("draw") <= top[F.col("lang")]).alias("chosen")).mapInArrow(count, "kind int, lang string, at array<int>, n array<long>")
+    chosen = bucket_of(F.col("draw")) <= top[F.col("lang")]
+    counted = learn.select("lang", "text", "draw", chosen.alias("chosen")).mapInArrow(count, "kind int, lang string, draw long, at array<int>, n array<long>")
     counted = scratch.write(counted, "counted")
     total = counted.where("kind = 2").agg(F.sum(F.col("n")[0])).first()[0] or 0
     frequency = np.zeros(1 << FEATURE_BITS)
@@ -192,7 +224,8 @@ def train(scratch: Scratch, docs: DataFrame, sample: int = SAMPLE) -> Model:
         frequency[at] = df
     idf = np.log((1 + total) / (1 + frequency)) + 1
     rows, labels = [], []
-    for r in counted.where("kind = 1").orderBy("lang", F.xxhash64("at", "n")).toLocalIterator():
+    sampled = counted.where("kind = 1").dropDuplicates(["lang", "draw"]).orderBy("lang", "draw")
+    for r in sampled.toLocalIterator():
         at, n = np.asarray(r["at"], dtype=np.int64), np.asarray(r["n"], dtype=float)
         x = SCALE * n / n.sum() * idf[at]
         rows.append((np.append(at, 1 << FEATURE_BITS), np.append(x, 1.0)))
@@ -206,21 +239,14 @@ def train(scratch: Scratch, docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, np.ascontiguousarray((SCALE * idf[:, None] * w).T.astype(np.float32)), bias, temperature)
 
 
-def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns of docs, and after them the language and its score under these names."""
-    language, score = names
-    schema = docs.select("*", F.lit("").alias(language), F.lit(0.0).alias(score)).schema
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of docs, and after them lang_pred and score."""
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def guess(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(incoming, SLICE):
-            found, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if model.languages:
-                logits, some = model.logits(batch.column("text"))
-                p = softmax(logits / model.temperature)
-                best = p.argmax(1)
-                found = [model.languages[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist())]
-                scores = np.where(some, p.max(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], names=[*batch.schema.names, language, score])
+            found, scores = model.judge(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(guess, schema)
 
@@ -232,7 +258,18 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows whose text has a language with at least this score; all columns stay."""
+    """The rows whose text has a language with at least this score; all columns stay, whatever their names.
+
+    Where nothing can be learnt, as no training document has a label, nothing can be
+    told of any row and all of them stay.
+    """
     model = train(Scratch(docs.sparkSession, "language-id"), docs, sample)
-    judged = predict(docs, model, ("__language", "__score"))
-    return judged.where((F.col("__language") != UNKNOWN) & (F.col("__score") >= least)).drop("__language", "__score")
+    if not model.languages:
+        return docs
+
+    def choose(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(incoming, SLICE):
+            _, scores = model.judge(batch.column("text"))
+            yield batch.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(choose, docs.schema)
