@@ -3,8 +3,9 @@
 A shard holds the ids of consecutive documents. Its ids are stored as bit
 planes, highest bit first; each plane partitions the ids stably by that bit, so
 that rank on the planes leads from a position to its id and back. Planes are
-compressed in blocks beside a directory of ranks: reading one token, counting an
-id or finding its k-th occurrence touches one block per plane and no other data.
+compressed in blocks beside counts of ones at every COUNT_BITS-th bit: reading one
+token, counting an id or finding its k-th occurrence touches one block per plane and
+no other data, and counts no more than that many bits.
 
 Defined results: a null text is an empty one; documents are ordered by doc_id
 (nulls first), rows of equal doc_id by text; other columns are ignored; an empty
@@ -30,6 +31,8 @@ from .tokens import batches, word_encoder
 MAGIC = b"WMTX0001"
 #: Bits of a plane in one compressed block.
 BLOCK_BITS = 1 << 19
+#: Bits of a plane between two counts of its ones.
+COUNT_BITS = 1 << 12
 #: Ids in a shard at most, unless one document has more.
 SHARD_TOKENS = 1 << 22
 
@@ -48,8 +51,14 @@ def build_planes(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
     return planes, zeros
 
 
-def encode_shard(ids: np.ndarray, doc_ends: np.ndarray, doc_ids: np.ndarray) -> bytes:
-    """One shard file: header, document table, then each plane's blocks."""
+def counts_of(ones: np.ndarray) -> np.ndarray:
+    """Ones of a plane before every COUNT_BITS-th bit."""
+    sums = np.add.reduceat(ones, np.arange(0, len(ones), COUNT_BITS), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
+    return np.cumsum(sums) - sums
+
+
+def encode_shard(ids: np.ndarray, doc_ends: np.ndarray, doc_ids: np.ndarray, nameless: int = 0) -> bytes:
+    """One shard file: header, document table, then each plane's blocks. The first ``nameless`` documents have no doc_id."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1)
@@ -63,18 +72,12 @@ def encode_shard(ids: np.ndarray, doc_ends: np.ndarray, doc_ids: np.ndarray) ->
         at += len(data)
         return at - len(data), len(data)
 
-    head = {"n": len(ids), "docs": len(doc_ends), "zeros": zeros, "block_bits": BLOCK_BITS, "blocks": [], "ranks": []}
+    head = {"n": len(ids), "docs": len(doc_ends), "nameless": nameless, "zeros": zeros, "block_bits": BLOCK_BITS, "count_bits": COUNT_BITS, "blocks": [], "counts": []}
     head["doc_ends"] = put(pack.compress(doc_ends.astype("<i8").tobytes()))
     head["doc_ids"] = put(pack.compress(doc_ids.astype("<i8").tobytes()))
     for ones in planes:
-        blocks, ranks, before = [], [], 0
-        for a in range(0, len(ones), BLOCK_BITS):
-            part = ones[a : a + BLOCK_BITS]
-            blocks.append(put(pack.compress(np.packbits(part).tobytes())))
-            ranks.append(before)
-            before += int(np.count_nonzero(part))
-        head["blocks"].append(blocks)
-        head["ranks"].append(ranks)
+        head["blocks"].append([put(pack.compress(np.packbits(ones[a : a + BLOCK_BITS]).tobytes())) for a in range(0, len(ones), BLOCK_BITS)])
+        head["counts"].append(put(pack.compress(counts_of(ones).astype("<i8").tobytes())))
     text = json.dumps(head, separators=(",", ":")).encode()
     return MAGIC + struct.pack("<I", len(text)) + text + b"".join(body)
 
@@ -93,15 +96,17 @@ class WaveletShard:
         self.head = json.loads(fetch(12, size))
         self.base = 12 + size
         self.n, self.zeros, self.levels = self.head["n"], self.head["zeros"], len(self.head["zeros"])
-        self.step = self.head["block_bits"]
+        self.step, self.count_step = self.head["block_bits"], self.head["count_bits"]
         self.seen: dict[tuple[int, int], np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
 
     def _piece(self, at: list[int]) -> bytes:
         return self.unpack.decompress(self.fetch(self.base + at[0], at[1]))
 
-    def documents(self) -> tuple[np.ndarray, np.ndarray]:
-        """doc_id and end of each document."""
-        return np.frombuffer(self._piece(self.head["doc_ids"]), "<i8"), np.frombuffer(self._piece(self.head["doc_ends"]), "<i8")
+    def documents(self) -> tuple[pa.Array, np.ndarray]:
+        """doc_id (null for documents without) and end of each document."""
+        ends = np.frombuffer(self._piece(self.head["doc_ends"]), "<i8")
+        return pa.array(np.frombuffer(self._piece(self.head["doc_ids"]), "<i8"), mask=np.arange(len(ends)) < self.head["nameless"]), ends
 
     def block(self, level: int, k: int) -> np.ndarray:
         if (level, k) not in self.seen:
@@ -116,10 +121,14 @@ class WaveletShard:
         """Ones of the plane before position i."""
         if i == 0:
             return 0
-        k, rest = divmod(i, self.step)
-        if rest == 0:
-            k, rest = k - 1, self.step
-        return self.head["ranks"][level][k] + int(np.count_nonzero(self.block(level, k)[:rest]))
+        last = (i - 1) // self.count_step  # the last count before i; no more than count_step bits are looked at
+        begin, k = last * self.count_step, (i - 1) // self.step
+        return int(self._counts(level)[last]) + int(np.count_nonzero(self.block(level, k)[begin - k * self.step : i - k * self.step]))
+
+    def _counts(self, level: int) -> np.ndarray:
+        if level not in self.counts:
+            self.counts[level] = np.frombuffer(self._piece(self.head["counts"][level]), "<i8")
+        return self.counts[level]
 
     def access(self, i: int) -> int:
         """The id at a position."""
@@ -162,10 +171,12 @@ class WaveletShard:
         return at
 
     def _select_bit(self, level: int, bit: int, k: int) -> int:
-        ranks = np.asarray(self.head["ranks"][level], dtype=np.int64)
-        before = ranks if bit else np.arange(len(ranks), dtype=np.int64) * self.step - ranks
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        return block * self.step + int(np.flatnonzero(self.block(level, block) == bit)[k - before[block]])
+        counts = self._counts(level)
+        before = counts if bit else np.arange(len(counts), dtype=np.int64) * self.count_step - counts
+        last = int(np.searchsorted(before, k, side="right")) - 1
+        begin, block = last * self.count_step, last * self.count_step // self.step
+        some = self.block(level, block)[begin - block * self.step :][: self.count_step]
+        return begin + int(np.flatnonzero(some == bit)[k - before[last]])
 
     def decode(self) -> np.ndarray:
         """All ids, in order."""
@@ -211,16 +222,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         part, shard = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         ends: list[np.ndarray] = []
-        names: list[np.ndarray] = []
+        names: list[pa.Array] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, shard
-            flat, doc_ids = np.concatenate(ids), np.concatenate(names)
+            flat, named = np.concatenate(ids), pa.concat_arrays(names)
+            doc_ids = np.asarray(named.fill_null(0), dtype=np.int64)
             name = f"part-{part:06d}-{shard:06d}-{uuid.uuid4().hex}.wm"
             with store.open_output_stream(f"{path}/{name}") as out:
-                out.write(encode_shard(flat, np.concatenate(ends), doc_ids))
-            row = [part, shard, f"{folder}/{name}", int(doc_ids[0]), len(doc_ids), len(flat)]
+                out.write(encode_shard(flat, np.concatenate(ends), doc_ids, named.null_count))  # nulls come first
+            row = [part, shard, f"{folder}/{name}", named[0].as_py(), len(doc_ids), len(flat)]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             ids.clear(), ends.clear(), names.clear()
             held, shard = 0, shard + 1
@@ -231,7 +243,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             n = batch.num_rows
             with_end = np.insert(flat, starts[1:], np.uint32(end_id))
             stops = starts[1:] + np.arange(1, n + 1)
-            doc_ids = np.asarray(batch.column("doc_id").fill_null(NO_ID), dtype=np.int64)
+            doc_ids = batch.column("doc_id").cast(pa.int64())
             a = 0
             while a < n:
                 begin = int(stops[a - 1]) if a else 0
@@ -240,7 +252,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 if b > a:
                     ids.append(with_end[begin : stops[b - 1]])
                     ends.append(stops[a:b] - begin + held)
-                    names.append(doc_ids[a:b])
+                    names.append(doc_ids.slice(a, b - a))
                     held += int(stops[b - 1]) - begin
                 if b < n:
                     yield flush()
@@ -252,10 +264,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return ordered.mapInArrow(write, INDEX_SCHEMA)
 
 
-#: Stands for a null doc_id in the files.
-NO_ID = -(1 << 63)
-
-
 def read_shards(index: DataFrame) -> DataFrame:
     """Per document of the listed files (file, part, shard, base: ids of all earlier files): its place, its length and the crc32 of its ids."""
 
@@ -270,7 +278,7 @@ def read_shards(index: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_ID), pa.array(starts + row["base"], pa.int64()), pa.array(ends - starts, pa.int64()),
+                    [doc_ids, pa.array(starts + row["base"], pa.int64()), pa.array(ends - starts, pa.int64()),
                      pa.array(crc, pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "shard"])
 
