@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, file_system, row_tasks
+from .tokens import batches
 
 #: Bytes of an archive after which the next one begins.
 ARCHIVE_BYTES = 1 << 30
@@ -34,6 +35,8 @@ ARCHIVE_BYTES = 1 << 30
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
 #: Records of one archive within so many bytes are read by one task.
 STRIPE_BYTES = 64 << 20
+#: Bytes of payloads that a task holds at once, unless a single one is larger.
+BATCH_BYTES = 8 << 20
 #: Smaller payloads are always written in full.
 LEAST_BYTES = 0
 SALTS = 16
@@ -108,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
         store.create_dir(path, recursive=True)
         out, name, at, k = None, "", 0, 0
         try:
-            for batch in incoming:
+            for batch in batches(incoming, BATCH_BYTES, "html"):
                 rows = []
                 for page_id, url, html, first_id, first_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "first_url"))):
                     if out is None or at >= ARCHIVE_BYTES:
