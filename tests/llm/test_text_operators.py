@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -97,6 +99,54 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1] and kept[0].key == "clash"
 
 
+CLASHES = ["__kept", "__text", "__spans", "__clean", "__language", "__score", "__leaking", "id", "h", "h1", "h2", "doc", "mark", "row", "clean", "no_id", "lang_pred", "salt"]
+
+
+def clashing(spark, rows):
+    """Rows with columns whose names the stages use themselves."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("*", *[F.lit(c).alias(c) for c in CLASHES])
+
+
+def test_stages_take_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g"), (2, "A B c d e f g"), (3, "see " + "Ab1" + "Xy9" * 8 + " end"), (4, None), (None, "a b c d e f g"), (None, None), (5, "the other text of some words")]
+    docs, bench = clashing(spark, rows), spark.createDataFrame([(1, "the other text of some words")], "item_id long, text string")
+    for frame, ids in (
+        (minhash.deduplicated(docs), [1, 3, 4, 5, None, None]),
+        (secrets.redact(docs), [1, 2, 3, 4, 5, None, None]),
+        (decontaminate.without_leaks(docs, bench), [1, 2, 3, 4, None, None]),
+        (language_id.known_language(docs), [1, 2, 3, 5, None]),
+    ):
+        got = frame.collect()
+        assert frame.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i in ids)
+        assert all(r[c] == c for r in got for c in CLASHES)
+
+
+def test_unlabelled_corpora_stay_whole(spark):
+    docs = clashing(spark, [(1, "one text"), (2, None), (3, "123")]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in language_id.known_language(docs).collect()) == [1, 2, 3]
+
+
+def test_a_pivot_of_very_many_pairs_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS_A_TASK", 3)
+    draw = random.Random(15)
+    base = words(draw, 160, 10**6)
+    rows = [(n, edited(draw, base, draw.choice([0.01, 0.05, 0.08, 0.3]))) for n in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, rows), words=4).collect()}
+    assert got == brute_components(rows, 4, 80)
+
+
+def test_parts_of_one_text_are_no_links_but_their_copies_are(spark):
+    draw = random.Random(16)
+    whole = words(draw, 400, 10**6).split(" ")
+    rows = [(0, " ".join(whole))]
+    for k in range(12):  # parts that are contained in one text, some nearly equal to each other
+        a = draw.randrange(0, 200)
+        rows += [(3 * k + 1, " ".join(whole[a : a + 200])), (3 * k + 2, " ".join(whole[a + 4 : a + 206])), (3 * k + 3, edited(draw, " ".join(whole[a : a + 200]), 0.02))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, rows), words=4).collect()}
+    assert got == brute_components(rows, 4, 80)
+
+
 def test_signatures_estimate_similarity():
     a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(7919)
     s = minhash.super_minhash(np.concatenate([minhash.mix(a[:900]), minhash.mix(a[100:])]), np.array([900, 900]), 240)
@@ -195,7 +245,7 @@ def test_plans_use_every_piece_and_few_sequences():
         counts = np.zeros(129, dtype=np.int64)
         for length in draw.integers(1, 129, most):
             counts[length] += draw.integers(1, scale + 1)
-        rows = packing.plan_rows(counts, 100)
+        rows = packing.plan_rows(counts, packing.fit_patterns(counts, 100))
         used = Counter()
         fill = Counter()
         for length, a, b, base, copies, offset in rows:
@@ -207,6 +257,34 @@ def test_plans_use_every_piece_and_few_sequences():
         assert max(fill.values()) <= 128 and len(fill) <= 1.25 * -(-sum(fill.values()) // 128) + 2
 
 
+def test_patterns_carry_most_pieces_of_a_large_histogram():
+    draw = np.random.default_rng(8)
+    counts = np.bincount(np.minimum(512, draw.lognormal(4.2, 1.0, 40_000).astype(np.int64) + 1), minlength=513)
+    plan = packing.fit_patterns(counts)
+    used = np.zeros(513, dtype=np.int64)
+    for lengths, n in plan:
+        assert sum(lengths) == 512 and len(lengths) <= 3 and n > 0
+        for v in lengths:
+            used[v] += n
+    assert (used <= counts).all() and len(plan) <= packing.THINNING[-1][1] * 512 + 1
+    long = np.arange(513) > 512 // 3  # a pattern of three lengths has one of these
+    assert used[long].sum() >= 0.8 * counts[long].sum()
+    rows = packing.plan_rows(counts, plan)
+    sequences = max(r[3] + (r[2] - r[1]) // r[4] for r in rows)
+    assert sequences <= -(-int((counts * np.arange(513)).sum()) // 512) + 2
+
+
+def test_numbering_in_cells_by_count(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_PIECES", 2)  # so that most lengths have many cells
+    rows = packing.pack(table(spark, [(k, words(random.Random(k % 9), 3 + k % 9)) for k in range(300)]), queries.vocabulary(), capacity=64).collect()
+    ends = {}
+    for r in rows:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    for parts in ends.values():
+        assert [0, *(e for _, e in sorted(parts))][:-1] == [a for a, _ in sorted(parts)] and max(parts)[1] <= 64
+    assert len(rows) >= 300 and any(r.in_pattern for r in rows)
+
+
 def test_shards(spark):
     rows = sharding.shard_documents(table(spark, None, EDGES), shards=7).collect()
     assert len(rows) == len(texts()) + 3
@@ -267,6 +345,32 @@ def test_secrets(spark):
     assert clean[100].key == "clash" and clean[100].n_chars == len(clean[100].text)
 
 
+def test_very_many_matches_in_one_text(spark):
+    def seconds(n):
+        text = " ".join(f"token=value{k:07d} é" for k in range(n))
+        docs = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+        began = time.time()
+        found = secrets.find_secrets(docs).first()
+        clean = secrets.redact(docs).first().text
+        assert found.n_assign == n and clean == " ".join(["[SECRET] é"] * n)
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(32_000) < 4 * seconds(8_000) + 5  # in proportion, with some seconds of overhead
+
+
+def test_spans_that_touch_and_overlap(spark):
+    long = "Ab1" + "Xy9" * 8
+    texts_ = [f"{long} {long}", f"token={long}", f"x{long}=token:{long}", f"AKIA{'B' * 12}{'a' * 40} {long}", f"{'0' * 40}token={'1' * 40}", f"é{long}é", f"secret={'f' * 32}.{long} {long}"]
+    docs = spark.createDataFrame([(k, t, "s", "en") for k, t in enumerate(texts_)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    owned = re.compile(secrets.OWNED)
+    for k, t in enumerate(texts_):
+        base = [(m.start(), n, m.end()) for n, p in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX)) for m in re.finditer(p.replace("\\x20", " "), t) if n or len(m.group(2)) >= 8]
+        more = [(m.start(), 3, m.end()) for m in owned.finditer(t) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert got[k] == ",".join(f"{secrets.KINDS[n]}:{a}:{b}" for a, n, b in sorted(base + more)), t
+
+
 def test_redaction_takes_what_one_owner_has_in_many_repositories(spark):
     own, common = "Ab1" + "Xy9" * 8, "Cd2" + "Zw8" * 8
     rows = [(k, f"see {own} end", "one", lang) for k, lang in enumerate(("en", "fr", "de", None))] + [(k, f"see {common} end", f"s{k % 2}", "en") for k in (10, 11)]
@@ -286,7 +390,7 @@ def test_leaks(spark):
         (4, None), (5, ""), (6, words(draw, 3000)), (7, items[1][1].replace(".", " ;")), (None, items[0][1]),
     ]
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, doc_id string")
-    found = {(r.doc_id, r.item_id): (r.tiles, r.coverage) for r in decontaminate.leaks(table(spark, docs), bench, block_bytes=200).collect()}
+    found = {(r.doc_id, r.item_id): (r.tiles, r.coverage) for r in decontaminate.leaks(table(spark, docs), bench).collect()}
     assert found == {(1, 1): (1, 1.0), (2, 1): (2, 1.0), (7, 2): (1, 1.0), (None, 1): (1, 1.0)}
     assert sorted(r.doc_id for r in decontaminate.without_leaks(table(spark, docs), bench).collect()) == [3, 4, 5, 6]
 
@@ -319,7 +423,8 @@ def test_clean_rows_without_id_or_of_a_leaking_id_stay(spark):
 
 
 def brute_tiles(item, doc, least):
-    marked_i, marked_d, total = set(), set(), 0
+    """Again and again the longest unmarked match; of equal ones that which starts first in the item, then in the doc."""
+    marked_i, marked_d, tiles = set(), set(), []
     while True:
         best = (0, 0, 0)
         for a in range(len(item)):
@@ -329,22 +434,141 @@ def brute_tiles(item, doc, least):
                     n += 1
                 best = max(best, (n, -a, -b))
         if best[0] < least:
-            return total
-        total += best[0]
+            return tiles
+        tiles.append((-best[1], -best[2], best[0]))
         marked_i |= set(range(-best[1], -best[1] + best[0]))
         marked_d |= set(range(-best[2], -best[2] + best[0]))
 
 
-def test_tiling_is_greedy():
+def test_tiling_is_brute_force():
     draw = random.Random(1)
-    for _ in range(200):
-        item, doc = (np.array([draw.randrange(3) for _ in range(draw.randint(1, 14))], dtype=np.uint64) for _ in "ab")
-        at = [(i, j) for i in range(len(item) - 2) for j in range(len(doc) - 2) if (item[i : i + 3] == doc[j : j + 3]).all()]
-        if at:
-            tiles = decontaminate.tile(item, doc, np.array([i for i, _ in at]), np.array([j for _, j in at]), 3)
-            assert max(t[2] for t in tiles) == max(n for n in range(1, 15) if any(i + n <= len(item) and j + n <= len(doc) and (item[i : i + n] == doc[j : j + n]).all() for i, j in at))
-            if brute_tiles(item.tolist(), doc.tolist(), 3) != sum(t[2] for t in tiles):  # ties may be broken in another way
-                assert len(tiles) > 1
+    many = 0
+    for trial in range(400):
+        item, doc = (np.array([draw.randrange(2 + trial % 4) for _ in range(draw.randint(0, 22))], dtype=np.uint64) for _ in "ab")
+        want = brute_tiles(item.tolist(), doc.tolist(), 1 + trial % 3)
+        assert decontaminate.tile(minhash.mix(item), minhash.mix(doc), 1 + trial % 3) == want
+        many += len(want) > 2
+    assert many > 100
+
+
+def test_tiling_of_one_repeated_word_is_no_product():
+    item, doc = np.full(3000, 7, dtype=np.uint64), np.full(200_000, 7, dtype=np.uint64)
+    assert decontaminate.tile(item, doc, 5) == [(0, 0, 3000)]
+
+
+def test_leaks_are_brute_force(spark):
+    draw = random.Random(19)
+    pool = [words(draw, 12, 9) for _ in range(6)]  # few words, so that many runs are shared
+    items = [(k, " ".join(draw.sample(pool, 2)) if k else "w1 w2 w3") for k in range(5)] + [(4, "two")]
+    docs = [(k, " ".join(draw.choice([*pool, words(draw, 8, 9), "w1 w2 w3"]) for _ in range(draw.randint(0, 4)))) for k in range(40)] + [(50, "only two"), (50, "only two"), (51, "w1 w2")]
+    want = []
+    for i, t in docs:
+        for j, u in items:
+            a, b = u.split(), t.split()
+            n = min(5, len(a))
+            size = sum(x[2] for x in brute_tiles(a, b, n))
+            if size >= len(a) / 2 and (len(a) >= 5 or size == len(a)):
+                want.append((i, j, size))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.tiled_words) for r in got) == sorted(want) and len(want) > 20
+    kept = decontaminate.without_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in docs if not any(i == w[0] and len(dict(items[:5])[w[1]].split()) >= 5 for w in want if w[1] != 4 or w[2] > 1))
+
+
+def brute_features(text):
+    """Counts of the hashed n-grams of one text, by plain loops."""
+    points = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()}  "]
+    counts = Counter()
+    for at in range(len(text.lower()) + 1):
+        h = 0
+        for k in range(3):
+            h = (h + points[at + k] + k + 1) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+            counts[(h * 0x85EBCA6B % 2**32) >> (32 - language_id.FEATURE_BITS)] += 1
+    return counts
+
+
+def brute_language_model(rows):
+    """(doc_id, text, lang) -> scores by language of any text: TF-IDF, FTRL, elastic net and temperature with plain loops."""
+    learn = [(i, t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 4 != 2 and g and t and any(c.isalpha() for c in t)]
+    langs = sorted({g for _, _, g in learn})
+    df = Counter(f for _, t, _ in learn for f in brute_features(t))
+    idf = lambda f: math.log((1 + len(learn)) / (1 + df[f])) + 1
+
+    def vector(t):
+        counts = brute_features(t)
+        total = sum(counts.values())
+        return {f: language_id.SCALE * n / total * idf(f) for f, n in sorted(counts.items())} | {-1: 1.0}
+
+    draws = {i: xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42) >> 1 for i, _, _ in learn}
+    sample = sorted(learn, key=lambda r: (r[2], draws[r[0]]))
+    fit = [(vector(t), langs.index(g)) for k, (_, t, g) in enumerate(sample) if k % language_id.CALIBRATION]
+    rest = [(vector(t), langs.index(g)) for k, (_, t, g) in enumerate(sample) if k % language_id.CALIBRATION == 0]
+    z, n = {}, {}
+
+    def weight(f, k):
+        zs = z.get((f, k), 0.0)
+        if abs(zs) <= language_id.L1:
+            return 0.0
+        return -(zs - math.copysign(language_id.L1, zs)) / ((language_id.BETA + math.sqrt(n.get((f, k), 0.0))) / language_id.ALPHA + language_id.L2)
+
+    def chances(x, heat=1.0):
+        said = [sum(v * weight(f, k) for f, v in x.items()) / heat for k in range(len(langs))]
+        e = [math.exp(a - max(said)) for a in said]
+        return [a / sum(e) for a in e]
+
+    order = np.random.default_rng(1)
+    for _ in range(language_id.PASSES):
+        for j in order.permutation(len(fit)):
+            x, label = fit[j]
+            p = chances(x)
+            now = {(f, k): weight(f, k) for f in x for k in range(len(langs))}
+            for f, v in x.items():
+                for k in range(len(langs)):
+                    g = v * (p[k] - (k == label))
+                    old = n.get((f, k), 0.0)
+                    n[f, k] = old + g * g
+                    z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(n[f, k]) - math.sqrt(old)) / language_id.ALPHA * now[f, k]
+    loss = lambda heat: -sum(math.log(max(chances(x, heat)[k], 1e-12)) for x, k in rest)
+    heats = [math.exp(math.log(0.05) + s * (math.log(20) - math.log(0.05)) / 60) for s in range(61)]
+    best = min(heats, key=loss)
+    return langs, lambda t, heat: chances(vector(t), heat), best, loss
+
+
+def test_language_model_is_brute_force(spark):
+    draw = random.Random(4)
+    tongues = {"xx": "abcdefgh", "yy": "efghijkl", "zz": "mnopéñab"}
+    say = lambda g: " ".join("".join(draw.choice(tongues[g]) for _ in range(draw.randint(2, 6))) for _ in range(draw.randint(2, 12)))
+    rows = [(k, say(g := draw.choice(list(tongues))), g if draw.random() < 0.9 else None) for k in range(80)] + [(90, None, "xx"), (91, "12 ..", "yy"), (92, "", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    langs, chances, heat, loss = brute_language_model(rows)
+    model = language_id.train(language_id.Scratch(spark, "test"), docs)
+    assert model.languages == langs and loss(model.temperature) <= loss(heat) + 1e-6
+    for r in language_id.language_id(docs).collect():
+        text = rows[r.doc_id][1] if r.doc_id < 80 else None
+        if text:
+            p = chances(text, model.temperature)
+            assert r.score == pytest.approx(max(p), abs=2e-4) and r.lang_pred == langs[p.index(max(p))]
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_predictions_do_not_depend_on_the_neighbours():
+    texts_ = pa.array(["abc def", "", None, "zzz", "x" * 50, "é"])
+    weights = np.random.default_rng(0).normal(size=(3, 1 << language_id.FEATURE_BITS)).astype(np.float32)
+    model = language_id.Model(["a", "b", "c"], weights, np.zeros(3))
+    together, _ = model.logits(texts_)
+    for k in range(len(texts_)):
+        assert np.allclose(model.logits(texts_.slice(k, 1))[0][0], together[k], atol=1e-5)
+
+
+def test_sample_is_bounded_and_takes_repeated_rows_once(spark):
+    rows = [(k, f"text {k}", "xx") for k in range(500)] + [(7, "text 7", "yy")] * 300 + [(8, "text 8", "yy")]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    last = language_id.last_buckets(learn, 50)
+    chosen = learn.where((F.col("lang") == "xx") & (language_id.bucket_of(F.col("draw")) <= last["xx"])).count()
+    assert 40 <= chosen <= 50 and set(last) == {"xx", "yy"}
 
 
 def test_language_id(spark):
@@ -470,6 +694,24 @@ def test_archives(spark):
     assert warc.ranges([(0, 10), (10, 5), (10**6, 5), (10**6 + 5, 9 << 20)]) == [(0, 2, 15), (2, 3, 5), (3, 4, 9 << 20)]
 
 
+def test_selected_records_are_read_through_the_index(spark):
+    draw = random.Random(17)
+    pages = [(n, f"http://x/{n}", draw.choice(["same", words(draw, 50), f"<p>{n}</p>"])) for n in range(300)]
+    scratch = warc.Scratch(spark, "warc-test")
+    index = scratch.write(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), scratch.uri("archives")), "index")
+    chosen = index.where((F.col("page_id") % 7 == 3) & (F.col("record_type") == "response"))
+    want = {r.page_id for r in chosen.collect()}
+    got = {r.page_id: r.payload.decode() for r in warc.read_records(chosen, payloads=True).collect()}
+    assert got == {i: h for i, _, h in pages if i in want} and len(got) > 20
+    rows = sorted((r.file, r.offset, r.length) for r in index.collect())
+    name = rows[0][0]
+    store, path = warc.file_system(name)
+    with store.open_input_file(path) as f:  # every record of the first file is a member by itself, at its place
+        for _, offset, length in [r for r in rows if r[0] == name]:
+            f.seek(offset)
+            assert zlib.decompress(f.read(length), 31).startswith(b"WARC/1.1")
+
+
 def test_chat_round_trip(spark):
     draw = random.Random(6)
     nasty = ["<|im_end|>", "<\\|im_start|>", "<\\\\|x", "<|", "a\nb", "", None, "é" * 50, "\\", "<\\"]
