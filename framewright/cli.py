@@ -7,7 +7,7 @@ import json
 import sys
 
 from .operators.audit import verify
-from .plans.catalogue import QUERIES
+from .plans import QUERIES
 from .session import session
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import pandas as pd
@@ -12,28 +13,32 @@ from ..operators.receipts import canonical_json, ratio_text, region_sum
 
 @F.pandas_udf(T.LongType())
 def common_divisor(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Greatest common divisor."""
-    import math
-
-    return pd.Series([math.gcd(int(x), int(y)) for x, y in zip(a, b)])
+    """Greatest common divisor; null where a number is missing."""
+    return pd.Series([None if pd.isna(x) or pd.isna(y) else math.gcd(int(x), int(y)) for x, y in zip(a, b)], dtype="Int64")
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")]))
-def part_to_coded(rotation: pd.Series, canvas_w: pd.Series, canvas_h: pd.Series, crop: pd.DataFrame, part: pd.DataFrame, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    """A part's box on a resized canvas of a rotated crop, in coded axes; exact until the last step.
+def part_to_coded(turn: pd.Series, canvas_w: pd.Series, canvas_h: pd.Series, crop: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+    """A part's box on the resized canvas of a crop that was turned clockwise, in the raster that the crop (x1..y2) is of.
 
-    crop: x1, y1, x2, y2 of the crop as displayed; width and height are the coded ones.
+    Fractions until the last step, so an edge on a whole pixel stays there. Nulls give nulls.
     """
-    rows = []
-    for r, cw, ch, c, p, w, h in zip(rotation, canvas_w, canvas_h, crop.itertuples(), part.itertuples(), width, height):
-        sx, sy = (Fraction(c.x2) - Fraction(c.x1)) / int(cw), (Fraction(c.y2) - Fraction(c.y1)) / int(ch)
-        xs = [Fraction(c.x1) + Fraction(v) * sx for v in (p.x1, p.x2)]
-        ys = [Fraction(c.y1) + Fraction(v) * sy for v in (p.y1, p.y2)]
-        turn = {0: lambda x, y: (x, y), 90: lambda x, y: (y, h - x), 180: lambda x, y: (w - x, h - y), 270: lambda x, y: (w - y, x)}[int(r)]
-        corners = [turn(x, y) for x, y in zip(xs, ys)]
-        u, v = sorted(a for a, _ in corners), sorted(b for _, b in corners)
-        rows.append((float(u[0]), float(v[0]), float(u[1]), float(v[1])))
-    return pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2"])
+
+    def placed(degrees, cw, ch, c, p) -> tuple:
+        if pd.isna([degrees, cw, ch, *c, *p]).any():
+            return (None,) * 4
+        left, top, right, bottom = map(Fraction, c)
+        wide, high = right - left, bottom - top
+        sideways = int(degrees) in (90, 270)
+        seen_w, seen_h = (high, wide) if sideways else (wide, high)
+        u = [Fraction(v) * seen_w / int(cw) for v in (p[0], p[2])]
+        v = [Fraction(w) * seen_h / int(ch) for w in (p[1], p[3])]
+        # each axis of the raster runs along one axis of the canvas, forwards or backwards
+        xs, ys = {0: (u, v), 90: (v, [high - a for a in u]), 180: ([wide - a for a in u], [high - b for b in v]), 270: ([wide - b for b in v], u)}[int(degrees)]
+        return tuple(map(float, (left + min(xs), top + min(ys), left + max(xs), top + max(ys))))
+
+    rows = [placed(*r) for r in zip(turn, canvas_w, canvas_h, crop[["x1", "y1", "x2", "y2"]].itertuples(index=False), part[["x1", "y1", "x2", "y2"]].itertuples(index=False))]
+    return pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2"], dtype=float)
 
 
 def register(spark: SparkSession) -> None:

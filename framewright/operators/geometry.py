@@ -59,15 +59,39 @@ def whole_pixels(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(x2) - F.ceil(x1)) * F.greatest(F.lit(0), F.floor(y2) - F.ceil(y1))
 
 
+MOST_ROWS = 512
+
+
 def post_nms(rows: DataFrame, classes: list[int]) -> DataFrame:
     """rows(source, values array of [x1, y1, x2, y2, objectness, class score, class]): kept detections with their original index and score."""
+    fits = (F.size("values") <= MOST_ROWS) & F.forall("values", lambda v: F.size(v) == 7)
+    rows = rows.withColumn("values", F.when(fits, F.col("values")).otherwise(F.raise_error(F.lit("more than 512 rows, or a row without 7 columns")).cast(rows.schema["values"].dataType)))
     each = rows.select("*", F.posexplode("values").alias("det_index", "v")).withColumn("class_id", F.get("v", F.lit(6)).cast("int"))
     score = F.get("v", F.lit(4)) * F.get("v", F.lit(5))
     return each.where(F.col("class_id").isin(classes)).withColumn("score", score)
 
 
-def pairs_of_class(boxes: DataFrame, on: list[str], numerator: int, denominator: int) -> DataFrame:
-    """Pairs (lower index first) of boxes equal in ``on`` that overlap enough."""
-    a = boxes.select(*on, *[F.col(c).alias(f"a_{c}") for c in ("idx", *BOX)])
-    b = boxes.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("idx", *BOX)])
-    return a.join(b, on).where((F.col("a_idx") < F.col("b_idx")) & iou_at_least("a_", "b_", numerator, denominator))
+def pairs_of_class(boxes: DataFrame, on: list[str], numerator: int, denominator: int, cell: int = 64) -> DataFrame:
+    """Pairs (lower index first) of boxes equal in ``on`` that overlap enough.
+
+    Boxes join by the cells of a grid that they touch, so a key with very many boxes is
+    dealt over the grid. A pair counts in the cell of its common part's first corner alone.
+    """
+    spread = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.greatest(F.floor(F.col(low) / cell), F.ceil(F.col(high) / cell) - 1)))
+    celled = boxes.withColumn("__cx", spread("x1", "x2")).withColumn("__cy", spread("y1", "y2"))
+    side = lambda p: celled.select(*on, "__cx", "__cy", *[F.col(c).alias(f"{p}_{c}") for c in ("idx", *BOX)])
+    home = (F.floor(F.greatest("a_x1", "b_x1") / cell) == F.col("__cx")) & (F.floor(F.greatest("a_y1", "b_y1") / cell) == F.col("__cy"))
+    met = side("a").join(side("b"), [*on, "__cx", "__cy"])
+    return met.where((F.col("a_idx") < F.col("b_idx")) & home & iou_at_least("a_", "b_", numerator, denominator)).drop("__cx", "__cy")
+
+
+def box_from_letterbox(box: dict[str, Column], content: tuple[Column, Column], original: tuple[Column, Column]) -> dict[str, Column]:
+    """A box of the resized picture in the original: clipped to the content, scaled by each axis, null if nothing is left."""
+    places = {c: from_letterbox(box[c], content[c[0] == "y"], original[c[0] == "y"]) for c in BOX}
+    return clip(places, *original)
+
+
+def within_view(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """x, or an error if the point lies outside of the view."""
+    good = (x >= 0) & (x <= width) & (y >= 0) & (y <= height)
+    return F.when(good, x).otherwise(F.raise_error(F.lit("a point lies outside of the view")).cast("double"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .boundaries import reasons
 
@@ -36,22 +37,55 @@ def lane_of(x: Column, boundaries: Column) -> Column:
     return F.when(inside, F.size(F.filter(boundaries, lambda b: b <= x)) - 1)
 
 
-def crossings(points: DataFrame, keys: list[str], y: Column) -> DataFrame:
-    """points(keys, points array of (x, y) by anchor, with nulls): where each line meets the height y.
+def anchor_place(axis: Column, index: Column, n: Column, width: Column, height: Column) -> Column:
+    """Where an anchor lies: rows from 0.42 of the height to all of it, columns over the whole width."""
+    share = index / (n - 1)
+    return F.when(axis == "row", (F.lit(0.42) + F.lit(0.58) * share) * height).otherwise(share * width)
 
-    Reasons: horizontal_intersection at once, no_adjacent_support, multiple_intersections, or none; a shared vertex counts once.
+
+def section_sample(points: Column, visible: Column, passed: Column, y: Column) -> Column:
+    """Where a line meets the height y, as a struct of x (or null) and the reason why there is no x.
+
+    points: array of (x, y) by anchor, with nulls; visible: a flag for each pair of
+    neighbouring anchors; passed: whether the slot has support. A flat pair at y comes
+    first of all reasons. A vertex that two pairs share counts once. Of the pairs that
+    meet y at one place a visible one is needed.
     """
-    pairs = F.filter(
-        F.zip_with(F.slice("points", F.lit(1), F.size("points") - 1), F.slice("points", F.lit(2), F.size("points") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        lambda p: p["a"].isNotNull() & p["b"].isNotNull(),
-    )
-    each = points.withColumn("y", y).withColumn("pairs", pairs)
-    flat = F.exists("pairs", lambda p: (p["a"]["y"] == F.col("y")) & (p["b"]["y"] == F.col("y")))
-    meet = F.filter("pairs", lambda p: (F.least(p["a"]["y"], p["b"]["y"]) <= F.col("y")) & (F.greatest(p["a"]["y"], p["b"]["y"]) >= F.col("y")) & (p["a"]["y"] != p["b"]["y"]))
-    at = F.array_distinct(F.transform(meet, lambda p: p["a"]["x"] + (F.col("y") - p["a"]["y"]) / (p["b"]["y"] - p["a"]["y"]) * (p["b"]["x"] - p["a"]["x"])))
-    found = each.withColumn("at", at).withColumn("flat", flat)
-    reason = F.when(F.col("flat"), "horizontal_intersection").when(F.size("at") == 0, "no_adjacent_support").when(F.size("at") > 1, "multiple_intersections")
-    return found.withColumn("reason", reason).withColumn("x", F.when(F.col("reason").isNull(), F.col("at")[0])).drop("at", "flat", "pairs")
+    pairs = F.zip_with(
+        F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        visible, lambda p, v: F.struct(p["a"].alias("a"), p["b"].alias("b"), v.alias("seen")),
+    )
+    placed = F.transform(pairs, lambda p, i: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["seen"].alias("seen"), i.alias("i")))
+    met = F.filter(placed, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (F.least(p["a"]["y"], p["b"]["y"]) <= y) & (F.greatest(p["a"]["y"], p["b"]["y"]) >= y))
+    flat = F.exists(met, lambda p: p["a"]["y"] == p["b"]["y"])
+
+    def hit(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        place = F.when(y == a["y"], 2 * p["i"]).when(y == b["y"], 2 * p["i"] + 2).otherwise(2 * p["i"] + 1)  # even: an anchor
+        x = F.when(y == a["y"], a["x"]).when(y == b["y"], b["x"]).otherwise(a["x"] + (y - a["y"]) / (b["y"] - a["y"]) * (b["x"] - a["x"]))
+        return F.struct(place.alias("place"), x.alias("x"), p["seen"].alias("seen"))
+
+    hits = F.transform(F.filter(met, lambda p: p["a"]["y"] != p["b"]["y"]), hit)
+    places = F.size(F.array_distinct(F.transform(hits, lambda h: h["place"])))
+    certain = F.get(F.filter(hits, lambda h: h["seen"]), F.lit(0))["x"]
+    reason = (
+        F.when(~passed, "slot_support_missing").when(flat, "horizontal_intersection").when(places == 0, "no_adjacent_support")
+        .when(places > 1, "multiple_intersections").when(certain.isNull(), "uncertified_intersection")
+    )
+    return F.struct(F.when(reason.isNull(), certain).alias("x"), reason.alias("reason"))
+
+
+def bound_samples(slots: DataFrame, bindings: DataFrame, on: list[str], y: str) -> DataFrame:
+    """slots(on, slot, points, passed) joined with bindings(on, slot, position, boundary_id, visible, y): each binding's sample."""
+    met = bindings.join(slots, [*on, "slot"])
+    return met.withColumn("__s", section_sample(F.col("points"), F.col("visible"), F.col("passed"), F.col(y))).select(*on, "position", "slot", "boundary_id", F.col("__s.x").alias("x"), F.col("__s.reason").alias("reason"))
+
+
+def section_facts(samples: DataFrame, on: list[str]) -> DataFrame:
+    """samples(on, position, x, reason): how many bindings a frame has, the first that fails, and whether x grows from one to the next."""
+    last = F.lag("x").over(Window.partitionBy(*on).orderBy("position"))
+    steps = samples.withColumn("back", F.coalesce(F.col("x") <= last, F.lit(False)))
+    return steps.groupBy(*on).agg(F.count(F.lit(1)).alias("bindings"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("position"))).alias("first_failure"), (~F.bool_or("back")).alias("ordered"))
 
 
 STATE = (
@@ -64,10 +98,13 @@ def lane_changes(rows: DataFrame, max_gap: int, dwell: int, key: Column | None =
     """rows(source_id, ordinal, pts, lane, interior): completed changes to a neighbouring lane, with the frames that bracket them.
 
     A lane of null (nothing observed, gates closed, outside) and every break of the
-    stream begin anew. The fold runs over each source's rows in order, in the JVM.
+    stream begin anew, so the runs between them don't depend on each other. The fold
+    goes over each run's rows in order, in the JVM.
     """
     marked = reasons(rows, max_gap, key)
-    ordered = marked.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "pts", "lane", "interior", F.col("reason").isNotNull().alias("brk")))).alias("rows"))
+    cuts = F.when(F.col("lane").isNull() | F.col("reason").isNotNull(), 1).otherwise(0)
+    marked = marked.withColumn("run", F.sum(cuts).over(Window.partitionBy("source_id").orderBy("ordinal"))).where("lane is not null")
+    ordered = marked.groupBy("source_id", "run").agg(F.sort_array(F.collect_list(F.struct("ordinal", "pts", "lane", "interior", F.col("reason").isNotNull().alias("brk")))).alias("rows"))
     blank = "named_struct('base', cast(null as int), 'stable', cast(null as bigint), 'pend', cast(null as int), 'pend_o', cast(null as bigint), 'pend_t', cast(null as bigint), 'dep', false, 'd0', cast(null as bigint), 'd1', cast(null as bigint), 'crs', false, 'c0', cast(null as bigint), 'c1', cast(null as bigint), 'last', cast(null as int), 'prev', cast(null as bigint), 'out', {out})"
     empty = f"cast(array() as {STATE.split('out:')[1][:-1]})"
     let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"

@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
+
+from . import ranges
 
 MAX_FRAMES = 120
 
 
-def context(candidates: DataFrame, samples: DataFrame, pre: int, post: int) -> DataFrame:
-    """candidates(source_id, candidate, start, end) widened by pre and post, and to the samples (source_id, ticks, length) that these meet."""
-    asked = candidates.withColumn("ask_from", F.greatest(F.col("start") - pre, F.lit(0))).withColumn("ask_to", F.col("end") + post)
-    met = asked.join(samples.select("source_id", "ticks", "length"), "source_id", "left").where("ticks is null or (ticks < ask_to and ticks + length > ask_from)")
-    wide = met.groupBy("source_id", "candidate", "ask_from", "ask_to").agg(F.min("ticks").alias("lo"), F.max(F.col("ticks") + F.col("length")).alias("hi"))
-    return wide.select("source_id", "candidate", F.least("ask_from", "lo").alias("context_from"), F.greatest("ask_to", "hi").alias("context_to"))
+def context(candidates: DataFrame, samples: DataFrame, lengths: DataFrame, pre: int, post: int) -> DataFrame:
+    """candidates(source_id, candidate, start, end) widened by pre and post within their stream, then to the samples that bracket that.
+
+    samples(source_id, ticks, length), in the order of a timeline; lengths(source_id,
+    stream_length). Every candidate stays: where no sample lies at or before (after) an
+    end, the first (last) sample there is can't widen it (widens it if it reaches out).
+    """
+    asked = candidates.join(lengths, "source_id", "left")
+    asked = asked.withColumn("ask_from", F.greatest(F.col("start") - pre, F.lit(0))).withColumn("ask_to", F.least(F.col("end") + post, F.col("stream_length")))
+    point = lambda at: samples.withColumn(at, F.col("ticks"))
+    ends = F.col("ticks") + F.col("length")
+    wide = ranges.nearest(asked, point("ask_from"), ["source_id"], "ask_from", F.col("ticks"), False, "lo")
+    wide = ranges.nearest(wide, point("ask_to"), ["source_id"], "ask_to", ends, True, "hi")
+    last = samples.groupBy("source_id").agg(F.max(ends).alias("last_end"))
+    wide = wide.join(last, "source_id", "left").withColumn("hi", F.coalesce("hi", "last_end"))
+    return wide.select(
+        "source_id", "candidate", F.col("ask_from").alias("requested_from"), F.col("ask_to").alias("requested_to"),
+        F.least("ask_from", F.coalesce("lo", "ask_from")).alias("context_from"), F.greatest("ask_to", F.coalesce("hi", "ask_to")).alias("context_to"),
+    )
 
 
 def grouped_windows(windows: DataFrame, most: int = MAX_FRAMES) -> DataFrame:
-    """windows(source_id, first, count, idx) merged in order while they touch the last group and the union stays within ``most`` frames."""
-    ordered = windows.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("first", "count", "idx"))).alias("w"))
-    merged = (
-        "aggregate(w, cast(array() as array<struct<first:bigint,count:bigint,n:bigint>>), (acc, x) -> "
-        "if(size(acc) > 0 and x.first <= element_at(acc, -1).first + element_at(acc, -1).count and "
-        f"greatest(x.first + x.count, element_at(acc, -1).first + element_at(acc, -1).count) - element_at(acc, -1).first <= {most}, "
-        "concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'count', "
-        "greatest(x.first + x.count, element_at(acc, -1).first + element_at(acc, -1).count) - element_at(acc, -1).first, 'n', element_at(acc, -1).n + 1))), "
-        "array_append(acc, named_struct('first', x.first, 'count', x.count, 'n', 1L))))"
-    )
-    return ordered.select("source_id", F.posexplode(F.expr(merged)).alias("group", "g")).select("source_id", "group", F.col("g.first").alias("first"), F.col("g.count").alias("count"), F.col("g.n").alias("n_windows"))
+    """windows(source_id, first, count, idx) merged in order while they touch the last group and the union stays within ``most`` frames.
+
+    Windows that don't touch the furthest end before them begin a group whatever came
+    earlier, so each stretch between such windows is folded by itself.
+    """
+    order = Window.partitionBy("source_id").orderBy("first", "count", "idx")
+    reach = F.max(F.col("first") + F.col("count")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = windows.withColumn("apart", F.when(reach.isNull() | (F.col("first") > reach), 1).otherwise(0)).withColumn("stretch", F.sum("apart").over(order))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        groups: list[list[int]] = []
+        for r in part.sort_values(["first", "count", "idx"]).itertuples():
+            begin, end = int(r.first), int(r.first) + int(r.count)
+            if groups and begin <= groups[-1][1] and max(end, groups[-1][1]) - groups[-1][0] <= most:
+                groups[-1][1:] = [max(end, groups[-1][1]), groups[-1][2] + 1]
+            else:
+                groups.append([begin, end, 1])
+        source, stretch = int(part["source_id"].iloc[0]), int(part["stretch"].iloc[0])
+        return pd.DataFrame([(source, stretch, a, b - a, n) for a, b, n in groups], columns=["source_id", "stretch", "first", "count", "n_windows"])
+
+    folded = cut.select("source_id", "first", "count", "idx", "stretch").groupBy("source_id", "stretch").applyInPandas(fold, "source_id long, stretch long, first long, count long, n_windows long")
+    number = F.row_number().over(Window.partitionBy("source_id").orderBy("stretch", "first")) - 1
+    return folded.select("source_id", number.cast("int").alias("group"), "first", "count", "n_windows")

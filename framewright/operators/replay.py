@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import lamps, lanes
-from .boundaries import reset_floor
-from .planning import MAX_FRAMES, grouped_windows
+from . import lamps, lanes, ranges
+from .planning import MAX_FRAMES
 from .receipts import region_sum
+from .sinks import checked_selection
 
 
 def joined(frames: DataFrame, rows: DataFrame) -> DataFrame:
-    """Decoded frames with what was recorded for them; frames without a row stay, with nulls, and are never filled."""
-    return frames.join(rows, ["source_id", "ordinal"], "left")
+    """Decoded frames with what was recorded for them; frames without a row are passed over, never filled."""
+    return frames.join(rows, ["source_id", "ordinal"])
 
 
 def pixel_window(decoded: DataFrame, first: int, count: int) -> DataFrame:
@@ -37,6 +37,7 @@ def brightness(frames: DataFrame, side: str, min_pixels: int) -> DataFrame:
     )
 
 
+# The names of gates and statuses.
 def section_reason(vehicle: Column, batch: Column, context: Column, flags: dict[str, Column], bindings: Column, first_failure: Column, ordered: Column) -> Column:
     """Why a lane section can't be used: the first gate that is shut, then the first failing binding, then the order of what was found."""
     return F.coalesce(
@@ -72,24 +73,29 @@ def observer(rows: DataFrame) -> DataFrame:
     return rows.where("state = 'observed'")
 
 
-def analyse(frames: DataFrame, rows: DataFrame, key: Column, max_gap: int, dwell: int, window: tuple[int, int], config: lamps.LampConfig) -> dict[str, DataFrame]:
-    """Lane changes, lamp reports and resets of recorded rows (source_id, ordinal, lane, interior, status, brightness)."""
+def analyse(frames: DataFrame, rows: DataFrame, source: Column, max_gap: int, dwell: int, windows: DataFrame, config: lamps.LampConfig) -> dict[str, DataFrame]:
+    """Lane changes, lamp reports and resets of recorded rows (source_id, ordinal, lane, interior, observed, identity, uncertain, status, brightness).
+
+    A frame without a row is none of the stream, so the next one breaks it.
+    """
     whole = joined(frames, rows)
+    marked = lamps.histories(whole, max_gap, source=source)
+    samples = lamps.latest(marked).select("source_id", "ordinal", "ticks", "status", "brightness")
     return {
         "changes": lanes.lane_changes(whole.select("source_id", "ordinal", "pts", "lane", "interior"), max_gap, dwell),
-        "lamps": lamps.window_report(whole.select("source_id", "ordinal", "ticks", F.coalesce("status", F.lit("no_actual_observation")).alias("status"), "brightness"), *window, config),
-        "resets": reset_floor(whole, key).where("is_reset").select("source_id", "ordinal"),
+        "lamps": lamps.window_report(samples, windows, config),
+        "resets": marked.where("source_reset is not null").select("source_id", "ordinal", F.col("source_reset").alias("reason")),
     }
 
 
-def batch_windows(timeline: DataFrame, contexts: DataFrame, selection: list[int]) -> DataFrame:
-    """contexts(source_id, candidate, context_from, context_to) of the chosen candidates as frame windows, grouped for one pass each."""
-    if not 1 <= len(selection) <= MAX_FRAMES or len(set(selection)) != len(selection) or min(selection) < 0:
-        raise ValueError("a selection holds 1 to 120 different candidates")
-    chosen = contexts.where(F.col("candidate").isin(selection))
-    inside = chosen.join(timeline.select("source_id", "ordinal", "ticks"), "source_id").where("ticks >= context_from and ticks < context_to")
+def batch_windows(timeline: DataFrame, contexts: DataFrame, selection: list[int], width: int) -> DataFrame:
+    """contexts(source_id, candidate, context_from, context_to) of the chosen candidates as windows (source_id, idx, first, count) of frames; width: about that of a context, in ticks."""
+    checked_selection(selection)
+    chosen = contexts.where(F.col("candidate").isin(list(selection)))
+    inside = ranges.meet(timeline.select("source_id", "ordinal", "ticks"), chosen, ["source_id"], "ticks", "context_from", "context_to", width)
     windows = inside.groupBy("source_id", F.col("candidate").alias("idx")).agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("count"))
-    return grouped_windows(windows)
+    fits = F.when(F.col("count") <= MAX_FRAMES, F.col("count")).otherwise(F.raise_error(F.lit("a window holds 120 frames at most")).cast("long"))
+    return windows.withColumn("count", fits)
 
 
 def worth_priming(groups: DataFrame, windows: DataFrame, kept_from: int, kept_count: int) -> DataFrame:

@@ -8,12 +8,15 @@ from itertools import groupby
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
+
+from .boundaries import segments
 
 
 @dataclass(frozen=True)
 class Policy:
-    """Times in ticks; noise for (cx, cy, ln w, ln h)."""
+    """Times in ticks; noise for (cx, cy, ln w, ln h). classes: those that detections may have (empty: any)."""
 
     max_gap: int
     max_unobserved: int
@@ -28,6 +31,11 @@ class Policy:
     velocity_variance: tuple[float, ...] = (10.0, 10.0, 0.1, 0.1)
     max_detections: int = 64
     max_tracks: int = 128
+    classes: tuple[int, ...] = ()
+
+
+#: How far below zero the determinant of a covariance may come by rounding.
+ROUNDING = 1e-10
 
 
 def predict(state: list[float], dt: float, q: float) -> list[float]:
@@ -43,29 +51,62 @@ def correct(state: list[float], z: float, r: float) -> list[float]:
     return [x + kx * (z - x), v + kv * (z - x), pxx - kx * pxx, pxv - kx * pxv, pvv - kv * pxv]
 
 
+def guarded(state: list[float]) -> list[float]:
+    """The channel, if it is finite and its covariance has no negative variance; else an error."""
+    _, _, pxx, pxv, pvv = state
+    if not all(map(math.isfinite, state)) or min(pxx, pvv, pxx * pvv - pxv * pxv) < -ROUNDING:
+        raise ValueError("covariance is not positive or not finite")
+    return state
+
+
 def measure(box) -> tuple[float, ...]:
     x1, y1, x2, y2 = box
     return (x1 + x2) / 2, (y1 + y2) / 2, math.log(x2 - x1), math.log(y2 - y1)
 
 
 def to_box(channels) -> tuple[float, ...]:
-    cx, cy, w, h = channels[0][0], channels[1][0], math.exp(channels[2][0]), math.exp(channels[3][0])
+    try:
+        cx, cy, w, h = channels[0][0], channels[1][0], math.exp(channels[2][0]), math.exp(channels[3][0])
+    except OverflowError:
+        raise ValueError("state is not finite") from None
     if not all(map(math.isfinite, (cx, cy, w, h))):
         raise ValueError("state is not finite")
     return cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2
 
 
+def inside(box, raster) -> tuple:
+    """The part of a box within (width, height); four nulls if there is none, the box itself without a raster."""
+    if raster is None:
+        return box
+    x1, y1, x2, y2 = max(box[0], 0.0), max(box[1], 0.0), min(box[2], raster[0]), min(box[3], raster[1])
+    return (x1, y1, x2, y2) if x1 < x2 and y1 < y2 else (None,) * 4
+
+
 def iou(a, b) -> float:
     common = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
     return common / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - common)
 
 
+def linked(of_detection: dict[int, set[int]], twins: list[tuple[int, int]]) -> list[tuple[set[int], set[int]]]:
+    """(tracks, detections) of each group that edges and twins connect, by their smallest detection."""
+    groups: list[tuple[set[int], set[int]]] = []
+    for tracks, detections in [*((set(t), {d}) for d, t in of_detection.items()), *((set(), {a, b}) for a, b in twins)]:
+        apart = []
+        for other in groups:
+            if other[0] & tracks or other[1] & detections:
+                tracks, detections = tracks | other[0], detections | other[1]
+            else:
+                apart.append(other)
+        groups = [*apart, (tracks, detections)]
+    return sorted(groups, key=lambda g: min(g[1]))
+
+
 @dataclass
 class Tracker:
     """State of one source. A failed update leaves none behind."""
 
     policy: Policy
-    last: tuple[int, int] | None = None  # ordinal, pts
+    last: tuple | None = None  # ordinal, pts, key, clock
     segment: int = 0
     next_id: int = 1
     tracks: dict[int, dict] = field(default_factory=dict)
@@ -74,49 +115,77 @@ class Tracker:
     def state(self) -> dict:
         return {"last": self.last, "segment": self.segment, "next_id": self.next_id, "tracks": self.tracks, "reason": self.reason}
 
-    def update(self, ordinal: int, pts: int, detections: list[dict]) -> list[dict]:
-        """detections: index, class_id, box, score. Reports every track and every ambiguous or unused detection."""
+    def reset(self, reason: str = "manual_reset") -> None:
+        """Forget all tracks; the next update begins a segment for this reason."""
+        if reason not in ("start", "manual_reset", "failed_update"):
+            raise ValueError("not a reason to reset")
+        self.last, self.tracks, self.reason = None, {}, reason
+
+    def update(self, ordinal: int, pts: int, detections: list[dict], key=None, clock=None, raster: tuple[float, float] | None = None) -> list[dict]:
+        """detections: index, class_id, box, score. Reports every track, every ambiguous detection and every track that ambiguity ends."""
         try:
-            return self._update(ordinal, pts, detections)
+            return self._update(ordinal, pts, detections, key, clock, raster)
         except BaseException:
-            self.tracks, self.last, self.reason = {}, None, "failed_update"
+            self.reset("failed_update")
             raise
 
-    def _update(self, ordinal, pts, detections):
+    def _boundary(self, ordinal, pts, key, clock) -> tuple[str | None, int]:
+        if self.last is None:
+            return self.reason, 0
+        last_ordinal, last_pts, last_key, last_clock = self.last
+        if key != last_key:
+            return "source_or_geometry_change", 0
+        if clock != last_clock:
+            raise ValueError("the clock of a source changed")
+        dt = pts - last_pts
+        if dt <= 0 or ordinal <= last_ordinal:
+            raise ValueError("time or order is not strictly increasing")
+        return ("missing_decoded_frame" if ordinal != last_ordinal + 1 else "time_gap" if dt > self.policy.max_gap else None), dt
+
+    def _update(self, ordinal, pts, detections, key, clock, raster):
         p = self.policy
         if len(detections) > p.max_detections or len({d["index"] for d in detections}) != len(detections):
             raise ValueError("too many detections, or one index twice")
-        reason = self.reason if self.last is None else None
-        dt = 0
-        if self.last is not None:
-            dt = pts - self.last[1]
-            if dt <= 0 or ordinal <= self.last[0]:
-                raise ValueError("time or order is not strictly increasing")
-            reason = "missing_decoded_frame" if ordinal != self.last[0] + 1 else "time_gap" if dt > p.max_gap else None
+        if p.classes and any(d["class_id"] not in p.classes for d in detections):
+            raise ValueError("a class that the policy doesn't have")
+        reason, dt = self._boundary(ordinal, pts, key, clock)
         if reason:
             self.segment, self.tracks = self.segment + 1, {}
         self.tracks = {k: t for k, t in self.tracks.items() if pts - t["seen"] <= p.max_unobserved}
         if not reason:
             for t in self.tracks.values():
-                t["channels"] = [predict(c, dt / p.ticks_per_second, q) for c, q in zip(t["channels"], p.spectral)]
+                t["channels"] = [guarded(predict(c, dt / p.ticks_per_second, q)) for c, q in zip(t["channels"], p.spectral)]
         fit = {d["index"]: d for d in sorted(detections, key=lambda d: d["index"]) if d["score"] >= p.min_score}
-        boxes = {k: to_box(t["channels"]) for k, t in self.tracks.items()}
-        pairs = [(k, i) for k, t in self.tracks.items() for i, d in fit.items() if t["class_id"] == d["class_id"] and iou(boxes[k], d["box"]) >= p.min_iou]
-        twins = {i for a in fit.values() for b in fit.values() if a["index"] != b["index"] and a["class_id"] == b["class_id"] and iou(a["box"], b["box"]) >= p.duplicate_iou for i in (a["index"], b["index"])}
-        of_track, of_detection = {}, {}
-        for k, i in pairs:
-            of_track.setdefault(k, []).append(i)
-            of_detection.setdefault(i, []).append(k)
-        taken = {k: i for k, i in pairs if len(of_track[k]) == len(of_detection[i]) == 1 and i not in twins}
-        unclear = (set(of_detection) | twins) - set(taken.values())
-        rows = [{"state": "ambiguous", "track_id": None, "det_index": i, "class_id": fit[i]["class_id"], "box": fit[i]["box"]} for i in sorted(unclear)]
-        self.tracks = {k: t for k, t in self.tracks.items() if k not in of_track or k in taken}
+        of_detection: dict[int, set[int]] = {}
+        of_track: dict[int, int] = {}
+        for k, t in self.tracks.items():
+            box = to_box(t["channels"])
+            for i, d in fit.items():
+                if t["class_id"] == d["class_id"] and iou(box, d["box"]) >= p.min_iou:
+                    of_detection.setdefault(i, set()).add(k)
+                    of_track[k] = of_track.get(k, 0) + 1
+        order = list(fit)
+        twins = [
+            (a, b) for n, a in enumerate(order) for b in order[n + 1 :]
+            if fit[a]["class_id"] == fit[b]["class_id"] and iou(fit[a]["box"], fit[b]["box"]) >= p.duplicate_iou
+        ]
+        twin = {i for pair in twins for i in pair}
+        taken = {next(iter(ks)): i for i, ks in of_detection.items() if len(ks) == 1 and i not in twin and of_track[next(iter(ks))] == 1}
+        rows, unclear = [], set(taken.values())
+        loose = {i: ks for i, ks in of_detection.items() if i not in unclear}
+        for number, (ended, indices) in enumerate(linked(loose, twins)):
+            unclear |= indices
+            for k in sorted(ended):
+                rows.append({"state": "ended", "track_id": k, "det_index": None, "class_id": self.tracks.pop(k)["class_id"], "box": (None,) * 4, "score": None, "unobserved": None, "component": number})
+            for i in sorted(indices):
+                d = fit[i]
+                rows.append({"state": "ambiguous", "track_id": None, "det_index": i, "class_id": d["class_id"], "box": d["box"], "score": d["score"], "unobserved": None, "component": number})
         for k, i in taken.items():
             t = self.tracks[k]
-            t["channels"] = [correct(c, z, r) for c, z, r in zip(t["channels"], measure(fit[i]["box"]), p.measurement)]
+            t["channels"] = [guarded(correct(c, z, r)) for c, z, r in zip(t["channels"], measure(fit[i]["box"]), p.measurement)]
             t["seen"] = pts
         for i, d in fit.items():
-            if i in unclear or i in taken.values() or d["score"] < p.new_score:
+            if i in unclear or d["score"] < p.new_score:
                 continue
             if len(self.tracks) >= p.max_tracks:
                 raise ValueError("too many tracks")
@@ -124,35 +193,67 @@ class Tracker:
             taken[self.next_id] = i
             self.next_id += 1
         for k, t in sorted(self.tracks.items()):
-            rows.append({"state": "observed" if k in taken else "prediction_only", "track_id": k, "det_index": taken.get(k), "class_id": t["class_id"], "box": to_box(t["channels"])})
-        self.last, self.reason = (ordinal, pts), None
+            i = taken.get(k)
+            rows.append({"state": "observed" if i is not None else "prediction_only", "track_id": k, "det_index": i, "class_id": t["class_id"], "box": inside(to_box(t["channels"]), raster), "score": None if i is None else fit[i]["score"], "unobserved": pts - t["seen"], "component": None})
+        self.last, self.reason = (ordinal, pts, key, clock), None
         return [{**r, "segment": self.segment, "reset_reason": reason} for r in rows]
 
 
-REPORT = "source_id long, ordinal long, segment int, reset_reason string, state string, track_id int, det_index int, class_id int, x1 double, y1 double, x2 double, y2 double"
+REPORT = (
+    "source_id long, ordinal long, segment int, reset_reason string, state string, track_id int, det_index int, class_id int, x1 double, y1 double, x2 double, y2 double,"
+    " score double, unobserved long, component int"
+)
+COLUMNS = [f.split()[0] for f in REPORT.replace(",", ", ").split(", ")]
 
 
 def run_frames(tracker: Tracker, rows: pd.DataFrame) -> list[dict]:
-    """Feed rows (source_id, ordinal, pts, det_index, class_id, box, score; one without det_index for an empty frame) in order."""
-    fields = ["ordinal", "pts", "det_index", "class_id", "x1", "y1", "x2", "y2", "score"]
-    ordered = rows.sort_values(["ordinal", "det_index"])
+    """Feed rows (source_id, ordinal, pts, det_index, class_id, box, score; one without det_index for an empty frame; key, clock, width and height if there) in order."""
+    fields = ["ordinal", "pts", "key", "clock", "width", "height", "det_index", "class_id", "x1", "y1", "x2", "y2", "score"]
+    ordered = rows.sort_values(["ordinal", "det_index"]).reindex(columns=["source_id", *fields])
     source, out = int(rows["source_id"].iloc[0]), []
-    for (ordinal, pts), frame in groupby(zip(*(ordered[c].tolist() for c in fields)), key=itemgetter(0, 1)):
-        seen = [{"index": int(r[2]), "class_id": int(r[3]), "box": r[4:8], "score": r[8]} for r in frame if not pd.isna(r[2])]
-        for r in tracker.update(ordinal, pts, seen):
+    columns = [ordered[c].astype(object).where(ordered[c].notna(), None).tolist() for c in fields]
+    for (ordinal, pts, key, clock, width, height), frame in groupby(zip(*columns), key=itemgetter(0, 1, 2, 3, 4, 5)):
+        seen = [{"index": int(r[6]), "class_id": int(r[7]), "box": r[8:12], "score": r[12]} for r in frame if r[6] is not None]
+        for r in tracker.update(int(ordinal), int(pts), seen, key, clock, None if width is None else (float(width), float(height))):
             x1, y1, x2, y2 = r.pop("box")
-            out.append({"source_id": source, "ordinal": ordinal, **r, "x1": x1, "y1": y1, "x2": x2, "y2": y2})
+            out.append({"source_id": source, "ordinal": int(ordinal), **r, "x1": x1, "y1": y1, "x2": x2, "y2": y2})
     return out
 
 
-COLUMNS = [f.split()[0] for f in REPORT.split(", ")]
-
-
 def as_report(rows: list[dict]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=COLUMNS)
-    return frame.astype({"track_id": "Int32", "det_index": "Int32"})
+    return frame.astype({"track_id": "Int32", "det_index": "Int32", "unobserved": "Int64", "component": "Int32"})
 
 
 def track(detections: DataFrame, policy: Policy) -> DataFrame:
-    """All sources' reports, source by source."""
-    return detections.groupBy("source_id").applyInPandas(lambda rows: as_report(run_frames(Tracker(policy), rows)), REPORT)
+    """All sources' reports. Tracks don't cross segments, so each segment is a task of its own; identities are numbered on over a source's segments."""
+    key = F.col("key") if "key" in detections.columns else None
+    frames = detections.select("source_id", "ordinal", "pts", *(["key"] if key is not None else [])).distinct()
+    cut = segments(frames, policy.max_gap, key).select("source_id", "ordinal", F.col("segment").alias("__segment"), F.col("reason").alias("__reason"))
+    rows = detections.join(cut, ["source_id", "ordinal"])
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        begun = part["__reason"].dropna().iloc[0]
+        tracker = Tracker(policy, segment=int(part["__segment"].iloc[0]) - 1, reason=begun.replace("missing_frame", "missing_decoded_frame"))
+        return as_report(run_frames(tracker, part.drop(columns=["__segment", "__reason"])))
+
+    local = rows.groupBy("source_id", "__segment").applyInPandas(fold, REPORT)
+    born = local.groupBy("source_id", "segment").agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("n"))
+    earlier = Window.partitionBy("source_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    base = born.select("source_id", "segment", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("int").alias("base"))
+    return local.join(base, ["source_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("base")).select(*COLUMNS)
+
+
+def annotations(reports: DataFrame, detections: DataFrame) -> DataFrame:
+    """What a review shows of each frame: tracks that are observed or predicted, and detections that belong to none, ambiguous or unassociated."""
+    on = ["source_id", "ordinal"]
+    shown = reports.where("state in ('observed', 'prediction_only', 'ambiguous')").select(*on, "state", "track_id", "det_index", "class_id")
+    known = reports.where("det_index is not null").select(*on, "det_index")
+    rest = detections.where("det_index is not null").join(known, [*on, "det_index"], "left_anti")
+    return shown.unionByName(rest.select(*on, F.lit("unassociated").alias("state"), F.lit(None).cast("int").alias("track_id"), "det_index", "class_id"))
+
+
+def selected(frames: DataFrame, reports: DataFrame, identities: DataFrame) -> DataFrame:
+    """frames with the detection of the chosen identity (source_id, segment, class_id, track_id), null where it isn't actually observed."""
+    seen = reports.where("state = 'observed'").join(identities, ["source_id", "segment", "class_id", "track_id"], "left_semi")
+    return frames.join(seen.select("source_id", "ordinal", "track_id", "det_index"), ["source_id", "ordinal"], "left")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..operators import association, audit, boundaries, evaluation, geometry, lamps, lanes, planning, receipts, replay, timeline, tracking
+from ..operators import association, audit, boundaries, diagnostics, evaluation, geometry, lamps, lanes, lanes_fold, planning, receipts, replay, sinks, timeline, tracking
 from ..sources.frames import by_source, frames
 from ..session import shared_folder
 from ..sources.inputs import closed_shape
@@ -276,95 +276,168 @@ def support_gate(read):
     return read("embeddings").select("vec_id", lanes.supported(exists, F.when(F.col("label") % 2 == 0, "row").otherwise("column")).alias("passed"))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(range(0, 32)) AS k, embedding FROM embeddings), p AS (SELECT vec_id, k, CAST(floor(CAST(embedding[k + 1] AS DOUBLE) * 1000) AS BIGINT) AS x, CASE WHEN embedding[k + 33] > -0.15 THEN k * 10 END AS y FROM e),
-q AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY k)),
-c AS (SELECT vec_id, count(DISTINCT x + (155.0 - y) / (y2 - y) * (x2 - x)) AS n, min(x + CAST(155.0 - y AS DOUBLE) / (y2 - y) * (x2 - x)) AS x FROM q WHERE y IS NOT NULL AND y2 IS NOT NULL AND least(y, y2) <= 155 AND greatest(y, y2) >= 155 GROUP BY vec_id)
-SELECT v.vec_id, CASE WHEN n IS NULL THEN 'no_adjacent_support' WHEN n > 1 THEN 'multiple_intersections' END AS reason, round(CASE WHEN n = 1 THEN c.x END, 6) AS x FROM embeddings v LEFT JOIN c USING (vec_id)""")
-def cross_section(read):
-    point = lambda x, k: F.when(F.get("embedding", k + 32) > -0.15, F.struct(F.floor(x.cast("double") * 1000).cast("double").alias("x"), (k * 10).cast("double").alias("y")))
-    lines = read("embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 32), point).alias("points"))
-    return lanes.crossings(lines, ["vec_id"], F.lit(155.0)).select("vec_id", "reason", F.round("x", 6).alias("x"))
+# --- lamps
 
+LAMP = lamps.LampConfig(off=60, on=150, min_phase=2 * HOUR, max_phase=3 * DAY, min_cycles=1, min_window=HOUR)
+LAMP_GAP = 5 * DAY // 2
 
-@query(f"""WITH {FRAMES} SELECT source_id, ordinal, CASE WHEN event_type = 'error' THEN 'no_actual_observation' WHEN cents % 5 = 0 THEN 'lanes_unknown' WHEN cents % 7 = 0 THEN 'context_unknown' WHEN cents % 11 = 0 THEN 'ego_scene_or_pose_uncertain' WHEN cents % 13 < 3 THEN 'insufficient_boundaries' END AS reason FROM t""")
-def section_gate_reasons(read):
-    gates = [(F.col("event_type") == "error", "no_actual_observation"), (F.col("cents") % 5 == 0, "lanes_unknown"), (F.col("cents") % 7 == 0, "context_unknown"), (F.col("cents") % 11 == 0, "ego_scene_or_pose_uncertain"), (F.col("cents") % 13 < 3, "insufficient_boundaries")]
-    return ticked(read).select("source_id", "ordinal", F.coalesce(*[F.when(c, r) for c, r in gates]).alias("reason"))
 
+def lamp_rows(read) -> DataFrame:
+    """Both sides' samples of each frame; identities change every 40 frames, and some frames have no observation or an uncertain one."""
+    status = lambda k: F.when(F.col("cents") % (97 + k) == 0, "identity_uncertain").when(F.col("cents") % (28 + k) == 0, "occluded").when(F.col("cents") % (30 + k) == 0, "too_small").otherwise("usable")
+    rows = ticked(read).withColumns({"observed": F.col("cents") % 41 != 0, "identity": F.floor(F.col("ordinal") / 40), "left_status": status(1), "right_status": status(3)})
+    uncertain = (F.col("left_status") == "identity_uncertain") | (F.col("right_status") == "identity_uncertain")
+    return rows.withColumns({"uncertain": uncertain, "left_brightness": F.col("cents") % 256, "right_brightness": F.col("cents") * 7 % 256})
 
-# --- lamps
 
-LAMP = lamps.LampConfig(off=60, on=150, min_phase=2 * HOUR, max_phase=3 * DAY, min_cycles=1, min_window=HOUR)
-WINDOW = (4 * DAY, 20 * DAY)
+def lamp_histories(read) -> DataFrame:
+    return lamps.histories(lamp_rows(read), LAMP_GAP)
+
+
+def side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.withColumns({"status": F.col(f"{name}_status"), "brightness": F.col(f"{name}_brightness")})
+
+
+def lamp_windows(read) -> DataFrame:
+    """For each source two windows, of which the later one mostly lies within the last history."""
+    ends = ticked(read).groupBy("source_id").agg(F.max("ticks").alias("last"))
+    spans = F.array(*[F.struct(F.lit(k).alias("window_id"), F.greatest(F.col("last") - a, F.lit(0)).alias("start"), F.greatest(F.col("last") - b, F.lit(2)).alias("end")) for k, a, b in ((0, 12 * DAY, 9 * DAY), (1, 5 * DAY, DAY // 2))])
+    return ends.select("source_id", F.inline(spans))
 
 
-def lamp_rows(read, side: int = 1) -> DataFrame:
-    status = F.when(F.col("cents") % 29 == 0, "occluded").when(F.col("cents") % 31 == 0, "too_small").otherwise("usable")
-    return ticked(read).select("source_id", "ordinal", "ticks", status.alias("status"), (F.col("cents") * side % 256).alias("brightness"))
+HISTORY = f"""v AS (SELECT *, cents % 41 <> 0 AS observed, ordinal // 40 AS identity, CASE WHEN cents % 98 = 0 THEN 'identity_uncertain' WHEN cents % 29 = 0 THEN 'occluded' WHEN cents % 31 = 0 THEN 'too_small' ELSE 'usable' END AS left_status,
+ CASE WHEN cents % 100 = 0 THEN 'identity_uncertain' WHEN cents % 31 = 0 THEN 'occluded' WHEN cents % 33 = 0 THEN 'too_small' ELSE 'usable' END AS right_status, cents % 256 AS left_brightness, cents * 7 % 256 AS right_brightness FROM t),
+k AS (SELECT *, CASE WHEN NOT observed THEN 'no_actual_observation' WHEN 'identity_uncertain' IN (left_status, right_status) THEN 'identity_uncertain' WHEN NOT coalesce(lag(observed) OVER o, false) THEN 'start'
+ WHEN pts - lag(pts) OVER o > {LAMP_GAP} THEN 'time_gap' WHEN identity <> lag(identity) OVER o THEN 'identity_or_model_change' END AS why FROM v WINDOW o AS (PARTITION BY source_id ORDER BY ordinal)),
+i AS (SELECT *, sum(CASE WHEN why IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY ordinal) AS history FROM k),
+j AS (SELECT * FROM (SELECT *, max(history) OVER (PARTITION BY source_id) AS newest, row_number() OVER (PARTITION BY source_id ORDER BY ordinal DESC) AS back FROM i) WHERE history = newest AND observed AND back <= 120)"""
 
 
-def lamp_sql(side: int = 1, name: str = "", where: str = "") -> str:
-    """Phases and changes of the samples, all of them or those that a condition keeps."""
-    return f"""a{name} AS (SELECT source_id, ordinal, ticks, CASE WHEN cents % 29 = 0 THEN 'occluded' WHEN cents % 31 = 0 THEN 'too_small' ELSE 'usable' END AS status, cents * {side} % 256 AS brightness FROM t),
-b{name} AS (SELECT *, max(CASE WHEN ticks <= {WINDOW[0]} THEN ordinal END) OVER (PARTITION BY source_id) AS bef, min(CASE WHEN ticks >= {WINDOW[1]} THEN ordinal END) OVER (PARTITION BY source_id) AS aft FROM a{name}),
-s{name} AS (SELECT * FROM b{name} {where}),
-u{name} AS (SELECT *, sum(CASE WHEN status = 'usable' THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY ordinal) AS run FROM s{name}),
-h{name} AS (SELECT *, last_value(CASE WHEN brightness >= 150 THEN 'on' WHEN brightness <= 60 THEN 'off' END IGNORE NULLS) OVER (PARTITION BY source_id, run ORDER BY ordinal) AS phase FROM u{name} WHERE status = 'usable'),
-p{name} AS (SELECT *, coalesce(lag(phase) OVER (PARTITION BY source_id, run ORDER BY ordinal) <> phase, false) AS changes FROM h{name}),
-y{name} AS (SELECT source_id, on_at, off_at, ticks AS end_at, off_at - on_at AS lit, ticks - off_at AS dark FROM (SELECT *, lag(ticks) OVER w AS off_at, lag(ticks, 2) OVER w AS on_at FROM p{name} WHERE changes WINDOW w AS (PARTITION BY source_id, run ORDER BY ordinal)) WHERE phase = 'on' AND on_at IS NOT NULL)"""
+def phase_sql(source: str, keys: str, name: str) -> str:
+    """Phases, changes and cycles of samples with status and brightness."""
+    return f"""u{name} AS (SELECT *, sum(CASE WHEN status = 'usable' THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY ordinal) AS run FROM {source}),
+h{name} AS (SELECT *, last_value(CASE WHEN brightness >= 150 THEN 'on' WHEN brightness <= 60 THEN 'off' END IGNORE NULLS) OVER (PARTITION BY {keys}, run ORDER BY ordinal) AS phase FROM u{name} WHERE status = 'usable'),
+p{name} AS (SELECT *, coalesce(lag(phase) OVER (PARTITION BY {keys}, run ORDER BY ordinal) <> phase, false) AS changes FROM h{name}),
+y{name} AS (SELECT {keys}, on_at, off_at, ticks AS end_at, off_at - on_at AS lit, ticks - off_at AS dark FROM (SELECT *, lag(ticks) OVER w AS off_at, lag(ticks, 2) OVER w AS on_at FROM p{name} WHERE changes WINDOW w AS (PARTITION BY {keys}, run ORDER BY ordinal)) WHERE phase = 'on' AND on_at IS NOT NULL)"""
 
 
-def report_sql(side: int, name: str) -> str:
-    inside = "WHERE ordinal >= coalesce(bef, 0) AND (aft IS NULL OR ordinal <= aft)"
+LEFT = f"{HISTORY}, a AS (SELECT source_id, history, ordinal, ticks, left_status AS status, left_brightness AS brightness FROM i WHERE observed), {phase_sql('a', 'source_id, history', '')}"
+SPANS = f"""n AS (SELECT source_id, max(ticks) AS last FROM t GROUP BY source_id), q AS (SELECT source_id, 0 AS window_id, greatest(last - {12 * DAY}, 0) AS a, greatest(last - {9 * DAY}, 2) AS b FROM n
+ UNION ALL SELECT source_id, 1, greatest(last - {5 * DAY}, 0), greatest(last - {DAY // 2}, 2) FROM n)"""
+
+
+def report_sql(name: str, samples: str = "j", windows: str = "q") -> str:
+    """The report of one side over samples and windows(source_id, window_id, a, b)."""
     good = f"lit BETWEEN {LAMP.min_phase} AND {LAMP.max_phase} AND dark BETWEEN {LAMP.min_phase} AND {LAMP.max_phase}"
-    return f"""{lamp_sql(side, name, inside)},
-z{name} AS (SELECT b.source_id, valid, coalesce(nc, 0) AS n_cycles, coalesce(nc, 0) >= 1 AS blink, list_sort(list_distinct(list_filter(coalesce(st, []) || [CASE WHEN NOT br THEN 'insufficient_history' END, CASE WHEN unclear > 0 OR bad > 0 THEN 'model_uncertain' END, CASE WHEN chg > 0 AND coalesce(nc, 0) < 1 THEN 'insufficient_cycles' END], lambda x: x IS NOT NULL))) AS why
- FROM (SELECT source_id, count(*) FILTER (WHERE status = 'usable') AS valid, bool_and(bef IS NOT NULL AND aft IS NOT NULL) AS br, list(DISTINCT status) FILTER (WHERE status <> 'usable') AS st FROM s{name} GROUP BY source_id) b
- LEFT JOIN (SELECT source_id, count(*) FILTER (WHERE phase IS NULL) AS unclear, count(*) FILTER (WHERE changes AND ticks BETWEEN {WINDOW[0]} AND {WINDOW[1]}) AS chg FROM p{name} GROUP BY source_id) USING (source_id)
- LEFT JOIN (SELECT source_id, count(*) FILTER (WHERE {good}) AS nc, count(*) FILTER (WHERE NOT ({good})) AS bad FROM y{name} WHERE on_at >= {WINDOW[0]} AND end_at <= {WINDOW[1]} GROUP BY source_id) USING (source_id)),
-w{name} AS (SELECT source_id, CASE WHEN len(why) > 0 THEN 'unknown' WHEN blink THEN 'blink_observed' ELSE 'no_blink_observed' END AS state, blink AS blink_evidence, n_cycles, array_to_string(why, ',') AS reasons, valid AS valid_samples FROM z{name})"""
+    keys = "source_id, window_id"
+    return f"""b{name} AS (SELECT w.*, s.ordinal, s.ticks, s.{name}_status AS status, s.{name}_brightness AS brightness FROM {windows} w LEFT JOIN {samples} s USING (source_id)),
+e{name} AS (SELECT *, max(CASE WHEN ticks <= a THEN ordinal END) OVER (PARTITION BY {keys}) AS bef, min(CASE WHEN ticks >= b THEN ordinal END) OVER (PARTITION BY {keys}) AS aft FROM b{name}),
+s{name} AS (SELECT * FROM e{name} WHERE ordinal IS NULL OR (bef IS NULL OR ordinal >= bef) AND (aft IS NULL OR ordinal <= aft)),
+{phase_sql(f's{name}', keys, name)},
+z{name} AS (SELECT g.*, coalesce(nc, 0) AS n_cycles, coalesce(nc, 0) >= 1 AS blink, list_sort(list_distinct(list_filter(coalesce(st, []) || [CASE WHEN NOT br THEN 'insufficient_history' END, CASE WHEN unclear > 0 OR bad > 0 THEN 'model_uncertain' END, CASE WHEN chg > 0 AND coalesce(nc, 0) < 1 THEN 'insufficient_cycles' END], lambda x: x IS NOT NULL))) AS why
+ FROM (SELECT {keys}, count(*) FILTER (WHERE status = 'usable') AS valid, bool_and(bef IS NOT NULL AND aft IS NOT NULL AND b - a >= {LAMP.min_window}) AS br, list(DISTINCT status) FILTER (WHERE status <> 'usable') AS st, count(ordinal) AS n_samples, min(ticks) AS first_tick, max(ticks) AS last_tick FROM s{name} GROUP BY ALL) g
+ LEFT JOIN (SELECT {keys}, count(*) FILTER (WHERE phase IS NULL) AS unclear, count(*) FILTER (WHERE changes AND ticks >= a AND ticks <= b) AS chg FROM p{name} GROUP BY ALL) USING ({keys})
+ LEFT JOIN (SELECT {keys}, count(*) FILTER (WHERE {good}) AS nc, count(*) FILTER (WHERE NOT ({good})) AS bad FROM y{name} JOIN {windows} USING ({keys}) WHERE on_at >= a AND end_at <= b GROUP BY ALL) USING ({keys})),
+w{name} AS (SELECT {keys}, CASE WHEN len(why) > 0 THEN 'unknown' WHEN blink THEN 'blink_observed' ELSE 'no_blink_observed' END AS state, blink AS blink_evidence, n_cycles, array_to_string(why, ',') AS reasons, valid AS valid_samples, n_samples, first_tick, last_tick FROM z{name})"""
+
+
+def reports(samples: DataFrame, windows: DataFrame) -> dict[str, DataFrame]:
+    """The reports of both sides over samples of the last histories."""
+    return {name: lamps.window_report(side(samples, name).select("source_id", "ordinal", "ticks", "status", "brightness"), windows, LAMP) for name in ("left", "right")}
+
+
+SIGNAL = "CASE WHEN l.state = 'unknown' OR r.state = 'unknown' THEN 'unknown' WHEN l.blink_evidence AND r.blink_evidence THEN 'both_blink' WHEN l.blink_evidence THEN 'left_blink' WHEN r.blink_evidence THEN 'right_blink' ELSE 'no_blink_observed' END"
+
 
+@query(f"WITH {FRAMES}, {HISTORY} SELECT source_id, ordinal, CAST(history AS BIGINT) AS history, first_value(why) OVER (PARTITION BY source_id, history ORDER BY ordinal) AS begun FROM i")
+def lamp_history(read):
+    return lamp_histories(read).select("source_id", "ordinal", "history", "begun")
 
-@query(f"WITH {FRAMES}, {lamp_sql()} SELECT source_id, ordinal, CAST(run AS BIGINT) AS run, phase, changes FROM p")
+
+@query(f"WITH {FRAMES}, {LEFT} SELECT source_id, ordinal, CAST(history AS BIGINT) AS history, CAST(run AS BIGINT) AS run, phase, changes FROM p")
 def lamp_phases(read):
-    return lamps.phases(lamp_rows(read), LAMP).select("source_id", "ordinal", "run", "phase", "changes")
+    return lamps.phases(side(lamp_histories(read).where("observed"), "left"), LAMP, ("source_id", "history")).select("source_id", "ordinal", "history", "run", "phase", "changes")
 
 
-@query(f"WITH {FRAMES}, {lamp_sql()} SELECT source_id, on_at, off_at, end_at, lit, dark FROM y")
+@query(f"WITH {FRAMES}, {LEFT} SELECT source_id, CAST(history AS BIGINT) AS history, on_at, off_at, end_at, lit, dark FROM y")
 def lamp_cycles(read):
-    return lamps.cycles(lamps.phases(lamp_rows(read), LAMP))
+    keys = ("source_id", "history")
+    return lamps.cycles(lamps.phases(side(lamp_histories(read).where("observed"), "left"), LAMP, keys), keys)
 
 
-@query(f"WITH {FRAMES}, {report_sql(1, '1')} SELECT * FROM w1")
+@query(f"WITH {FRAMES}, {HISTORY}, {SPANS}, {report_sql('left')} SELECT * FROM wleft")
 def lamp_window_report(read):
-    return lamps.window_report(lamp_rows(read), *WINDOW, LAMP)
+    return reports(lamps.latest(lamp_histories(read)), lamp_windows(read))["left"]
 
 
-@query(f"""WITH {FRAMES}, {report_sql(1, '1')}, {report_sql(7, '2')} SELECT source_id, CASE WHEN w1.state = 'unknown' OR w2.state = 'unknown' THEN 'unknown' WHEN w1.blink_evidence AND w2.blink_evidence THEN 'both_blink'
- WHEN w1.blink_evidence THEN 'left_blink' WHEN w2.blink_evidence THEN 'right_blink' ELSE 'no_blink_observed' END AS signal FROM w1 JOIN w2 USING (source_id)""")
+@query(f"WITH {FRAMES}, {HISTORY}, {SPANS}, {report_sql('left')}, {report_sql('right')} SELECT source_id, window_id, {SIGNAL} AS signal FROM wleft l JOIN wright r USING (source_id, window_id)")
 def signal_state(read):
-    left, right = (lamps.window_report(lamp_rows(read, side), *WINDOW, LAMP).select("source_id", F.col("state").alias(f"s{side}"), F.col("blink_evidence").alias(f"b{side}")) for side in (1, 7))
-    return left.join(right, "source_id").select("source_id", lamps.combined(F.col("s1"), F.col("s7"), F.col("b1"), F.col("b7")).alias("signal"))
+    found = reports(lamps.latest(lamp_histories(read)), lamp_windows(read))
+    left, right = (found[s].select("source_id", "window_id", F.col("state").alias(f"{s}_state"), F.col("blink_evidence").alias(f"{s}_blinks")) for s in ("left", "right"))
+    return left.join(right, ["source_id", "window_id"]).select("source_id", "window_id", lamps.combined(*map(F.col, ("left_state", "right_state", "left_blinks", "right_blinks"))).alias("signal"))
+
+
+def lamp_declarations(read) -> DataFrame:
+    """Both sides' declared regions, and a source key that some rows lack."""
+    box = lambda s, k: {f"{s}_x1": F.col("cents") % 50 + 0.5, f"{s}_y1": F.lit(2.25), f"{s}_x2": F.col("cents") % 50 + F.col("cents") % k + 1.0, f"{s}_y2": F.lit(6.75)}
+    source = F.when(F.col("cents") % 23 != 0, F.concat(F.lit("key"), F.floor(F.col("ordinal") / 25)))
+    return lamp_rows(read).withColumns({**box("left", 5), **box("right", 7), "source": source})
+
+
+FACTS = f"""{HISTORY}, d AS (SELECT *, CASE WHEN cents % 23 <> 0 THEN 'key' || (ordinal // 25) END AS source, CAST(greatest(0, floor(cents % 50 + cents % 5 + 1.0) - ceil(cents % 50 + 0.5)) * 3 AS BIGINT) AS left_pixels,
+ CAST(greatest(0, floor(cents % 50 + cents % 7 + 1.0) - ceil(cents % 50 + 0.5)) * 3 AS BIGINT) AS right_pixels FROM v),
+m AS (SELECT *, CASE WHEN lag(ordinal) OVER o IS NULL THEN 'start' WHEN pts - lag(pts) OVER o > {LAMP_GAP} THEN 'time_gap' END AS clock_break, CASE WHEN source IS NULL THEN 'lamps_unknown' WHEN lag(source) OVER o <> source THEN 'lamp_source_change' END AS source_reset,
+ lag(observed) OVER o AS seen, identity IS DISTINCT FROM lag(identity) OVER o AS moved, coalesce(ordinal - lag(ordinal) OVER o - 1, 0) AS missing, pts - lag(pts) OVER o AS elapsed FROM d WINDOW o AS (PARTITION BY source_id ORDER BY ordinal)),
+x AS (SELECT *, list_sort(list_filter([clock_break, source_reset, CASE WHEN NOT observed THEN 'no_actual_observation' END, CASE WHEN observed AND NOT seen THEN 'actual_observation_resumed' END, CASE WHEN observed AND seen AND moved THEN 'identity_or_model_change' END,
+ CASE WHEN 'identity_uncertain' IN (left_status, right_status) THEN 'identity_uncertain' END], lambda r: r IS NOT NULL)) AS breaks,
+ CASE WHEN NOT observed THEN 'identity_uncertain' WHEN left_status = 'usable' AND left_pixels < 8 THEN 'too_small' ELSE left_status END AS left_geometry, CASE WHEN NOT observed THEN 'identity_uncertain' WHEN right_status = 'usable' AND right_pixels < 8 THEN 'too_small' ELSE right_status END AS right_geometry FROM m)"""
+
+
+def lamp_facts(read) -> DataFrame:
+    return diagnostics.lamp_facts(lamp_declarations(read), LAMP_GAP, 8)
 
 
-@query(f"""WITH {FRAMES}, {lamp_sql()} SELECT source_id, count(*) AS n_samples, count(*) FILTER (WHERE status = 'usable') AS usable, count(*) FILTER (WHERE status = 'occluded') AS occluded,
- count(*) FILTER (WHERE status = 'too_small') AS too_small FROM a GROUP BY source_id""")
+@query(f"WITH {FRAMES}, {FACTS} SELECT source_id, ordinal, array_to_string(breaks, ',') AS breaks, left_geometry, left_pixels, right_geometry, right_pixels, missing, elapsed FROM x")
+def lamp_row_facts(read):
+    return lamp_facts(read).select("source_id", "ordinal", F.array_join("breaks", ",").alias("breaks"), "left_geometry", "left_pixels", "right_geometry", "right_pixels", "missing", "elapsed")
+
+
+@query(f"""WITH {FRAMES}, {FACTS} SELECT source_id, count(*) AS input_rows, count(*) FILTER (WHERE source IS NULL) AS observation_unknown_rows, count(source_reset) AS source_resets, count(*) FILTER (WHERE clock_break = 'time_gap') AS gap_rows,
+ count(*) FILTER (WHERE NOT observed) AS no_actual_rows FROM x GROUP BY source_id""")
 def lamp_diagnostics(read):
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("usable", "occluded", "too_small")]
-    return lamp_rows(read).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_samples"), *counts)
+    return diagnostics.lamp_counts(lamp_facts(read))
+
+
+@query(f"""WITH {FRAMES}, {FACTS}, r AS (SELECT source_id, 'history_break' AS channel, unnest(breaks) AS reason FROM x UNION ALL SELECT source_id, 'source_reset', source_reset FROM x UNION ALL SELECT source_id, 'left', left_geometry FROM x UNION ALL SELECT source_id, 'right', right_geometry FROM x)
+SELECT source_id, channel, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL""")
+def lamp_reason_counts(read):
+    return diagnostics.reason_counts(lamp_facts(read), {"history_break": "breaks", "source_reset": "source_reset", "left": "left_geometry", "right": "right_geometry"})
 
 
 # --- planning
 
 
-@query(f"""WITH {FRAMES}, c AS (SELECT source_id, ordinal AS candidate, ticks AS a, ticks + {HOUR} AS b FROM t WHERE event_type = 'signup'), m AS (SELECT source_id, ticks, 60000000 AS length FROM t WHERE event_type = 'view'),
-q AS (SELECT source_id, candidate, greatest(a - {DAY}, 0) AS lo, b + {DAY} AS hi FROM c)
-SELECT q.source_id, q.candidate, least(lo, min(m.ticks)) AS context_from, greatest(hi, max(m.ticks + m.length)) AS context_to FROM q JOIN m ON m.source_id = q.source_id AND m.ticks < hi AND m.ticks + m.length > lo GROUP BY q.source_id, q.candidate, lo, hi""")
-def candidate_context(read):
+CONTEXT = f"""c AS (SELECT source_id, ordinal AS candidate, CASE WHEN cents % 2 = 0 THEN 'left' ELSE 'right' END AS direction, ticks AS "start", ticks + {HOUR} AS "end" FROM t WHERE event_type = 'signup'), g AS (SELECT source_id, max(ticks) + {2 * HOUR} AS total FROM t GROUP BY source_id),
+ask AS (SELECT c.*, greatest("start" - {DAY}, 0) AS lo, least("end" + {DAY}, total) AS hi FROM c JOIN g USING (source_id)), m AS (SELECT source_id, ticks, ticks + 60000000 AS stop FROM t WHERE event_type = 'view'),
+ctx AS (SELECT *, least(lo, coalesce((SELECT max(m.ticks) FROM m WHERE m.source_id = ask.source_id AND m.ticks <= lo), lo)) AS context_from,
+ greatest(hi, coalesce((SELECT min(m.stop) FROM m WHERE m.source_id = ask.source_id AND m.ticks >= hi), (SELECT max(m.stop) FROM m WHERE m.source_id = ask.source_id), hi)) AS context_to FROM ask)"""
+
+
+def event_candidates(read) -> DataFrame:
+    rows = ticked(read).where("event_type = 'signup'")
+    return rows.select("source_id", F.col("ordinal").alias("candidate"), F.when(F.col("cents") % 2 == 0, "left").otherwise("right").alias("direction"), F.col("ticks").alias("start"), (F.col("ticks") + HOUR).alias("end"))
+
+
+def event_contexts(read) -> DataFrame:
     rows = ticked(read)
-    asked = rows.where("event_type = 'signup'").select("source_id", F.col("ordinal").alias("candidate"), F.col("ticks").alias("start"), (F.col("ticks") + HOUR).alias("end"))
     samples = rows.where("event_type = 'view'").select("source_id", "ticks", F.lit(60_000_000).alias("length"))
-    return planning.context(asked, samples, DAY, DAY)
+    lengths = rows.groupBy("source_id").agg((F.max("ticks") + 2 * HOUR).alias("stream_length"))
+    return planning.context(event_candidates(read), samples, lengths, DAY, DAY)
+
+
+@query(f"WITH {FRAMES}, {CONTEXT} SELECT source_id, candidate, lo AS requested_from, hi AS requested_to, context_from, context_to FROM ctx")
+def candidate_context(read):
+    return event_contexts(read)
 
 
 @query(f"""WITH RECURSIVE {FRAMES}, w AS (SELECT source_id, ticks // {DAY} * 20 AS first, 1 + cents % 60 AS count, row_number() OVER (PARTITION BY source_id ORDER BY ticks // {DAY} * 20, 1 + cents % 60, ordinal) AS k FROM t),
@@ -379,39 +452,109 @@ def window_groups_capped(read):
 
 # --- evaluation
 
-MATCHES = f"""{FRAMES}, tr AS (SELECT source_id, ordinal AS truth_id, ticks - {HOUR} AS earliest, ticks + {HOUR} AS latest FROM t WHERE event_type = 'purchase'),
-pr AS (SELECT source_id, ordinal AS prediction_id, ticks AS seen FROM t WHERE event_type = 'click'),
-ed AS (SELECT source_id, truth_id, prediction_id, greatest(earliest - seen, seen - latest, 0) AS cost FROM tr JOIN pr USING (source_id) WHERE greatest(earliest - seen, seen - latest, 0) <= {8 * HOUR})"""
+TOLERANCE = 6 * HOUR
+# truths and predictions belong together by source, stretch and mapped vehicle: the prediction's vehicle, taken down by one, is the truth's
+MATCHES = f"""{FRAMES}, tr AS (SELECT source_id, ticks // {15 * DAY} AS stretch, cents % 2 AS vehicle, ordinal AS truth_id, ticks AS earliest, ticks AS latest, CASE cents % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'unknown' END AS direction, cents % 5 AS sig FROM t WHERE event_type IN ('purchase', 'view')),
+pr AS (SELECT source_id, ticks // {15 * DAY} AS stretch, cents % 2 + 1 AS alias, ordinal AS prediction_id, ticks AS seen, CASE cents % 4 WHEN 0 THEN 'left' ELSE 'right' END AS direction, cents % 7 = 0 AS abstained, cents % 6 AS sig FROM t WHERE event_type IN ('click', 'signup')),
+mp AS (SELECT DISTINCT source_id, stretch, alias, alias - 1 AS vehicle FROM pr WHERE alias = 1 OR source_id % 4 <> 0),
+ed AS (SELECT source_id, stretch, vehicle, truth_id, prediction_id, earliest, latest, seen, greatest(earliest - seen, seen - latest, 0) AS cost FROM tr JOIN mp USING (source_id, stretch, vehicle) JOIN pr USING (source_id, stretch, alias)
+ WHERE NOT abstained AND greatest(earliest - seen, seen - latest, 0) <= {TOLERANCE})"""
+ON = ["source_id", "stretch", "vehicle"]
+
+
+def label(column, names) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), (column + 1).cast("int"))
+
+
+TRUTH_SIGNALS, PREDICTION_SIGNALS = evaluation.SIGNALS, (*evaluation.SIGNALS[:4], "no_blink_observed", "unknown")
 
 
 def sides(read) -> tuple[DataFrame, DataFrame]:
-    rows = ticked(read)
-    truths = rows.where("event_type = 'purchase'").select("source_id", F.col("ordinal").alias("truth_id"), (F.col("ticks") - HOUR).alias("earliest"), (F.col("ticks") + HOUR).alias("latest"))
-    return truths, rows.where("event_type = 'click'").select("source_id", F.col("ordinal").alias("prediction_id"), F.col("ticks").alias("at"))
+    """Truths, and predictions with the truth's vehicle that theirs corresponds to."""
+    rows = ticked(read).withColumn("stretch", F.floor(F.col("ticks") / (15 * DAY)))
+    t = rows.where(F.col("event_type").isin("purchase", "view"))
+    direction = F.when(F.col("cents") % 3 == 0, "left").when(F.col("cents") % 3 == 1, "right").otherwise("unknown")
+    truths = t.select("source_id", "stretch", (F.col("cents") % 2).alias("vehicle"), F.col("ordinal").alias("truth_id"), F.col("ticks").alias("earliest"), F.col("ticks").alias("latest"), direction.alias("t_direction"), label(F.col("cents") % 5, TRUTH_SIGNALS).alias("t_signal"))
+    p = rows.where(F.col("event_type").isin("click", "signup")).withColumn("alias", F.col("cents") % 2 + 1)
+    mapped = F.when((F.col("alias") == 1) | (F.col("source_id") % 4 != 0), F.col("alias") - 1)
+    guess = F.when(F.col("cents") % 4 == 0, "left").otherwise("right")
+    predictions = p.select("source_id", "stretch", mapped.alias("vehicle"), F.col("ordinal").alias("prediction_id"), F.col("ticks").alias("at"), guess.alias("p_direction"), (F.col("cents") % 7 == 0).alias("abstained"), label(F.col("cents") % 6, PREDICTION_SIGNALS).alias("p_signal"))
+    return truths, predictions
+
+
+def match_pairs(read) -> DataFrame:
+    truths, predictions = sides(read)
+    return evaluation.edges(truths, predictions.where("not abstained and vehicle is not null"), ON, TOLERANCE)
 
 
-@query(f"WITH {MATCHES} SELECT * FROM ed")
+@query(f"WITH {MATCHES} SELECT source_id, stretch, vehicle, truth_id, prediction_id, cost FROM ed")
 def match_edges(read):
-    return evaluation.edges(*sides(read), ["source_id"], 8 * HOUR).select("source_id", "truth_id", "prediction_id", "cost")
+    return match_pairs(read).select(*ON, "truth_id", "prediction_id", "cost")
 
 
-@query(f"WITH {MATCHES} SELECT source_id, truth_id FROM tr WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.source_id = tr.source_id AND ed.truth_id = tr.truth_id)")
+@query(f"""WITH {MATCHES} SELECT source_id, 'truth' AS side, truth_id AS id FROM tr WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.source_id = tr.source_id AND ed.truth_id = tr.truth_id)
+UNION ALL SELECT source_id, 'prediction', prediction_id FROM pr WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.source_id = pr.source_id AND ed.prediction_id = pr.prediction_id)""")
 def unmatched_truths(read):
+    """Truths, and predictions, without any edge."""
     truths, predictions = sides(read)
-    return truths.join(evaluation.edges(truths, predictions, ["source_id"], 8 * HOUR), ["source_id", "truth_id"], "left_anti").select("source_id", "truth_id")
+    pairs = match_pairs(read).select("source_id", "truth_id", "prediction_id")
+    alone = lambda rows, c, name: rows.join(pairs, ["source_id", c], "left_anti").select("source_id", F.lit(name).alias("side"), F.col(c).alias("id"))
+    return alone(truths, "truth_id", "truth").unionAll(alone(predictions, "prediction_id", "prediction"))
 
 
-@query()
+# Best matchings by trying all: a truth joins its group in turn and takes any free prediction of its own, or none.
+BEST = f"""{MATCHES}, bd AS (SELECT *, least(earliest, seen) AS lo, greatest(latest, seen) AS hi FROM ed), nw AS (SELECT *, coalesce(lo > max(hi) OVER (PARTITION BY source_id, stretch, vehicle ORDER BY lo, truth_id, prediction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM bd),
+gr AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY source_id, stretch, vehicle ORDER BY lo, truth_id, prediction_id) AS grp FROM nw),
+tn AS (SELECT source_id, stretch, vehicle, grp, truth_id, row_number() OVER (PARTITION BY source_id, stretch, vehicle, grp ORDER BY truth_id) AS k FROM (SELECT DISTINCT source_id, stretch, vehicle, grp, truth_id FROM gr)),
+en AS (SELECT gr.*, k FROM gr JOIN tn USING (source_id, stretch, vehicle, grp, truth_id)),
+mt AS (SELECT DISTINCT source_id, stretch, vehicle, grp, 0 AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS who, CAST(0 AS BIGINT) AS spent FROM gr UNION
+ SELECT m.source_id, m.stretch, m.vehicle, m.grp, n.k, CASE WHEN e.prediction_id IS NULL THEN used ELSE list_append(used, e.prediction_id) END, CASE WHEN e.prediction_id IS NULL THEN who ELSE list_append(who, n.truth_id) END, CAST(spent + coalesce(e.cost, 0) AS BIGINT)
+ FROM mt m JOIN tn n ON n.source_id = m.source_id AND n.stretch = m.stretch AND n.vehicle = m.vehicle AND n.grp = m.grp AND n.k = m.k + 1
+ JOIN (SELECT source_id, stretch, vehicle, grp, k, prediction_id, cost FROM en UNION ALL SELECT source_id, stretch, vehicle, grp, k, NULL, NULL FROM tn) e ON e.source_id = n.source_id AND e.stretch = n.stretch AND e.vehicle = n.vehicle AND e.grp = n.grp AND e.k = n.k WHERE e.prediction_id IS NULL OR NOT list_contains(used, e.prediction_id)),
+lst AS (SELECT *, row_number() OVER (PARTITION BY source_id, stretch, vehicle, grp ORDER BY len(used) DESC, spent) AS place FROM mt JOIN (SELECT source_id, stretch, vehicle, grp, max(k) AS k FROM tn GROUP BY ALL) USING (source_id, stretch, vehicle, grp, k)),
+bst AS (SELECT source_id, stretch, vehicle, unnest(who) AS truth_id, unnest(used) AS prediction_id FROM lst WHERE place = 1)"""
+SIGNAL_OF = "['left_blink', 'right_blink', 'both_blink', 'no_blink_observed', 'unknown']"
+MET = f"""{BEST}, met AS (SELECT tr.direction AS td, pr.direction AS pd, {SIGNAL_OF}[tr.sig + 1] AS ts, ['left_blink', 'right_blink', 'both_blink', 'no_blink_observed', 'no_blink_observed', 'unknown'][pr.sig + 1] AS ps FROM bst JOIN tr USING (source_id, truth_id) JOIN pr USING (source_id, prediction_id))"""
+
+
+def best_pairs(read) -> DataFrame:
+    return evaluation.best_matching(match_pairs(read), ON)
+
+
+def labelled_matches(read) -> DataFrame:
+    truths, predictions = sides(read)
+    return best_pairs(read).join(truths.select("source_id", "truth_id", "t_direction", "t_signal"), ["source_id", "truth_id"]).join(predictions.select("source_id", "prediction_id", "p_direction", "p_signal"), ["source_id", "prediction_id"])
+
+
+@query(f"WITH RECURSIVE {BEST} SELECT source_id, stretch, vehicle, truth_id, prediction_id, cost FROM bst JOIN ed USING (source_id, stretch, vehicle, truth_id, prediction_id)")
 def optimal_matching(read):
-    return evaluation.best_matching(evaluation.edges(*sides(read), ["source_id"], 8 * HOUR), ["source_id"])
+    return best_pairs(read)
 
 
-@query(f"""WITH {MATCHES}, dg AS (SELECT *, count(*) OVER (PARTITION BY source_id, truth_id) AS a, count(*) OVER (PARTITION BY source_id, prediction_id) AS b FROM ed), m AS (SELECT count(*) AS tp FROM dg WHERE a = 1 AND b = 1)
-SELECT tp, (SELECT count(*) FROM pr) - tp AS fp, (SELECT count(*) FROM tr) - tp AS fn FROM m""")
+@query(f"""WITH RECURSIVE {MET}, h AS (SELECT count(*) AS tp, count(*) FILTER (WHERE td <> 'unknown') AS direction_eligible, count(*) FILTER (WHERE td <> 'unknown' AND td = pd) AS direction_correct FROM met)
+SELECT tp, (SELECT count(*) FROM pr WHERE NOT abstained) - tp AS fp, (SELECT count(*) FROM tr) - tp AS fn, (SELECT count(*) FROM pr WHERE abstained) AS abstained, direction_eligible, direction_correct, tp / (SELECT count(*) FROM pr WHERE NOT abstained) AS precision, tp / (SELECT count(*) FROM tr) AS recall FROM h""")
 def event_metrics(read):
-    truths, predictions = sides(read)
-    pairs = evaluation.edges(truths, predictions, ["source_id"], 8 * HOUR).select("source_id", F.col("truth_id").alias("track_id"), F.col("prediction_id").alias("det_index"))
-    return evaluation.metrics(truths, predictions, association.unique(pairs, ["source_id"]))
+    return evaluation.metrics(*sides(read), labelled_matches(read))
+
+
+@query(f"WITH RECURSIVE {MET}, g AS (SELECT unnest({SIGNAL_OF}) AS truth), h AS (SELECT unnest({SIGNAL_OF}) AS predicted) SELECT g.truth, h.predicted, count(met.ts) AS n FROM g CROSS JOIN h LEFT JOIN met ON met.ts = g.truth AND met.ps = h.predicted GROUP BY ALL")
+def signal_confusion(read):
+    return evaluation.confusion(labelled_matches(read).select(F.col("t_signal").alias("truth"), F.col("p_signal").alias("predicted")), list(evaluation.SIGNALS))
+
+
+@query(f"""WITH RECURSIVE {MET} SELECT (SELECT count(*) FROM tr) AS eligible, (SELECT count(*) FROM tr WHERE sig <> 4) AS truth_known, count(*) FILTER (WHERE ps <> 'unknown') AS matched_known, count(*) FILTER (WHERE ts <> 'unknown' AND ps <> 'unknown') AS known_on_observable,
+ count(*) FILTER (WHERE ts <> 'unknown' AND ts = ps) AS correct, count(*) FILTER (WHERE ts = 'unknown' AND ps = 'no_blink_observed') AS unknown_to_no_blink FROM met""")
+def signal_coverage(read):
+    return evaluation.signal_coverage(sides(read)[0].withColumnRenamed("t_signal", "signal"), labelled_matches(read))
+
+
+@query("""WITH l AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'bad id' ELSE 'e' || (doc_id // CASE WHEN doc_id % 13 = 0 THEN 26 ELSE 1 END) END AS event, CASE WHEN doc_id % 17 = 0 THEN 'blink' ELSE 'unknown' END AS signal FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY event) AS c FROM l)
+SELECT doc_id, CASE WHEN NOT regexp_full_match(event, '[A-Za-z0-9_.-]{1,64}') THEN 'not an identifier' WHEN c > 1 THEN 'an id occurs twice' WHEN signal = 'blink' THEN 'unknown label' END AS problem FROM n WHERE NOT regexp_full_match(event, '[A-Za-z0-9_.-]{1,64}') OR c > 1 OR signal = 'blink'""")
+def label_gates(read):
+    step = F.when(F.col("doc_id") % 13 == 0, 26).otherwise(1)
+    event = F.when(F.col("doc_id") % 11 == 0, "bad id").otherwise(F.concat(F.lit("e"), F.floor(F.col("doc_id") / step)))
+    rows = read("documents").select("doc_id", event.alias("event"), F.when(F.col("doc_id") % 17 == 0, "blink").otherwise("unknown").alias("signal"))
+    return evaluation.label_problems(rows, "event", "signal").select("doc_id", "problem")
 
 
 @query("""WITH g AS (SELECT unnest([0, 1]) AS truth), h AS (SELECT unnest([0, 1]) AS predicted), c AS (SELECT quality AS truth, toxic AS predicted, count(*) AS c FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2)
@@ -502,11 +645,15 @@ def annotation_union(read):
 
 
 def event_detections(read) -> DataFrame:
-    x, y = F.col("cents") % 400, F.col("cents") % 200
-    return ticked(read).select(
-        "source_id", "ordinal", "pts", F.lit(0).alias("det_index"), (F.col("event_id") % 2).cast("int").alias("class_id"), x.cast("double").alias("x1"), y.cast("double").alias("y1"),
-        (x + 300).cast("double").alias("x2"), (y + 200).cast("double").alias("y2"), (F.col("cents") % 100 / 100).alias("score"),
-    )
+    """Up to three boxes a frame: the frame's own, one that drifts slowly, and now and then a near copy of the first."""
+    rows = ticked(read).withColumn("x", (F.col("cents") % 400).cast("double")).withColumn("y", (F.col("cents") % 200).cast("double"))
+    box = lambda k, kind, x, y, score: F.struct(F.lit(k).alias("det_index"), kind.cast("int").alias("class_id"), x.alias("x1"), y.alias("y1"), (x + 300).alias("x2"), (y + 200).alias("y2"), score.alias("score"))
+    score = F.col("cents") % 100 / 100
+    drift = (F.col("ordinal") % 50 * 4).cast("double")
+    first, second = box(0, F.col("event_id") % 2, F.col("x"), F.col("y"), score), box(1, F.lit(2), drift, drift, F.lit(0.9))
+    third = F.when(F.col("cents") % 5 == 0, box(2, F.col("event_id") % 2, F.col("x") + 1, F.col("y"), score))
+    each = rows.select("source_id", "ordinal", "pts", F.inline(F.array_compact(F.array(first, second, third))))
+    return each.withColumns({"width": F.lit(640.0), "height": F.lit(360.0)})
 
 
 POLICY = tracking.Policy(max_gap=10 * DAY, max_unobserved=5 * DAY, min_iou=0.1, new_score=0.5, ticks_per_second=DAY)
@@ -517,6 +664,51 @@ def tracker_batch(read):
     return tracking.track(event_detections(read), POLICY)
 
 
+@query()
+def stream_track(read):
+    """The tracker as a stream over files, run until all are read."""
+    return streamed(event_detections(read), "stream-track", lambda rows: folds.track_stream(rows, POLICY))
+
+
+@query(f"""WITH {FRAMES}, b AS (SELECT *, coalesce(pts - lag(pts) OVER (PARTITION BY source_id ORDER BY ordinal) > {10 * DAY}, true) AS brk FROM t), s AS (SELECT *, sum(brk::INT) OVER (PARTITION BY source_id ORDER BY ordinal) AS segment FROM b)
+SELECT source_id, CAST(segment AS INTEGER) AS segment, count(*) AS n_frames FROM s GROUP BY ALL""")
+def tracker_segments(read):
+    found = tracking.track(event_detections(read), POLICY)
+    return found.groupBy("source_id", "segment").agg(F.count_distinct("ordinal").alias("n_frames"))
+
+
+@query()
+def tracker_annotations(read):
+    detections = event_detections(read)
+    return tracking.annotations(tracking.track(detections, POLICY), detections)
+
+
+def planted_reports(read) -> DataFrame:
+    """Reports of one track a frame, with one fault for each remainder of cents."""
+    rows = ticked(read).withColumn("k", F.col("cents") % 20)
+    row = lambda state, track, det, kind, age, group: F.struct(state.alias("state"), track.cast("int").alias("track_id"), det.cast("int").alias("det_index"), kind.cast("int").alias("class_id"), age.cast("long").alias("unobserved"), group.cast("int").alias("component"))
+    k, no = F.col("k"), F.lit(None)
+    first = row(F.when(k == 1, "guessed").otherwise("observed"), F.when(k != 2, 1), F.when(k != 3, 0), F.lit(2), F.when(k == 4, 5).otherwise(0), no)
+    second = row(F.lit("prediction_only"), F.when(k == 5, 1).otherwise(2), F.when(k == 6, 3), F.lit(2), F.when(k == 7, 0).otherwise(4), no)
+    third = row(F.lit("ambiguous"), F.when(k == 8, 9), F.when(k == 9, 0).when(k == 10, None).otherwise(4), F.lit(2), no, F.lit(0))
+    fourth = row(F.lit("ended"), F.when(k == 11, 1).when(k == 12, None).otherwise(7), no, F.when(k == 13, 5).otherwise(2), no, F.lit(0))
+    return rows.select("source_id", "ordinal", F.inline(F.array(first, second, third, fourth)))
+
+
+@query(f"""WITH {FRAMES}, f2 AS (SELECT source_id, ordinal, cents % 20 AS k FROM t) SELECT source_id, ordinal, 'state' AS problem FROM f2 WHERE k IN (1, 2, 3, 4, 6, 7, 8, 10, 12) UNION ALL SELECT source_id, ordinal, 'track_id twice' FROM f2 WHERE k IN (5, 11)
+UNION ALL SELECT source_id, ordinal, 'det_index twice' FROM f2 WHERE k = 9 UNION ALL SELECT source_id, ordinal, 'classes of a group' FROM f2 WHERE k = 13""")
+def tracking_report_audit(read):
+    return audit.report_problems(planted_reports(read))
+
+
+@query(f"WITH {FRAMES} SELECT source_id, ordinal, CASE WHEN cents % 20 NOT IN (1, 2) THEN 1 END AS track_id, CASE WHEN cents % 20 NOT IN (1, 2, 3) THEN 0 END AS det_index FROM t")
+def identity_lookup(read):
+    """The chosen identity's detection in every frame, where it is observed."""
+    reports = planted_reports(read).withColumn("segment", F.lit(1))
+    asked = ticked(read).select("source_id").distinct().select("source_id", F.lit(1).alias("segment"), F.lit(2).alias("class_id"), F.lit(1).alias("track_id"))
+    return tracking.selected(ticked(read).select("source_id", "ordinal"), reports, asked).select("source_id", "ordinal", "track_id", "det_index")
+
+
 @query(f"""WITH RECURSIVE {FRAMES}, z AS (SELECT source_id, ordinal, cents / 100.0::DOUBLE AS z, (ticks - lag(ticks) OVER (PARTITION BY source_id ORDER BY ordinal)) / {DAY}.0::DOUBLE AS dt FROM t),
 k AS (SELECT source_id, ordinal, z AS x, 0.0::DOUBLE AS v, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS c FROM z WHERE ordinal = 0 UNION ALL
  SELECT source_id, ordinal, px + pa / (pa + 4) * (z - px), v + pb / (pa + 4) * (z - px), pa - pa / (pa + 4) * pa, pb - pa / (pa + 4) * pb, pc - pb / (pa + 4) * pb FROM
@@ -536,72 +728,172 @@ def kalman_filter_1d(read):
 # --- streams and audits
 
 
-@query(f"WITH {FRAMES}, {lamp_sql()} SELECT source_id, ordinal, ticks, phase, changes FROM p")
-def stream_lamp(read):
-    """The lamp fold as a stream over files, run until all are read."""
-    rows = lamp_rows(read)
+def streamed(rows: DataFrame, label: str, fold) -> DataFrame:
+    """What a streaming fold makes of rows that are read from files, all of them."""
     spark = rows.sparkSession
-    folder = shared_folder(spark, "stream-lamp")
+    folder = shared_folder(spark, label)
     rows.write.parquet(f"{folder}/in")
-    out = folds.lamp_phase_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), LAMP)
+    out = fold(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
     out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-@query()
+@query(f"WITH {FRAMES}, {LEFT} SELECT source_id, ordinal, ticks, phase, changes, CAST(NULL AS VARCHAR) AS problem FROM p")
+def stream_lamp(read):
+    rows = side(lamp_rows(read), "left").select("source_id", "ordinal", "pts", "ticks", "observed", "identity", "uncertain", "status", "brightness")
+    return streamed(rows, "stream-lamp", lambda samples: folds.lamp_phase_stream(samples, LAMP, LAMP_GAP))
+
+
+@query(f"{LANE_CHANGES} {CHANGES}")
+def stream_lane(read):
+    rows = lane_rows(read).select("source_id", "ordinal", "pts", "lane", "interior")
+    return streamed(rows, "stream-lane", lambda lane: folds.lane_stream(lane, 3 * DAY, HOUR)).where("problem is null").drop("problem")
+
+
+LANE_STATES = LANE_CHANGES.replace("CAST(NULL AS BIGINT) AS e0 FROM (SELECT DISTINCT", "CAST(NULL AS BIGINT) AS e0, '' AS act, false AS anew, false AS cut FROM (SELECT DISTINCT").replace("prev2, hit, ob, nb, e0 FROM (", "prev2, hit, ob, nb, e0, act, anew, cut FROM (")
+LANE_STATES = LANE_STATES.replace("AS last0, CASE WHEN fresh THEN NULL ELSE prev END AS prev0\n", "AS last0, CASE WHEN fresh THEN NULL ELSE prev END AS prev0, q.prev IS NULL AS anew, r.brk AS cut\n")
+LANE_NULL = "'no_actual_observation'"
+
+
+@query(f"""{LANE_STATES} SELECT source_id, ordinal, CASE act WHEN 'none' THEN 'unknown' WHEN 'stable' THEN 'stable' WHEN 'settle' THEN CASE WHEN hit THEN 'candidate' ELSE 'stable' END ELSE CASE WHEN ob IS NULL THEN 'warming' ELSE 'moving' END END AS status,
+CASE WHEN act = 'none' AND nb IS NULL THEN 'outside_lane_section' WHEN act = 'none' THEN 'non_adjacent_or_incomplete' WHEN anew THEN 'start' WHEN cut THEN 'time_gap' END AS reason, CASE WHEN hit THEN CASE WHEN nb > ob THEN 'right' ELSE 'left' END END AS direction FROM s WHERE ordinal >= 0""")
+def lane_states(read):
+    rows = lane_rows(read).select("source_id", "ordinal", "pts", "lane", "interior", F.lit("outside_lane_section").alias("why"))
+    return lanes_fold.lane_states(rows, 3 * DAY, HOUR)
+
+
+def event_catalogue(read) -> DataFrame:
+    """Candidates with their contexts, and signals over the contexts of what is left of the last lamp histories."""
+    contexts = event_contexts(read)
+    windows = contexts.select("source_id", F.col("candidate").alias("window_id"), F.col("requested_from").alias("start"), F.col("requested_to").alias("end"))
+    found = reports(lamps.latest(lamp_histories(read)), windows)
+    left, right = (found[s].select("source_id", F.col("window_id").alias("candidate"), F.col("state").alias(f"{s}_state"), F.col("blink_evidence").alias(f"{s}_blinks")) for s in ("left", "right"))
+    return audit.catalogue(event_candidates(read), contexts, left.join(right, ["source_id", "candidate"]))
+
+
+CATALOGUE = f"""{FRAMES}, {CONTEXT}, {HISTORY}, q AS (SELECT source_id, candidate AS window_id, lo AS a, hi AS b FROM ctx), {report_sql('left')}, {report_sql('right')},
+ct AS (SELECT ctx.*, {SIGNAL} AS signal FROM ctx JOIN wleft l ON l.source_id = ctx.source_id AND l.window_id = ctx.candidate JOIN wright r ON r.source_id = ctx.source_id AND r.window_id = ctx.candidate),
+cat AS (SELECT *, '{{"candidate":' || candidate || ',"context_from":' || context_from || ',"context_to":' || context_to || ',"direction":"' || direction || '","end":' || "end" || ',"signal":"' || signal || '","source_id":' || source_id || ',"start":' || "start" || '}}' || chr(10) AS body FROM ct)"""
+
+
+@query(f'WITH {CATALOGUE} SELECT source_id, candidate, direction, "start", "end", context_from, context_to, signal, lo AS requested_from, hi AS requested_to, sha256(body) AS sha256 FROM cat')
 def candidate_catalogue(read):
-    rows = ticked(read)
-    asked = rows.where("event_type = 'signup'").select("source_id", F.col("ordinal").alias("candidate"), F.col("ticks").alias("start"), (F.col("ticks") + HOUR).alias("end"), F.when(F.col("cents") % 2 == 0, "left").otherwise("right").alias("direction"))
-    samples = rows.where("event_type = 'view'").select("source_id", "ticks", F.lit(60_000_000).alias("length"))
-    left, right = (lamps.window_report(lamp_rows(read, k), *WINDOW, LAMP).select("source_id", F.col("state").alias(f"{s}_state"), F.col("blink_evidence").alias(f"{s}_blinks")) for k, s in ((1, "left"), (7, "right")))
-    return audit.catalogue(asked, samples, left.join(right, "source_id"), DAY, DAY)
+    return event_catalogue(read)
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS source_id, CAST(NULL AS BIGINT) AS ordinal, '' AS problem WHERE false")
-def tracking_report_audit(read):
-    return audit.report_problems(tracking.track(event_detections(read), POLICY))
+@query(f'WITH {CATALOGUE} SELECT candidate, direction, "start", "end", signal FROM cat')
+def catalogue_summary(read):
+    return audit.summary(event_catalogue(read))
+
+
+PLANTED = {"direction": 1, "chronology": 2, "context": 3, "signal": 4}
+
+
+@query(f"""WITH {CATALOGUE}, x AS (SELECT *, candidate % 9 AS k, lag("end") OVER (PARTITION BY source_id ORDER BY candidate) AS last, CASE WHEN candidate % 9 = 2 THEN "start" - 1 ELSE "end" END AS fin FROM cat)
+SELECT source_id, candidate, CASE WHEN k = 1 THEN 'direction' WHEN k = 2 THEN 'chronology' WHEN fin <= lag(fin) OVER (PARTITION BY source_id ORDER BY candidate) THEN 'order'
+ WHEN k = 3 OR NOT (context_from <= lo AND lo <= "start" AND fin < hi AND hi <= context_to) THEN 'context' WHEN k = 5 THEN 'unknown needs reasons, and only that' WHEN k = 6 THEN 'no evidence of blinking' WHEN k = 4 THEN 'signal' END AS problem FROM x
+QUALIFY problem IS NOT NULL""")
+def catalogue_checks(read):
+    """A catalogue's rows with a fault for some remainders of their number."""
+    k = F.col("candidate") % 9
+    known = event_catalogue(read)
+    faulty = known.withColumns({
+        "direction": F.when(k == 1, "up").otherwise(F.col("direction")), "end": F.when(k == 2, F.col("start") - 1).otherwise(F.col("end")), "context_from": F.when(k == 3, F.col("start") + 1).otherwise(F.col("context_from")),
+        "left_state": F.when(k == 6, "blink_observed").when(k == 5, "unknown").otherwise("no_blink_observed"), "left_blinks": F.lit(False), "left_reasons": F.array().cast("array<string>"),
+        "right_state": F.lit("no_blink_observed"), "right_blinks": F.lit(False), "right_reasons": F.array().cast("array<string>"), "signal": F.when(k == 4, "left_blink").otherwise("no_blink_observed"),
+    })
+    return faulty.withColumn("problem", audit.catalogue_problem(["candidate"])).where("problem is not null").select("source_id", "candidate", "problem")
+
+
+@query(f"""WITH {CATALOGUE} SELECT source_id, candidate, CASE WHEN candidate % 7 = 1 THEN 'missing' WHEN candidate % 7 = 2 THEN 'unexpected' WHEN candidate % 7 = 3 THEN 'context_to' ELSE 'sha256' END AS problem FROM cat WHERE candidate % 7 BETWEEN 1 AND 4""")
+def batch_audit(read):
+    """A recorded catalogue with rows left out, added and changed, against a fresh one."""
+    fresh = event_catalogue(read)
+    k = F.col("candidate") % 7
+    recorded = fresh.where(k != 1).withColumn("context_to", F.when(k == 3, F.col("context_to") + 1).otherwise(F.col("context_to"))).withColumn("sha256", F.when(k == 4, "0").otherwise(F.col("sha256")))
+    return audit.batch_problems(recorded, fresh.where(k != 2), ["source_id", "candidate"], ["context_from", "context_to", "sha256"])
+
+
+@query("SELECT 'doc' || doc_id AS path, CASE doc_id % 10 WHEN 0 THEN 'missing' WHEN 1 THEN 'unlisted' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 10 < 3")
+def listing_audit(read):
+    files = read("documents").select((F.col("doc_id") % 10).alias("k"), F.concat(F.lit("doc"), "doc_id").alias("path"), receipts.digest(F.col("text")).alias("sha256"))
+    manifest = files.where("k <> 1").withColumn("sha256", F.when(F.col("k") == 2, "0").otherwise(F.col("sha256")))
+    return audit.manifest_problems(manifest, files.where("k <> 0"))
+
+
+@query(f"""WITH {FRAMES} SELECT source_id, ordinal, CASE WHEN cents % 12 = 1 THEN 'ordinal' WHEN cents % 12 = 2 THEN 'pts' ELSE 'event_type' END AS problem FROM (SELECT source_id, CASE WHEN cents % 12 = 1 THEN ordinal + 1000000 ELSE ordinal END AS ordinal, cents FROM t) WHERE cents % 12 IN (1, 2, 3)""")
+def frame_match(read):
+    rows, k = ticked(read), F.col("cents") % 12
+    recorded = rows.select("source_id", F.when(k == 1, F.col("ordinal") + 1_000_000).otherwise(F.col("ordinal")).alias("ordinal"), F.when(k == 2, F.col("pts") + 1).otherwise(F.col("pts")).alias("pts"), F.when(k == 3, "none").otherwise(F.col("event_type")).alias("event_type"))
+    return audit.mismatched_frames(recorded, rows, ("pts", "event_type"))
+
+
+@query(f"WITH {FRAMES} SELECT source_id, ordinal, CASE WHEN cents % 12 = 2 THEN 'pts' ELSE 'observation' END AS problem FROM t WHERE cents % 12 IN (2, 4, 5)")
+def review_join(read):
+    rows, k = ticked(read), F.col("cents") % 12
+    review = rows.select("source_id", "ordinal", F.when(k == 2, F.col("pts") + 1).otherwise(F.col("pts")).alias("pts"), F.when(k == 4, 2).when(k == 5, None).otherwise(1).alias("track_id"))
+    return audit.review_problems(review, rows, rows.select("source_id", "ordinal", F.lit(1).alias("track_id")))
 
 
 # --- replay
 
 
-@query(f"""WITH {FRAMES}, c AS (SELECT source_id, ordinal, ticks, event_type = 'signup' AS asked FROM t), x AS (SELECT source_id, ordinal AS candidate, greatest(ticks - {DAY}, 0) AS a, ticks + {DAY} AS b FROM c WHERE asked AND ordinal IN (1, 4, 9, 16, 25)),
+def event_batch(read) -> DataFrame:
+    rows = ticked(read)
+    asked = rows.where("event_type = 'signup'").select("source_id", F.col("ordinal").alias("candidate"), F.greatest(F.col("ticks") - DAY, F.lit(0)).alias("context_from"), (F.col("ticks") + DAY).alias("context_to"))
+    return replay.batch_windows(rows, asked, [1, 4, 9, 16, 25], 2 * DAY)
+
+
+BATCH = f"""{FRAMES}, c AS (SELECT source_id, ordinal, ticks, event_type = 'signup' AS asked FROM t), x AS (SELECT source_id, ordinal AS candidate, greatest(ticks - {DAY}, 0) AS a, ticks + {DAY} AS b FROM c WHERE asked AND ordinal IN (1, 4, 9, 16, 25)),
 w AS (SELECT x.source_id, candidate, min(c.ordinal) AS first, count(*) AS n FROM x JOIN c ON c.source_id = x.source_id AND c.ticks >= a AND c.ticks < b GROUP BY ALL),
 m AS (SELECT *, max(first + n) OVER (PARTITION BY source_id ORDER BY first, n, candidate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM w),
-g AS (SELECT *, sum(CASE WHEN first <= ended THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY first, n, candidate) - 1 AS grp FROM m)
-SELECT source_id, CAST(grp AS INTEGER) AS "group", min(first) AS first, max(first + n) - min(first) AS count, count(*) AS n_windows FROM g GROUP BY source_id, grp""")
+g AS (SELECT *, sum(CASE WHEN first <= ended THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY first, n, candidate) - 1 AS grp FROM m)"""
+
+
+@query(f"""WITH {BATCH} SELECT source_id, CAST(grp AS INTEGER) AS "group", min(first) AS first, max(first + n) - min(first) AS count, count(*) AS n_windows FROM g GROUP BY source_id, grp""")
 def batch_window_plan(read):
-    rows = ticked(read)
-    asked = rows.where("event_type = 'signup'").select("source_id", F.col("ordinal").alias("candidate"), F.greatest(F.col("ticks") - DAY, F.lit(0)).alias("context_from"), (F.col("ticks") + DAY).alias("context_to"))
-    return replay.batch_windows(rows, asked, [1, 4, 9, 16, 25])
+    """The sources' windows have far fewer than 120 frames together, so the bound cuts none here; ``window_groups_capped`` has those that it cuts."""
+    return planning.grouped_windows(event_batch(read))
 
 
-@query(f"""WITH {FRAMES}, k AS (SELECT source_id, ordinal, lag(cents % 3) OVER (PARTITION BY source_id ORDER BY ordinal) IS DISTINCT FROM cents % 3 AS reset FROM t) SELECT source_id, ordinal FROM k WHERE reset OR ordinal = 0""")
-def replay_resets(read):
-    rows = lane_rows(read).select("source_id", "ordinal", "lane", "interior", "cents").join(lamp_rows(read).drop("ticks"), ["source_id", "ordinal"])
-    found = replay.analyse(ticked(read).select("source_id", "ordinal", "pts", "ticks"), rows, replay.source_key(F.col("cents") % 3), 3 * DAY, HOUR, WINDOW, LAMP)
-    return found["resets"]
+@query(f"""WITH {BATCH}, p AS (SELECT source_id, grp, min(first) AS first, max(first + n) - min(first) AS count, sum(CASE WHEN first >= 5 AND first + n <= 20 THEN 0 ELSE n END) AS separate FROM g GROUP BY source_id, grp)
+SELECT source_id, CAST(grp AS INTEGER) AS "group", first, count, CAST(separate AS BIGINT) AS separate, NOT (separate > 0 AND separate < count) AS prime FROM p""")
+def window_priming(read):
+    windows = event_batch(read)
+    return replay.worth_priming(planning.grouped_windows(windows), windows, 5, 15)
 
 
 def replayed(read) -> dict[str, DataFrame]:
-    """The replay of rows of which some frames have none."""
-    rows = lane_rows(read).select("source_id", "ordinal", "lane", "interior", "cents").join(lamp_rows(read).drop("ticks"), ["source_id", "ordinal"]).where("cents % 13 <> 0")
-    return replay.analyse(ticked(read).select("source_id", "ordinal", "pts", "ticks"), rows, replay.source_key(F.col("cents") % 3), 3 * DAY, HOUR, WINDOW, LAMP)
+    """The replay of recorded rows of which some frames have none."""
+    recorded = side(lamp_rows(read), "left").withColumn("source", F.when(F.col("cents") % 23 != 0, F.floor(F.col("ordinal") / 25)))
+    rows = lane_rows(read).select("source_id", "ordinal", "lane", "interior").join(recorded.select("source_id", "ordinal", "observed", "identity", "uncertain", "status", "brightness", "source"), ["source_id", "ordinal"])
+    rows = rows.join(ticked(read).where("cents % 13 <> 0").select("source_id", "ordinal"), ["source_id", "ordinal"], "left_semi")
+    return replay.analyse(ticked(read).select("source_id", "ordinal", "pts", "ticks"), rows, F.col("source"), 3 * DAY, HOUR, lamp_windows(read), LAMP)
+
+
+#: Recorded rows alone, so that the row after a frame without one comes after a gap.
+RECORDED = FRAMES.replace("t AS (SELECT *,", "t0 AS (SELECT *,") + ", t AS (SELECT * FROM t0 WHERE cents % 13 <> 0)"
+KEPT = HISTORY.replace("WHEN pts - lag(pts) OVER o >", "WHEN CASE WHEN cents % 23 <> 0 THEN ordinal // 25 END IS NULL OR lag(CASE WHEN cents % 23 <> 0 THEN ordinal // 25 END) OVER o <> ordinal // 25 THEN 'start' WHEN ordinal <> lag(ordinal) OVER o + 1 THEN 'missing_frame' WHEN pts - lag(pts) OVER o >").replace(str(LAMP_GAP), str(3 * DAY))
+
+
+@query(f"""WITH {RECORDED}, k AS (SELECT source_id, ordinal, CASE WHEN cents % 23 <> 0 THEN ordinal // 25 END AS key FROM t), z AS (SELECT *, lag(key) OVER (PARTITION BY source_id ORDER BY ordinal) AS last FROM k)
+SELECT source_id, ordinal, CASE WHEN key IS NULL THEN 'lamps_unknown' ELSE 'lamp_source_change' END AS reason FROM z WHERE key IS NULL OR last <> key""")
+def replay_resets(read):
+    return replayed(read)["resets"]
 
 
-def unrecorded(sql: str, seen: str, name: str) -> str:
-    """SQL in which frames without a recorded row have the value of that name where a recorded one has what was seen."""
-    if seen not in sql:
-        raise ValueError("the SQL has no such value")
-    return sql.replace(seen, f"CASE WHEN cents % 13 = 0 THEN {name} {seen.removeprefix('CASE ')}")
+LANE_RECORDED = LANE_CHANGES.replace(FRAMES, RECORDED).replace("coalesce(pts - lag(pts) OVER (PARTITION BY source_id ORDER BY ordinal) >", "coalesce(ordinal <> lag(ordinal) OVER (PARTITION BY source_id ORDER BY ordinal) + 1 OR pts - lag(pts) OVER (PARTITION BY source_id ORDER BY ordinal) >")
+LANE_RECORDED = LANE_RECORDED.replace("SELECT source_id, ordinal, pts, lane, interior, coalesce(", "SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY ordinal) - 1 AS ordinal, ordinal AS frame, pts, lane, interior, coalesce(")
 
 
-@query(unrecorded(f"{LANE_CHANGES} {CHANGES}", "CASE WHEN cents % 17 <> 0", "NULL"))
+@query(f"""{LANE_RECORDED}, o AS (SELECT source_id, ordinal, frame FROM r) SELECT c.source_id, direction, from_lane, to_lane, a.frame AS start_from, b.frame AS start_to, d.frame AS cross_from, e.frame AS cross_to, g.frame AS done_from, h.frame AS done_to FROM ({CHANGES}) c
+JOIN o a ON a.source_id = c.source_id AND a.ordinal = start_from JOIN o b ON b.source_id = c.source_id AND b.ordinal = start_to JOIN o d ON d.source_id = c.source_id AND d.ordinal = cross_from JOIN o e ON e.source_id = c.source_id AND e.ordinal = cross_to
+JOIN o g ON g.source_id = c.source_id AND g.ordinal = done_from JOIN o h ON h.source_id = c.source_id AND h.ordinal = done_to""")
 def replay_lane_changes(read):
     return replayed(read)["changes"]
 
 
-@query(unrecorded(f"WITH {FRAMES}, {report_sql(1, '1')} SELECT * FROM w1", "CASE WHEN cents % 29 = 0", "'no_actual_observation'"))
+@query(f"WITH {RECORDED}, {KEPT}, {SPANS.replace('FROM t GROUP BY', 'FROM t0 GROUP BY')}, {report_sql('left')} SELECT * FROM wleft")
 def replay_lamp_reports(read):
     return replayed(read)["lamps"]
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from framewright.plans.catalogue import ORACLES, QUERIES
+from framewright.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
