@@ -7,9 +7,11 @@ smallest doc_id, goes on. Two classes are linked if their sets' similarity
 reaches the threshold.
 
 In each bucket of a band all members are compared with one pivot, the member
-that shares most buckets. Members that this leaves in different components are
-then compared with each other, in every bucket, unless what is known of both
-against the bucket's pivot rules similarity out, so no pair of a bucket is lost.
+that shares most buckets. Those that this leaves in another component than
+some of the bucket are compared with ROUNDS further pivots, drawn by a hash. Members
+that are in different components even then are compared with each other, in every
+bucket, unless what is known of both against the bucket's first pivot rules
+similarity out, so no pair of a bucket is lost.
 A bucket of near copies thus costs a number of comparisons in proportion to its
 size, not to its square.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 from .components import components
@@ -41,6 +44,8 @@ MAP_BITS = 1 << 20
 PAIRS_A_TASK = 1 << 13
 #: A larger table of such documents isn't broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Further pivots of a bucket that members are compared with before pairs are sought among those that are left.
+ROUNDS = 4
 #: Tasks that the members of a class meet it in.
 SALTS = 16
 
@@ -308,23 +313,34 @@ def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int,
     weights = scratch.write(members.groupBy("id").agg(F.sum("c").alias("weight")), "weights")
     pivots = members.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
     first = members.join(pivots, "key").where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = scratch.write(first, "first_pairs")
     sets = scratch.write(shingle_sets(docs, weights.select("id"), words), "sets")
     scored = scratch.write(compared(scratch, first, sets, "first"), "scored")
-    links = scored.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "joined")
-    placed = members.where("c > 2").join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    linked = lambda pairs: pairs.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    links = linked(scored)
+
+    # members that are still apart from another one of the bucket, in a bucket of more than two
+    large, tested, open_ = members.where("c > 2").drop("c"), scored.select("a", "b"), None
+    for k in range(ROUNDS + 1):
+        joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), f"joined_{k}")
+        placed = large.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        open_ = scratch.write(placed.join(apart, "key", "left_semi"), f"open_{k}")
+        if k == ROUNDS or open_.isEmpty():
+            break
+        other = open_.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("pivot"))
+        pairs = open_.join(other, "key").where(F.col("component") != F.col("pivot.component")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
+        both = tested.unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = scratch.write(pairs.join(both, ["a", "b"], "left_anti"), f"pairs_{k}")
+        links = links.unionAll(linked(scratch.write(compared(scratch, pairs, sets, f"round_{k}"), f"scored_{k}")))
+        tested = tested.unionAll(pairs)
     common = scored.select(F.col("a").alias("anchor"), F.col("b").alias("id"), F.col("shared").alias("common"))
-    open_ = placed.join(apart, "key", "left_semi").join(pivots.withColumnRenamed("pivot", "anchor"), "key").join(common, ["anchor", "id"], "left")
+    whole = open_.join(pivots.withColumnRenamed("pivot", "anchor"), "key").join(common, ["anchor", "id"], "left")
     # the pivot has all of its shingles in common with itself
-    rest = scratch.write(open_.select("key", "id", "n", "component", "anchor", F.coalesce("common", F.col("n").cast("int")).alias("common")), "rest")
-    second = crossing(rest, percent).unionAll(sharing(rest, sets, percent)).distinct()
-    tested = first.unionAll(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = scratch.write(second.join(tested, ["a", "b"], "left_anti"), "second_pairs")
-    more = compared(scratch, second, sets, "second").where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    return links.unionAll(scratch.write(more, "second_links"))
+    rest = scratch.write(whole.select("key", "id", "n", "component", "anchor", F.coalesce("common", F.col("n").cast("int")).alias("common")), "rest")
+    last = crossing(rest, percent).unionAll(sharing(rest, sets, percent)).distinct()
+    both = tested.unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    last = scratch.write(last.join(both, ["a", "b"], "left_anti"), "last_pairs")
+    return links.unionAll(linked(scratch.write(compared(scratch, last, sets, "last"), "last_scored")))
 
 
 def crossing(rest: DataFrame, percent: int) -> DataFrame:
@@ -341,12 +357,22 @@ def crossing(rest: DataFrame, percent: int) -> DataFrame:
 
 
 def sharing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that met in buckets of one pivot, in different components, that share shingles outside of it, enough to be similar perhaps."""
+    """Pairs that met in buckets of one pivot, in different components, that share shingles outside of it, enough to be similar perhaps.
+
+    A set of n shingles, c of them the pivot's, has to share percent * n / 100 - c of
+    the others at least. So of these, the rarest first, all but so many less one are
+    looked at: similar sets meet in one. What most members have and the pivot lacks
+    comes last, and a member with many shingles of its own doesn't get to it.
+    """
     one = rest.drop("key").distinct().where("id <> anchor")
     both = one.join(sets, "id").join(sets.select(F.col("id").alias("anchor"), F.col("items").alias("there")), "anchor")
     extra = both.select("anchor", "id", "n", "component", "common", F.explode(F.array_except("items", "there")).alias("item"))
-    meeting = extra.groupBy("anchor", "item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("anchor", "item")
-    extra = extra.join(meeting, ["anchor", "item"])
-    other = extra.select("anchor", "item", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "common")])
-    pairs = extra.join(other, ["anchor", "item"]).where("component < component2").groupBy("id", "id2", "n", "n2", "common", "common2").agg(F.count(F.lit(1)).alias("more"))
-    return pairs.where(similar(F.least("common", "common2") + F.col("more"), F.col("n"), F.col("n2"), percent)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    seen = extra.groupBy("anchor", "item").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    ranked = extra.join(seen, ["anchor", "item"]).withColumn("rank", F.row_number().over(Window.partitionBy("anchor", "id").orderBy("often", "item")))
+    needed = F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("common"), F.lit(1))
+    first = ranked.where((F.col("rank") <= F.col("n") - F.col("common") - needed + 1) & (F.col("lo") < F.col("hi"))).select("anchor", "item", "id", "n", "component", "common")
+    other = first.select("anchor", "item", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "common")])
+    fits = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
+    most = F.least("common", "common2") + F.least(F.col("n") - F.col("common"), F.col("n2") - F.col("common2"))
+    pairs = first.join(other, ["anchor", "item"]).where((F.col("component") < F.col("component2")) & fits & similar(most, F.col("n"), F.col("n2"), percent))
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
