@@ -507,11 +507,11 @@ BEST = f"""{MATCHES}, bd AS (SELECT *, least(earliest, seen) AS lo, greatest(lat
 gr AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY source_id, stretch, vehicle ORDER BY lo, truth_id, prediction_id) AS grp FROM nw),
 tn AS (SELECT source_id, stretch, vehicle, grp, truth_id, row_number() OVER (PARTITION BY source_id, stretch, vehicle, grp ORDER BY truth_id) AS k FROM (SELECT DISTINCT source_id, stretch, vehicle, grp, truth_id FROM gr)),
 en AS (SELECT gr.*, k FROM gr JOIN tn USING (source_id, stretch, vehicle, grp, truth_id)),
-mt AS (SELECT DISTINCT source_id, stretch, vehicle, grp, 0 AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS who, CAST(0 AS BIGINT) AS spent FROM gr UNION
- SELECT m.source_id, m.stretch, m.vehicle, m.grp, n.k, CASE WHEN e.prediction_id IS NULL THEN used ELSE list_append(used, e.prediction_id) END, CASE WHEN e.prediction_id IS NULL THEN who ELSE list_append(who, n.truth_id) END, CAST(spent + coalesce(e.cost, 0) AS BIGINT)
+mt AS (SELECT DISTINCT source_id, stretch, vehicle, grp, 0 AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS who, CAST(0 AS BIGINT) AS spent, CAST(0 AS HUGEINT) AS squares FROM gr UNION
+ SELECT m.source_id, m.stretch, m.vehicle, m.grp, n.k, CASE WHEN e.prediction_id IS NULL THEN used ELSE list_append(used, e.prediction_id) END, CASE WHEN e.prediction_id IS NULL THEN who ELSE list_append(who, n.truth_id) END, CAST(spent + coalesce(e.cost, 0) AS BIGINT), squares + CAST(coalesce(e.cost, 0) AS HUGEINT) * coalesce(e.cost, 0)
  FROM mt m JOIN tn n ON n.source_id = m.source_id AND n.stretch = m.stretch AND n.vehicle = m.vehicle AND n.grp = m.grp AND n.k = m.k + 1
  JOIN (SELECT source_id, stretch, vehicle, grp, k, prediction_id, cost FROM en UNION ALL SELECT source_id, stretch, vehicle, grp, k, NULL, NULL FROM tn) e ON e.source_id = n.source_id AND e.stretch = n.stretch AND e.vehicle = n.vehicle AND e.grp = n.grp AND e.k = n.k WHERE e.prediction_id IS NULL OR NOT list_contains(used, e.prediction_id)),
-lst AS (SELECT *, row_number() OVER (PARTITION BY source_id, stretch, vehicle, grp ORDER BY len(used) DESC, spent) AS place FROM mt JOIN (SELECT source_id, stretch, vehicle, grp, max(k) AS k FROM tn GROUP BY ALL) USING (source_id, stretch, vehicle, grp, k)),
+lst AS (SELECT *, row_number() OVER (PARTITION BY source_id, stretch, vehicle, grp ORDER BY len(used) DESC, spent, squares) AS place FROM mt JOIN (SELECT source_id, stretch, vehicle, grp, max(k) AS k FROM tn GROUP BY ALL) USING (source_id, stretch, vehicle, grp, k)),
 bst AS (SELECT source_id, stretch, vehicle, unnest(who) AS truth_id, unnest(used) AS prediction_id FROM lst WHERE place = 1)"""
 SIGNAL_OF = "['left_blink', 'right_blink', 'both_blink', 'no_blink_observed', 'unknown']"
 MET = f"""{BEST}, met AS (SELECT tr.direction AS td, pr.direction AS pd, {SIGNAL_OF}[tr.sig + 1] AS ts, ['left_blink', 'right_blink', 'both_blink', 'no_blink_observed', 'no_blink_observed', 'unknown'][pr.sig + 1] AS ps FROM bst JOIN tr USING (source_id, truth_id) JOIN pr USING (source_id, prediction_id))"""
