@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch
-from .tokens import batches
+from .tokens import batches, release
 
 #: Hashed features, as a power of two.
 FEATURE_BITS = 16
@@ -235,6 +235,8 @@ def train(scratch: Scratch, docs: DataFrame, sample: int = SAMPLE) -> Model:
     w, bias = fit_ftrl([rows[k] for k in np.flatnonzero(~apart)], labels[~apart], len(languages))
     whole = np.vstack([w, bias])
     logits = np.array([x @ whole[at] for at, x in (rows[k] for k in np.flatnonzero(apart))]).reshape(-1, len(languages))
+    rows.clear()
+    release()  # the driver goes on with other work
     temperature = fit_temperature(logits, labels[apart])
     return Model(languages, np.ascontiguousarray((SCALE * idf[:, None] * w).T.astype(np.float32)), bias, temperature)
 

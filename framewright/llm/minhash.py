@@ -42,10 +42,8 @@ SLICE = 1 << 20
 MAP_BITS = 1 << 20
 #: Pairs of one document that one task compares, about.
 PAIRS_A_TASK = 1 << 13
-#: A larger table of such documents isn't broadcast.
-BROADCAST_ROWS = 1_000_000
 #: Further pivots of a bucket that members are compared with before pairs are sought among those that are left.
-ROUNDS = 4
+ROUNDS = 2
 #: Tasks that the members of a class meet it in.
 SALTS = 16
 
@@ -240,16 +238,13 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return keyed.mapInArrow(collect, "id long, items array<long>").join(ids, "id", "left_semi")
 
 
-def compared(scratch: Scratch, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with the sizes of their full sets and of the intersection.
 
     The set of an a with very many pairs is copied under several salts, so that
     they meet it in several tasks.
     """
     heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIRS_A_TASK).select("a", F.ceil(F.col("c") / PAIRS_A_TASK).cast("int").alias("salts"))
-    heavy = scratch.write(heavy, f"heavy_{label}")
-    if heavy.count() <= BROADCAST_ROWS:
-        heavy = F.broadcast(heavy)
     salts = F.coalesce("salts", F.lit(1))
     salted = pairs.join(heavy, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     copies = sets.select(F.col("id").alias("a"), F.col("items").alias("x")).join(heavy, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -314,33 +309,40 @@ def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int,
     pivots = members.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
     first = members.join(pivots, "key").where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     sets = scratch.write(shingle_sets(docs, weights.select("id"), words), "sets")
-    scored = scratch.write(compared(scratch, first, sets, "first"), "scored")
+    scored = scratch.write(compared(first, sets), "scored")
     linked = lambda pairs: pairs.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     links = linked(scored)
 
-    # members that are still apart from another one of the bucket, in a bucket of more than two
-    large, tested, open_ = members.where("c > 2").drop("c"), scored.select("a", "b"), None
-    for k in range(ROUNDS + 1):
-        joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), f"joined_{k}")
-        placed = large.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_ = scratch.write(placed.join(apart, "key", "left_semi"), f"open_{k}")
-        if k == ROUNDS or open_.isEmpty():
-            break
+    def apart(placed: DataFrame, label: str) -> DataFrame:
+        """The members of buckets in which not all are known to be of one component."""
+        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return scratch.write(placed.join(several, "key", "left_semi").select("key", "id", "n", "component"), label)
+
+    def placed(links: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+        joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), label)
+        return rows.drop("component").join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    mirrored = lambda pairs: pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    open_ = apart(placed(links, members.where("c > 2"), "joined"), "open")
+    tested = scored.select("a", "b")
+    for k in range(ROUNDS):
         other = open_.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("pivot"))
-        pairs = open_.join(other, "key").where(F.col("component") != F.col("pivot.component")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
-        both = tested.unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = scratch.write(pairs.join(both, ["a", "b"], "left_anti"), f"pairs_{k}")
-        links = links.unionAll(linked(scratch.write(compared(scratch, pairs, sets, f"round_{k}"), f"scored_{k}")))
-        tested = tested.unionAll(pairs)
+        met = open_.join(other, "key").where(F.col("component") != F.col("pivot.component")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("pivot.component").alias("to")).distinct()
+        asked = scratch.write(met.join(mirrored(tested), ["a", "b"], "left_anti"), f"asked_{k}")
+        found = scratch.write(linked(compared(asked.select("a", "b").distinct(), sets)), f"found_{k}")
+        links, tested = links.unionAll(found), tested.unionAll(asked.select("a", "b"))
+        # who is linked with a pivot is of its component from now on
+        moved = asked.join(found, ["a", "b"]).groupBy(F.col("b").alias("id")).agg(F.min("to").alias("to"))
+        open_ = apart(open_.join(moved, "id", "left").withColumn("component", F.coalesce("to", "component")), f"open_{k}")
+    links = scratch.write(links, "links")
+    open_ = apart(placed(links, open_, "rejoined"), "still_open")
     common = scored.select(F.col("a").alias("anchor"), F.col("b").alias("id"), F.col("shared").alias("common"))
     whole = open_.join(pivots.withColumnRenamed("pivot", "anchor"), "key").join(common, ["anchor", "id"], "left")
     # the pivot has all of its shingles in common with itself
     rest = scratch.write(whole.select("key", "id", "n", "component", "anchor", F.coalesce("common", F.col("n").cast("int")).alias("common")), "rest")
     last = crossing(rest, percent).unionAll(sharing(rest, sets, percent)).distinct()
-    both = tested.unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    last = scratch.write(last.join(both, ["a", "b"], "left_anti"), "last_pairs")
-    return links.unionAll(linked(scratch.write(compared(scratch, last, sets, "last"), "last_scored")))
+    last = scratch.write(last.join(mirrored(tested), ["a", "b"], "left_anti"), "last_pairs")
+    return links.unionAll(scratch.write(linked(compared(last, sets)), "last_links"))
 
 
 def crossing(rest: DataFrame, percent: int) -> DataFrame:
