@@ -299,6 +299,33 @@ def test_shards(spark):
     assert all(r["size"] == len((by[r.doc_id] or "").encode()) + 16 and r.text_crc32 == zlib.crc32((by[r.doc_id] or "").encode()) for r in rows if r.doc_id not in (None, 5))
 
 
+def test_shards_have_the_least_capacity(spark):
+    draw = random.Random(29)
+    rows = [(n, words(draw, draw.choice([1, 5, 60, 400])) if n % 9 else texts()[5]) for n in range(150)] + [(200, None), (201, "")]
+    frame = table(spark, rows)
+    order = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64(F.col("text").isNull(), "text").alias("h")).collect()}
+    for shards in (3, 7, 40):
+        got = sharding.shard_documents(frame, shards=shards).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(order[r.doc_id], []).append(r)
+        sizes = [sum(r["size"] for r in groups[h]) for h in sorted(groups)]
+
+        def needed(capacity):
+            n, held = 1, 0
+            for size in sizes:
+                n, held = (n + 1, size) if held + size > capacity else (n, held + size)
+            return n
+
+        least = next(c for c in range(max(sizes), sum(sizes) + 1) if needed(c) <= shards)
+        held = Counter()
+        for r in got:
+            held[r.shard] += r["size"]
+        assert max(held.values()) <= least
+        numbers = [{r.shard for r in groups[h]} for h in sorted(groups)]
+        assert all(len(n) == 1 for n in numbers) and [min(n) for n in numbers] == sorted(min(n) for n in numbers)
+
+
 def test_minimax_is_least():
     draw = np.random.default_rng(0)
     for t in range(150):
@@ -729,14 +756,65 @@ def test_chat_round_trip(spark):
     assert sum(r.formatted_chars for r in got.values()) == pieces.agg(F.sum(F.length("formatted"))).first()[0]
 
 
-def test_pipeline(spark):
+def brute_redaction(rows):
+    """Texts of (doc_id, text, source) with their secrets replaced, by plain loops."""
+    assign, access, hex_, owned = (re.compile(p.replace("\\x20", " ")) for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.OWNED))
+    spans, owners = {}, {}
+    for i, t, source in rows:
+        base = [(m.start(), 0, m.end(), m.group(2)) for m in assign.finditer(t) if len(m.group(2)) >= secrets.LEAST_ASSIGNED]
+        base += [(m.start(), k, m.end(), m[0]) for k, p in ((1, access), (2, hex_)) for m in p.finditer(t)]
+        mixed = [m for m in owned.finditer(t) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+        spans[i] = sorted(base + [(m.start(), 3, m.end(), m[0]) for m in mixed if not any(a < m.end() and m.start() < b for a, _, b, _ in base)])
+        for *_, value in spans[i]:
+            owners.setdefault(value, set()).add(source)
+    out = {}
+    for i, t, _ in rows:
+        clean, at = "", 0
+        for a, kind, b, value in spans[i]:
+            n = len(owners[value])
+            if kind == 3 and n > 1:
+                continue
+            if a >= at:
+                clean += t[at:a] + ("[EXAMPLE-CREDENTIAL]" if n >= secrets.COPIED_OWNERS else "[SECRET]")
+            at = max(at, b)
+        out[i] = clean + t[at:]
+    return out
+
+
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    folder = "/root/testdata/sf0.001"
+    given, folder = "/root/testdata/sf0.001", str(tmp_path)
+    docs = spark.read.parquet(f"{given}/documents.parquet")
+    some = docs.where("length(text) between 400 and 3000 and lang = 'en'").orderBy("doc_id").limit(6).collect()
+    said = ["token = abcdefgh12345", "AKIA" + "Q7" * 8, "0123456789abcdef" * 3, "Zq9" * 9 + "xY", "password: 'correct-horse'", "password: 'correct-horse'"]
+    planted = [(9000 + k, " ".join([*reversed(r.text.split(" ")), t]), r.lang, f"s{k}", 0) for k, (r, t) in enumerate(zip(some, said))]
+    docs.unionByName(spark.createDataFrame(planted, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{given}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    rows = {r.doc_id: r.text for r in docs.collect()}
+    held = {r.doc_id: r for r in docs.collect()}
     items = [re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    keep = {i for i, (_, c) in brute_components(list(rows.items()), 5, 80).items() if i == c}
-    clean = {i for i in keep if not any(" ".join(x) in " ".join(re.findall(r"\w+", rows[i].lower())) for x in items)}
-    packed = {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()}
-    assert packed == clean
+    spoken = {i: r.text for i, r in held.items() if r.text and any(c.isalpha() for c in r.text)}
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, folder).collect()} == set(spoken)  # all of them are plainly of one language
+    keep = {i for i, (_, c) in brute_components(list(spoken.items()), 5, 80).items() if i == c}
+    clean = set()
+    for i in keep:
+        said = re.findall(r"[^\s!-/:-@\[-`{-~]+", spoken[i].lower())
+        runs = {tuple(said[k : k + 5]) for k in range(len(said) - 4)}
+        near = [x for x in items if len(x) >= 5 and any(tuple(x[k : k + 5]) in runs for k in range(len(x) - 4))]
+        if not any(sum(t[2] for t in brute_tiles(x, said, 5)) >= len(x) / 2 for x in near):
+            clean.add(i)
+    want = brute_redaction([(i, spoken[i], held[i].source) for i in sorted(clean)])
+    rows = corpus_pipeline.run(spark, folder).collect()
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == clean and sum("[SECRET]" in t for t in want.values()) >= 6
+    for i, parts in pieces.items():
+        ids = reference_ids(want[i]) + [0]
+        assert [(r.start, r.length, r.ids_crc32) for r in sorted(parts, key=lambda r: r.piece)] == [(a, len(ids[a : a + 2048]), crc(ids[a : a + 2048])) for a in range(0, len(ids), 2048)]
+    ends = {}
+    for r in rows:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    for parts in ends.values():
+        assert [a for a, _ in sorted(parts)] == [0, *(b for _, b in sorted(parts))][:-1] and max(parts)[1] <= 2048
