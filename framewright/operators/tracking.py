@@ -244,6 +244,20 @@ def track(detections: DataFrame, policy: Policy) -> DataFrame:
     return local.join(base, ["source_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("base")).select(*COLUMNS)
 
 
+def filtered(rows: DataFrame, measurement: float, spectral: float, start: tuple[float, float]) -> DataFrame:
+    """rows(source_id, ordinal, z, t seconds): position and velocity of one channel after each measurement; start: variances of both at the first."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part, state, last, out = part.sort_values("ordinal"), None, 0.0, []
+        for source, ordinal, z, t in zip(part["source_id"], part["ordinal"], part["z"], part["t"]):
+            state = [z, 0.0, start[0], 0.0, start[1]] if state is None else guarded(correct(predict(state, t - last, spectral), z, measurement))
+            last = t
+            out.append((source, ordinal, state[0], state[1]))
+        return pd.DataFrame(out, columns=["source_id", "ordinal", "x", "v"])
+
+    return rows.select("source_id", "ordinal", "z", "t").groupBy("source_id").applyInPandas(fold, "source_id long, ordinal long, x double, v double")
+
+
 def annotations(reports: DataFrame, detections: DataFrame) -> DataFrame:
     """What a review shows of each frame: tracks that are observed or predicted, and detections that belong to none, ambiguous or unassociated."""
     on = ["source_id", "ordinal"]

@@ -715,14 +715,9 @@ k AS (SELECT source_id, ordinal, z AS x, 0.0::DOUBLE AS v, 1.0::DOUBLE AS a, 0.0
  (SELECT z.source_id, z.ordinal, z.z, k.v, k.x + dt * k.v AS px, k.a + dt * (2 * k.b + dt * k.c) + dt * dt * dt / 3 AS pa, k.b + dt * k.c + dt * dt / 2 AS pb, k.c + dt AS pc FROM k JOIN z ON z.source_id = k.source_id AND z.ordinal = k.ordinal + 1))
 SELECT source_id, ordinal, round(x, 5) AS x, round(v, 5) AS v FROM k""")
 def kalman_filter_1d(read):
-    """One channel of the motion filter as a native fold: measurement variance 4, spectral density 1, time in days."""
-    rows = ticked(read).withColumn("z", F.col("cents") / 100.0).withColumn("dt", (F.col("ticks") - F.lag("ticks").over(by_source())) / float(DAY))
-    ordered = rows.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "z", "dt"))).alias("rows"))
-    pred = "named_struct('x', s.x + r.dt * s.v, 'v', s.v, 'a', s.a + r.dt * (2 * s.b + r.dt * s.c) + r.dt * r.dt * r.dt / 3, 'b', s.b + r.dt * s.c + r.dt * r.dt / 2, 'c', s.c + r.dt)"
-    corr = "named_struct('o', r.ordinal, 'x', p.x + p.a / (p.a + 4) * (r.z - p.x), 'v', p.v + p.b / (p.a + 4) * (r.z - p.x), 'a', p.a - p.a / (p.a + 4) * p.a, 'b', p.b - p.a / (p.a + 4) * p.b, 'c', p.c - p.b / (p.a + 4) * p.b)"
-    first = "named_struct('o', r.ordinal, 'x', r.z, 'v', 0D, 'a', 1D, 'b', 0D, 'c', 1D)"
-    fold = f"aggregate(rows, cast(array() as array<struct<o:bigint,x:double,v:double,a:double,b:double,c:double>>), (acc, r) -> array_append(acc, if(size(acc) = 0, {first}, element_at(transform(transform(array(element_at(acc, -1)), s -> {pred}), p -> {corr}), 1))))"
-    return ordered.select("source_id", F.explode(F.expr(fold)).alias("e")).select("source_id", F.col("e.o").alias("ordinal"), F.round("e.x", 5).alias("x"), F.round("e.v", 5).alias("v"))
+    """One channel of the motion filter: measurement variance 4, spectral density 1, time in days."""
+    rows = ticked(read).select("source_id", "ordinal", (F.col("cents") / 100.0).alias("z"), (F.col("ticks") / float(DAY)).alias("t"))
+    return tracking.filtered(rows, 4.0, 1.0, (1.0, 1.0)).select("source_id", "ordinal", F.round("x", 5).alias("x"), F.round("v", 5).alias("v"))
 
 
 # --- streams and audits
