@@ -7,23 +7,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..sources.frames import by_source
 
 
-def reasons(frames: DataFrame, max_gap: int, key: Column | None = None, order=None) -> DataFrame:
+def reasons(frames: DataFrame, max_gap: int, key: Column | None = None, order=None, clock: Column | None = None) -> DataFrame:
     """The reason why a frame doesn't continue the one before: start, source_or_geometry_change, missing_frame, time_gap, or null.
 
-    Time or order that runs back is an error.
+    Time or order that runs back is an error, and so is a clock that changes while the key stays.
     """
     key, order = F.lit(0) if key is None else key, order or by_source()
-    keyed = frames.withColumn("__key", key)
-    last_pts, last_ordinal, last_key = (F.lag(c).over(order) for c in ("pts", "ordinal", "__key"))
+    keyed = frames.withColumn("__key", key).withColumn("__clock", F.lit(0) if clock is None else clock)
+    last_pts, last_ordinal, last_key, last_clock = (F.lag(c).over(order) for c in ("pts", "ordinal", "__key", "__clock"))
     wrong = (F.col("pts") <= last_pts) | (F.col("ordinal") <= last_ordinal)
     reason = (
         F.when(last_ordinal.isNull(), "start")
         .when(~F.col("__key").eqNullSafe(last_key), "source_or_geometry_change")
+        .when(~F.col("__clock").eqNullSafe(last_clock), F.raise_error(F.lit("the clock of a source changed")).cast("string"))
         .when(wrong, F.raise_error(F.lit("time or order is not strictly increasing")).cast("string"))
         .when(F.col("ordinal") != last_ordinal + 1, "missing_frame")
         .when(F.col("pts") - last_pts > max_gap, "time_gap")
     )
-    return keyed.withColumn("reason", reason).drop("__key")
+    return keyed.withColumn("reason", reason).drop("__key", "__clock")
 
 
 def segments(frames: DataFrame, max_gap: int, key: Column | None = None) -> DataFrame:

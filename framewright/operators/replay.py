@@ -68,6 +68,16 @@ def one_mode(rows: DataFrame, provenance: str) -> DataFrame:
     return rows.join(mixed, "source_id").withColumn("source_id", checked).drop("__mixed")
 
 
+def lanes_by_mode(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """rows(source_id, ordinal, lane, evidence) with the lane that counts: the recorded one of runs without evidence, that of sections(source_id, ordinal, lane) made anew of runs with it.
+
+    A run that mixes both is an error, so no recorded lane stands in for one that evidence doesn't give.
+    """
+    fresh = sections.select("source_id", "ordinal", F.col("lane").alias("__lane"))
+    met = one_mode(rows, "evidence").join(fresh, ["source_id", "ordinal"], "left")
+    return met.withColumn("lane", F.when(F.col("evidence").isNull(), F.col("lane")).otherwise(F.col("__lane"))).drop("__lane")
+
+
 def observer(rows: DataFrame) -> DataFrame:
     """What a review may show: actually observed frames of the chosen vehicle alone."""
     return rows.where("state = 'observed'")

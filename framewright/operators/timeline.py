@@ -67,6 +67,15 @@ def range_problems(frames: DataFrame, start: int, end: int) -> DataFrame:
     return found.select("source_id", problem.alias("problem")).where("problem is not null")
 
 
+def prepared(frames: DataFrame, start: int, end: int, most: int = 120) -> DataFrame:
+    """Per source the window of frames that begin within the half-open range: its first ordinal and count, or why a review of it can't be made."""
+    inside = (F.col("ticks") >= start) & (F.col("ticks") < end)
+    found = normalised(frames).groupBy("source_id").agg(F.max(F.col("ticks") + F.col("duration")).alias("length"), F.min(F.when(inside, F.col("ordinal"))).alias("first"), F.count_if(inside).alias("n"))
+    problem = F.when(F.lit(not 0 <= start < end) | (F.col("length") < end), "outside of the timeline").when(F.col("n") == 0, "no frame begins in it").when(F.col("n") > most, "too many frames")
+    fits = problem.isNull()
+    return found.select("source_id", F.when(fits, F.col("first")).alias("first"), F.when(fits, F.col("n")).alias("count"), problem.alias("problem"))
+
+
 @F.pandas_udf(T.StringType())
 def display_seconds(numerators: pd.Series, denominators: pd.Series) -> pd.Series:
     """A fraction as a plain decimal of 30 digits at most, without trailing zeros; for showing only."""

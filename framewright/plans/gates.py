@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.sql import common_divisor, part_to_coded
-from ..operators import association, audit, codecs, diagnostics, geometry, lanes, lanes_fold, receipts, replay, sinks, timeline
+from ..operators import association, audit, capture, codecs, diagnostics, geometry, lanes, lanes_fold, receipts, replay, sinks, timeline, tracking
 from ..session import shared_folder
 from ..sources import media
 from .catalogue import DAY, EDGES, FRAMES, HOUR, IOU, LANE_STATES, UNION, event_edges, lane_rows, line_boxes, query, ticked
@@ -389,3 +389,56 @@ def overlay_pixels(read):
     rows = read("lineitem").where("l_orderkey % 50 = 0")
     style = F.when(F.col("l_linenumber") % 2 == 0, "observed").otherwise("ambiguous")
     return rows.select("l_orderkey", "l_linenumber", drawn(F.col("l_partkey") % 20, F.col("l_suppkey") % 10, 3 + F.col("l_quantity").cast("long") % 9, 3 + F.col("l_linenumber"), style).alias("pixels"))
+
+
+# --- capture
+
+
+class Scripted:
+    """A detector of one box, whose place is in the picture's first byte; every picture whose last byte is a multiple of 11 has none."""
+
+    model_id = "scripted:1"
+
+    def detect(self, frame: dict, bgr: bytes) -> list[dict]:
+        if bgr[-1] % 11 == 0:
+            return []
+        x = float(bgr[0] % 5)
+        return [{"source_id": frame["source_id"], "ordinal": frame["ordinal"], "index": 3, "class_id": 2, "box": (x, 1.0, x + 6.0, 7.0), "score": 0.9, "model_id": self.model_id}]
+
+
+CAPTURED = tracking.Policy(max_gap=10 * DAY, max_unobserved=400 * DAY, min_iou=0.05, ticks_per_second=DAY, measurement=(1e-3,) * 4, spectral=(1e-6,) * 4, velocity_variance=(1e-6,) * 4)
+
+
+@query(f"""WITH {FRAMES}, b AS (SELECT *, coalesce(pts - lag(pts) OVER (PARTITION BY source_id ORDER BY ordinal) > {10 * DAY}, true) AS brk FROM t), s AS (SELECT *, sum(brk::INT) OVER (PARTITION BY source_id ORDER BY ordinal) AS segment FROM b),
+fx AS (SELECT *, CASE WHEN segment = 1 AND cents % 101 % 11 <> 0 THEN cents % 256 % 5 END AS x FROM s) SELECT source_id, ordinal, CASE WHEN x IS NOT NULL THEN 3 END AS det_index, CAST(x AS DOUBLE) AS x1, x IS NOT NULL AS observed, CASE WHEN x IS NULL THEN 'identity_uncertain' WHEN x < 2 THEN 'occluded' ELSE 'usable' END AS left_status FROM fx""")
+def capture_rows(read):
+    """Pictures through a detector, the tracker and a gate; the first track of each source's first segment is followed."""
+
+    def gates(part: pd.DataFrame) -> pd.DataFrame:
+        status = ["identity_uncertain" if pd.isna(x) else "occluded" if x < 2 else "usable" for x in part["x1"]]
+        return part.assign(left_status=status)
+
+    frames = pictures(read).select("source_id", "ordinal", "pts", "width", "height", "bgr")
+    asked = frames.select("source_id").distinct().select("source_id", F.lit(1).alias("segment"), F.lit(2).alias("class_id"), F.lit(1).alias("track_id"))
+    return capture.capture(frames, Scripted, CAPTURED, asked, gates, "left_status string").select("source_id", "ordinal", "det_index", "x1", "observed", "left_status")
+
+
+@query(f"""WITH {FRAMES}, m AS (SELECT *, source_id % 2 = 0 AS fresh FROM t) SELECT source_id, ordinal, CASE WHEN fresh THEN CASE WHEN cents % 7 <> 0 THEN cents % 4 END ELSE cents % 3 END AS lane FROM m""")
+def lanes_by_mode(read):
+    """Runs of even sources have evidence, of which some frames give no lane; the others have recorded lanes alone."""
+    rows = ticked(read).select("source_id", "ordinal", "cents", (F.col("cents") % 3).alias("lane"), F.when(F.col("source_id") % 2 == 0, "e").alias("evidence"))
+    sections = rows.where("source_id % 2 = 0 and cents % 7 <> 0").select("source_id", "ordinal", (F.col("cents") % 4).alias("lane"))
+    return replay.lanes_by_mode(rows, sections).select("source_id", "ordinal", "lane")
+
+
+@query(f"WITH {FRAMES} SELECT source_id, ordinal, event_id FROM t WHERE cents % 3 = 0")
+def recorded_observer(read):
+    state = F.when(F.col("cents") % 3 == 0, "observed").otherwise("prediction_only")
+    return replay.observer(ticked(read).withColumn("state", state)).select("source_id", "ordinal", "event_id")
+
+
+@query(f"""WITH {FRAMES}, g AS (SELECT source_id, max(ticks) + 1000 AS total, min(ordinal) FILTER (WHERE ticks >= {5 * DAY} AND ticks < {9 * DAY}) AS first, count(*) FILTER (WHERE ticks >= {5 * DAY} AND ticks < {9 * DAY}) AS n FROM t GROUP BY source_id),
+p AS (SELECT *, CASE WHEN total < {9 * DAY} THEN 'outside of the timeline' WHEN n = 0 THEN 'no frame begins in it' WHEN n > 12 THEN 'too many frames' END AS problem FROM g)
+SELECT source_id, CASE WHEN problem IS NULL THEN first END AS first, CASE WHEN problem IS NULL THEN n END AS count, problem FROM p""")
+def prepared_windows(read):
+    return timeline.prepared(ticked(read).drop("ticks").withColumn("duration", F.lit(1000).cast("long")), 5 * DAY, 9 * DAY, 12)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from framewright.clock import Clock, exact
 from framewright import tools
 from framewright.functions import sql
-from framewright.operators import audit, boundaries, codecs, evaluation, geometry, lamps, lanes, lanes_fold, planning, ranges, receipts, replay, sinks, timeline, tracking
+from framewright.operators import audit, boundaries, capture, codecs, evaluation, geometry, lamps, lanes, lanes_fold, planning, ranges, receipts, replay, sinks, timeline, tracking
 from framewright.sources import inputs, media
 from framewright.streaming import folds
 
@@ -257,6 +257,23 @@ def test_order_that_runs_back_is_an_error(spark):
         boundaries.reasons(frame, 10).collect()
 
 
+def test_a_clock_that_changes_is_an_error(spark):
+    frame = spark.createDataFrame([(1, 0, 5, "a", 1), (1, 1, 6, "a", 2)], "source_id long, ordinal long, pts long, k string, c int")
+    with pytest.raises(Exception, match="clock of a source"):
+        boundaries.reasons(frame, 10, F.col("k"), clock=F.col("c")).collect()
+    moved = frame.withColumn("k", F.col("c"))  # another key may have another clock
+    assert [r.reason for r in boundaries.reasons(moved, 10, F.col("k"), clock=F.col("c")).orderBy("ordinal").collect()] == ["start", "source_or_geometry_change"]
+
+
+def test_detectors_are_held_to_their_frame():
+    frame = {"source_id": 1, "ordinal": 2, "width": 10, "height": 10}
+    good = {"source_id": 1, "ordinal": 2, "index": 0, "class_id": 1, "box": (0, 0, 10, 10), "score": 1.0, "model_id": "m"}
+    assert capture.checked(frame, [good], "m") == [good]
+    for wrong in ([good, good], [good | {"ordinal": 3}], [good | {"model_id": "n"}], [good | {"box": (0, 0, 11, 10)}], [good | {"score": 1.5}], [good | {"index": k} for k in range(65)]):
+        with pytest.raises(ValueError):
+            capture.checked(frame, wrong, "m")
+
+
 def test_windows_are_grouped(spark):
     draw = random.Random(51)
     data, want = [], []
