@@ -8,10 +8,10 @@ reaches the threshold.
 
 In each bucket of a band all members are compared with one pivot, the member
 that shares most buckets. Those that this leaves in another component than
-some of the bucket are compared with ROUNDS further pivots, drawn by a hash. Members
-that are in different components even then are compared with each other, in every
-bucket, unless what is known of both against the bucket's first pivot rules
-similarity out, so no pair of a bucket is lost.
+the pivot's are compared with ROUNDS further members of that component, drawn by a
+hash. Members that are in different components even then are compared with each
+other, if they met one pivot, unless what is known of both against it rules
+similarity out; so no pair of a bucket is lost.
 A bucket of near copies thus costs a number of comparisons in proportion to its
 size, not to its square.
 
@@ -304,77 +304,79 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
 
 def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links that connect whatever the buckets' similar pairs connect; members: (key, id, n, c)."""
+    """Verified links that connect whatever the buckets' similar pairs connect; members: (key, id, n, c).
+
+    Members of a bucket all meet its pivot. So after the first comparisons rows of
+    (pivot, member) stand for the buckets: one row however many buckets both share.
+    """
     weights = scratch.write(members.groupBy("id").agg(F.sum("c").alias("weight")), "weights")
-    pivots = members.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
-    first = members.join(pivots, "key").where(F.col("id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pivots = members.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
+    first = members.join(pivots, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("c").alias("c"))
+    first = scratch.write(first, "first_pairs")
     sets = scratch.write(shingle_sets(docs, weights.select("id"), words), "sets")
-    scored = scratch.write(compared(first, sets), "scored")
+    scored = scratch.write(compared(first.select("a", "b"), sets), "scored")
     linked = lambda pairs: pairs.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     links = linked(scored)
 
-    def apart(placed: DataFrame, label: str) -> DataFrame:
-        """The members of buckets in which not all are known to be of one component."""
-        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        return scratch.write(placed.join(several, "key", "left_semi").select("key", "id", "n", "component"), label)
-
-    def placed(links: DataFrame, rows: DataFrame, label: str) -> DataFrame:
-        joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), label)
-        return rows.drop("component").join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
+    def apart(rows: DataFrame, label: str) -> DataFrame:
+        """The members of pivots not all of whose members are known to be of the pivot's component."""
+        several = rows.groupBy("anchor").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("id") == F.col("anchor"), F.col("component"))).alias("home")).where("lo < hi")
+        return scratch.write(rows.drop("home").join(several.select("anchor", "home"), "anchor"), label)
+
+    # pairs of buckets of two have been compared; the pivot has all of its shingles in common with itself
+    met = first.where("c > 2").join(scored, ["a", "b"]).select(F.col("a").alias("anchor"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("shared").alias("common"), F.col("na").alias("own"))
+    alone = met.select("anchor", F.col("anchor").alias("id"), F.col("own").alias("n"), F.col("own").alias("common")).distinct()
+    joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "joined")
+    placed = met.drop("own").unionByName(alone).join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = apart(scratch.write(placed, "placed"), "open")
     mirrored = lambda pairs: pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    open_ = apart(placed(links, members.where("c > 2"), "joined"), "open")
     tested = scored.select("a", "b")
     for k in range(ROUNDS):
-        other = open_.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("pivot"))
-        met = open_.join(other, "key").where(F.col("component") != F.col("pivot.component")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("pivot.component").alias("to")).distinct()
-        asked = scratch.write(met.join(mirrored(tested), ["a", "b"], "left_anti"), f"asked_{k}")
+        other = open_.where("component = home").groupBy("anchor").agg(F.max_by("id", F.xxhash64("id", F.lit(k))).alias("a"))
+        asked = open_.where("component <> home").join(other, "anchor").select("a", F.col("id").alias("b"), F.col("home").alias("to")).distinct()
+        asked = scratch.write(asked.join(mirrored(tested), ["a", "b"], "left_anti"), f"asked_{k}")
         found = scratch.write(linked(compared(asked.select("a", "b").distinct(), sets)), f"found_{k}")
         links, tested = links.unionAll(found), tested.unionAll(asked.select("a", "b"))
-        # who is linked with a pivot is of its component from now on
+        # who is linked with such a pivot is of its component from now on
         moved = asked.join(found, ["a", "b"]).groupBy(F.col("b").alias("id")).agg(F.min("to").alias("to"))
-        open_ = apart(open_.join(moved, "id", "left").withColumn("component", F.coalesce("to", "component")), f"open_{k}")
-    links = scratch.write(links, "links")
-    open_ = apart(placed(links, open_, "rejoined"), "still_open")
-    common = scored.select(F.col("a").alias("anchor"), F.col("b").alias("id"), F.col("shared").alias("common"))
-    whole = open_.join(pivots.withColumnRenamed("pivot", "anchor"), "key").join(common, ["anchor", "id"], "left")
-    # the pivot has all of its shingles in common with itself
-    rest = scratch.write(whole.select("key", "id", "n", "component", "anchor", F.coalesce("common", F.col("n").cast("int")).alias("common")), "rest")
-    last = crossing(rest, percent).unionAll(sharing(rest, sets, percent)).distinct()
+        open_ = apart(open_.join(moved, "id", "left").withColumn("component", F.coalesce("to", "component")).drop("to"), f"open_{k}")
+    last = crossing(open_, percent).unionAll(sharing(open_, sets, percent)).distinct()
     last = scratch.write(last.join(mirrored(tested), ["a", "b"], "left_anti"), "last_pairs")
     return links.unionAll(scratch.write(linked(compared(last, sets)), "last_links"))
 
 
 def crossing(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that may be similar though they share nothing that the bucket's pivot lacks.
+    """Pairs that met one pivot, in different components, that may be similar though they share nothing that the pivot lacks.
 
-    Two sets that share no shingle outside of the pivot share at most what each has
-    in common with it, which rules out most pairs of a group of near copies.
+    rest: (anchor, id, n, component, common, home), home being the pivot's component. Two
+    sets that share no shingle outside of the pivot share at most what each has in
+    common with it, which rules out most pairs of a group of near copies. One side of
+    a pair is always a member outside of the pivot's component, of which few are left.
     """
-    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "common")])
+    other = rest.select("anchor", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "common")])
     fits = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
     may = similar(F.least("common", "common2"), F.col("n"), F.col("n2"), percent)
-    pairs = rest.join(other, (rest["key"] == other["key"]) & (F.col("component") < F.col("component2")) & fits & may)
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    pairs = rest.where("component <> home").join(other, "anchor").where((F.col("component") != F.col("component2")) & fits & may)
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def sharing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that met in buckets of one pivot, in different components, that share shingles outside of it, enough to be similar perhaps.
+    """Pairs that met one pivot, in different components, that share shingles outside of it, enough to be similar perhaps; rest as for ``crossing``.
 
     A set of n shingles, c of them the pivot's, has to share percent * n / 100 - c of
     the others at least. So of these, the rarest first, all but so many less one are
     looked at: similar sets meet in one. What most members have and the pivot lacks
     comes last, and a member with many shingles of its own doesn't get to it.
     """
-    one = rest.drop("key").distinct().where("id <> anchor")
+    one = rest.where("id <> anchor")
     both = one.join(sets, "id").join(sets.select(F.col("id").alias("anchor"), F.col("items").alias("there")), "anchor")
-    extra = both.select("anchor", "id", "n", "component", "common", F.explode(F.array_except("items", "there")).alias("item"))
+    extra = both.select("anchor", "id", "n", "component", "common", "home", F.explode(F.array_except("items", "there")).alias("item"))
     seen = extra.groupBy("anchor", "item").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     ranked = extra.join(seen, ["anchor", "item"]).withColumn("rank", F.row_number().over(Window.partitionBy("anchor", "id").orderBy("often", "item")))
     needed = F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("common"), F.lit(1))
-    first = ranked.where((F.col("rank") <= F.col("n") - F.col("common") - needed + 1) & (F.col("lo") < F.col("hi"))).select("anchor", "item", "id", "n", "component", "common")
+    first = ranked.where((F.col("rank") <= F.col("n") - F.col("common") - needed + 1) & (F.col("lo") < F.col("hi"))).select("anchor", "item", "id", "n", "component", "common", "home")
     other = first.select("anchor", "item", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "common")])
     fits = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
     most = F.least("common", "common2") + F.least(F.col("n") - F.col("common"), F.col("n2") - F.col("common2"))
-    pairs = first.join(other, ["anchor", "item"]).where((F.col("component") < F.col("component2")) & fits & similar(most, F.col("n"), F.col("n2"), percent))
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    pairs = first.where("component <> home").join(other, ["anchor", "item"]).where((F.col("component") != F.col("component2")) & fits & similar(most, F.col("n"), F.col("n2"), percent))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
