@@ -136,7 +136,3 @@ def combined(left: Column, right: Column, left_blinks: Column, right_blinks: Col
         .when(left_blinks, "left_blink").when(right_blinks, "right_blink").otherwise("no_blink_observed")
     )
 
-
-def roi_status(visible: Column, same_frame: Column, pixels: Column, min_pixels: int) -> Column:
-    """Why a lamp region can't be used, in order of the gates."""
-    return F.when(~same_frame, "identity_uncertain").when(~visible, "occluded").when(pixels < min_pixels, "too_small").otherwise("usable")

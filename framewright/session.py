@@ -19,9 +19,11 @@ def session(name: str = "framewright", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path under spark.checkpoint.dir; that is set here only where it is unset."""
+    """A new path under spark.checkpoint.dir; that is set here only where it is unset, and only for a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="framewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
