@@ -14,6 +14,10 @@ from pyspark.sql.window import Window
 
 #: Rows in a batch that goes to a Python worker, where the session doesn't say: whole texts can be long.
 ARROW_ROWS = "2000"
+#: Bytes of a small table that go to one file, about, and files that it has at least.
+FILE_BYTES, FILES = 16 << 20, 2
+#: A table is gathered into files only if that is so many times fewer than a shuffle has partitions.
+FEWER = 10
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,7 +65,9 @@ class Scratch:
         """The full URI of an entry, scheme included, for readers other than Spark."""
         return self._fs.makeQualified(self._hadoop(f"{self.path}/{name}")).toString()
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, size: int | None = None) -> DataFrame:
+        """Write a table and read it again. size: its bytes, about, where they are known; they decide the number of files, nothing else."""
+        df = df if size is None else gathered(df, size)
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
@@ -85,6 +91,16 @@ def row_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def gathered(df: DataFrame, size: int) -> DataFrame:
+    """df in as few partitions as ``size`` bytes need, if that is far fewer than a shuffle has.
+
+    A file a partition is hundreds of files of some rows each. Where Hadoop has no
+    native library for a local file system, its JVM starts a process for each of them.
+    """
+    files = max(FILES, -(-size // FILE_BYTES))
+    return df.repartition(files) if FEWER * files <= row_tasks(df.sparkSession) else df
+
+
 def number_within(scratch: Scratch, df: DataFrame, group: str, spread: Column, buckets: int | Column, out: str, order: list[str]) -> DataFrame:
     """Number the rows of each ``group`` gaplessly from 0, without one task per group.
 

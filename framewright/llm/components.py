@@ -11,6 +11,8 @@ from .common import Scratch
 
 #: Links that one local union-find holds.
 LOCAL_LINKS = 200_000
+#: Bytes of a link in a file, at most.
+LINK_BYTES = 16
 
 
 def local_forest(links: DataFrame) -> DataFrame:
@@ -61,10 +63,10 @@ def star_step(links: DataFrame) -> DataFrame:
     return small.select("child", F.col("m").alias("parent")).unionAll(small.where("parent > m").select(F.col("parent").alias("child"), F.col("m").alias("parent"))).distinct()
 
 
-def components(scratch: Scratch, links: DataFrame, label: str) -> DataFrame:
-    """(node, component) for every node of the links (child, parent: any two different ids); component is the smallest id reachable."""
+def components(scratch: Scratch, links: DataFrame, label: str, size: int | None = None) -> DataFrame:
+    """(node, component) for every node of the links (child, parent: any two different ids; size: their bytes, about); component is the smallest id reachable."""
     ordered = links.select(F.greatest("child", "parent").alias("child"), F.least("child", "parent").alias("parent")).where("child <> parent")
-    now = scratch.write(local_forest(ordered), f"{label}_0")
+    now = scratch.write(local_forest(ordered), f"{label}_0", size)
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("child", "parent") % 1_000_000_007)).first())
@@ -72,7 +74,7 @@ def components(scratch: Scratch, links: DataFrame, label: str) -> DataFrame:
     before, k = mark(now), 0
     while before[0]:
         k += 1
-        now = scratch.write(star_step(now), f"{label}_{k}")
+        now = scratch.write(star_step(now), f"{label}_{k}", LINK_BYTES * before[0])
         scratch.drop(f"{label}_{k - 1}")
         after = mark(now)
         if after == before:

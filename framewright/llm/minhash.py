@@ -46,6 +46,8 @@ PAIRS_A_TASK = 1 << 13
 ROUNDS = 2
 #: Tasks that the members of a class meet it in.
 SALTS = 16
+#: Bytes of a row of some numbers in a file, at most.
+ROW_BYTES = 32
 
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -269,18 +271,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     digest = ["n_shingles", "d1", "d2"]
     classes = signed.where(some).groupBy(*digest).agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("c"))
-    classes = scratch.write(classes, "classes")
+    rows_signed = signed.count()
+    classes = scratch.write(classes, "classes", rows_signed * (ROW_BYTES + 8 * bands))
 
     shown = classes.select(F.col("first").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = scratch.write(shown.join(shared, "key").distinct(), "members")
+    members = scratch.write(shown.join(shared, "key").distinct(), "members", classes.count() * bands * ROW_BYTES // 4)  # most keys are not shared
     links = all_links(scratch, docs, members, words, percent)
-    groups = scratch.write(components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "groups"), "groups")
+    groups = scratch.write(components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "groups", size := links.count() * ROW_BYTES), "groups", size)
 
     again = classes.where("c > 1").select(*digest, "first").join(groups.select(F.col("node").alias("first"), F.col("component").alias("of_class")), "first", "left")
     again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     classed = signed.where(some).select("doc_id", *digest, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(again, [*digest, "salt"], "left")
-    classed = scratch.write(classed.select("doc_id", "n_shingles", "first", "of_class"), "classed")
+    classed = scratch.write(classed.select("doc_id", "n_shingles", "first", "of_class"), "classed", rows_signed * ROW_BYTES)
     alone = signed.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     single = classed.where("first is null").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     single = single.select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -309,40 +312,42 @@ def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int,
     Members of a bucket all meet its pivot. So after the first comparisons rows of
     (pivot, member) stand for the buckets: one row however many buckets both share.
     """
-    weights = scratch.write(members.groupBy("id").agg(F.sum("c").alias("weight")), "weights")
+    size = members.count() * ROW_BYTES
+    weights = scratch.write(members.groupBy("id").agg(F.sum("c").alias("weight")), "weights", size)
     pivots = members.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
     first = members.join(pivots, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("c").alias("c"))
-    first = scratch.write(first, "first_pairs")
+    first = scratch.write(first, "first_pairs", size)
+    size = first.count() * ROW_BYTES
     sets = scratch.write(shingle_sets(docs, weights.select("id"), words), "sets")
-    scored = scratch.write(compared(first.select("a", "b"), sets), "scored")
+    scored = scratch.write(compared(first.select("a", "b"), sets), "scored", size)
     linked = lambda pairs: pairs.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     links = linked(scored)
 
     def apart(rows: DataFrame, label: str) -> DataFrame:
         """The members of pivots not all of whose members are known to be of the pivot's component."""
         several = rows.groupBy("anchor").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("id") == F.col("anchor"), F.col("component"))).alias("home")).where("lo < hi")
-        return scratch.write(rows.drop("home").join(several.select("anchor", "home"), "anchor"), label)
+        return scratch.write(rows.drop("home").join(several.select("anchor", "home"), "anchor"), label, size)
 
     # pairs of buckets of two have been compared; the pivot has all of its shingles in common with itself
     met = first.where("c > 2").join(scored, ["a", "b"]).select(F.col("a").alias("anchor"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("shared").alias("common"), F.col("na").alias("own"))
     alone = met.select("anchor", F.col("anchor").alias("id"), F.col("own").alias("n"), F.col("own").alias("common")).distinct()
-    joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "joined")
+    joined = components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "joined", size)
     placed = met.drop("own").unionByName(alone).join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = apart(scratch.write(placed, "placed"), "open")
+    open_ = apart(scratch.write(placed, "placed", size), "open")
     mirrored = lambda pairs: pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     tested = scored.select("a", "b")
     for k in range(ROUNDS):
         other = open_.where("component = home").groupBy("anchor").agg(F.max_by("id", F.xxhash64("id", F.lit(k))).alias("a"))
         asked = open_.where("component <> home").join(other, "anchor").select("a", F.col("id").alias("b"), F.col("home").alias("to")).distinct()
-        asked = scratch.write(asked.join(mirrored(tested), ["a", "b"], "left_anti"), f"asked_{k}")
-        found = scratch.write(linked(compared(asked.select("a", "b").distinct(), sets)), f"found_{k}")
+        asked = scratch.write(asked.join(mirrored(tested), ["a", "b"], "left_anti"), f"asked_{k}", size)
+        found = scratch.write(linked(compared(asked.select("a", "b").distinct(), sets)), f"found_{k}", size)
         links, tested = links.unionAll(found), tested.unionAll(asked.select("a", "b"))
         # who is linked with such a pivot is of its component from now on
         moved = asked.join(found, ["a", "b"]).groupBy(F.col("b").alias("id")).agg(F.min("to").alias("to"))
         open_ = apart(open_.join(moved, "id", "left").withColumn("component", F.coalesce("to", "component")).drop("to"), f"open_{k}")
     last = crossing(open_, percent).unionAll(sharing(open_, sets, percent)).distinct()
     last = scratch.write(last.join(mirrored(tested), ["a", "b"], "left_anti"), "last_pairs")
-    return links.unionAll(scratch.write(linked(compared(last, sets)), "last_links"))
+    return links.unionAll(scratch.write(linked(compared(last, sets)), "last_links", last.count() * ROW_BYTES))
 
 
 def crossing(rest: DataFrame, percent: int) -> DataFrame:

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import chat, decontaminate, fingerprints, language_id, minhash, packing, queries, secrets, sharding, token_files, tokens, warc
+from framewright.llm.common import FILES, Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, key string, shard string, row string, id string, h string"
 
@@ -92,6 +93,31 @@ def test_near_copies_of_one_text_lose_no_link(spark):
     assert got == brute_components(rows, 4, 80)
 
 
+def test_small_tables_go_to_few_files_of_many_partitions(spark, monkeypatch):
+    draw, files, write = random.Random(5), {}, Scratch.write
+    base = words(draw, 160, 10**6)
+    rows = [(n, edited(draw, base, draw.choice([0.01, 0.03, 0.05, 0.06, 0.08]))) for n in range(90)]
+
+    def counted(scratch, df, name, *most):
+        out = write(scratch, df, name, *most)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, rows), words=4).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_components(rows, 4, 80)
+    small = ("classes", "members", "weights", "first_pairs", "scored", "joined_0", "joined_1", "placed", "groups", "classed")
+    assert {name: files[name] for name in small if files[name] > FILES} == {}
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     rows = minhash.near_duplicates(table(spark, [], EDGES + [(9, "same text here now ok"), (9, "same text here now ok")]), words=4).collect()
     assert len(rows) == 5 and [r.kept for r in rows if r.doc_id is None] == [True] and all(r.component_id == 9 for r in rows if r.doc_id == 9)
