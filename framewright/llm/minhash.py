@@ -38,8 +38,8 @@ from .tokens import batches
 BANDS, ROWS = 40, 6
 #: Bytes of text hashed at once.
 SLICE = 1 << 20
-#: Bits of the map that says which documents' sets are needed again.
-MAP_BITS = 1 << 20
+#: Bits of a map of ids, such as of the documents whose sets are needed: so many an id, and at least and at most so many.
+BITS_AN_ID, MAP_BITS, MOST_BITS = 16, 1 << 20, 1 << 25
 #: Pairs of one document that one task compares, about.
 PAIRS_A_TASK = 1 << 13
 #: Further pivots of a bucket that members are compared with before pairs are sought among those that are left.
@@ -212,21 +212,38 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
-def needed_map(ids: DataFrame) -> bytes:
-    """A bit map of hashed ids, of a fixed size: the ids that set none of its bits are surely not among them."""
-    words = [0] * (MAP_BITS // 64)
-    bit = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
-    for k, word in ids.groupBy(F.floor(bit / 64).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(pmod(xxhash64(id), %d), 64)))" % MAP_BITS)).alias("w")).collect():
+def map_bits(n: int) -> int:
+    """Bits of a map of n ids: a power of two. A full map lets more ids through and loses none."""
+    return min(max(MAP_BITS, 1 << (BITS_AN_ID * n).bit_length()), MOST_BITS)
+
+
+def bit_map(ids: DataFrame, bits: int) -> DataFrame:
+    """(k, w): the words that aren't 0 of a bit map of hashed ids; the ids that set none of its bits are surely not among them."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    return ids.groupBy(F.floor(bit / 64).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(xxhash64(id), 64)))")).alias("w"))
+
+
+def needed_map(ids: DataFrame, bits: int) -> bytes:
+    """The bit map of these ids as a whole."""
+    words = [0] * (bits // 64)
+    for k, word in bit_map(ids, bits).collect():
         words[k] = word
     return np.array(words, dtype=np.int64).tobytes()
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+def among(table: DataFrame, column: str, ids: DataFrame, bits: int) -> DataFrame:
+    """The rows whose column is one of these ids, and perhaps some others: so a join that follows moves few rows besides its own."""
+    bit = F.pmod(F.xxhash64(column), F.lit(bits))
+    marked = table.join(F.broadcast(bit_map(ids, bits)), F.floor(bit / 64) == F.col("k"))
+    return marked.where(F.expr(f"shiftright(w, int(pmod(xxhash64({column}), 64))) & 1L = 1L")).drop("k", "w")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, bits: int) -> DataFrame:
     """(id, set) of all documents with these ids, and perhaps of some others."""
-    bits = needed_map(ids)
+    needed = needed_map(ids, bits)
 
     def collect(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, there = Shingler(words), np.frombuffer(bits, dtype=np.int64).view(np.uint64)
+        shingler, there = Shingler(words), np.frombuffer(needed, dtype=np.int64).view(np.uint64)
         for batch in incoming:
             at = np.asarray(batch.column("bit"), dtype=np.int64)
             wanted = (there[at >> 6] >> (at & 63).astype(U64)) & U64(1) > 0
@@ -236,22 +253,27 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["id", "items"])
 
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)))
-    return keyed.mapInArrow(collect, "id long, items array<long>").join(ids, "id", "left_semi")
+    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+    return keyed.mapInArrow(collect, "id long, items array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their full sets and of the intersection.
+def matched(pairs: DataFrame, sets: DataFrame, bits: int) -> DataFrame:
+    """The pairs (a, b), with all their columns, and both full sets x and y.
 
     The set of an a with very many pairs is copied under several salts, so that
     they meet it in several tasks.
     """
+    side = lambda c: among(sets, "id", pairs.select(F.col(c).alias("id")), bits)
     heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIRS_A_TASK).select("a", F.ceil(F.col("c") / PAIRS_A_TASK).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
-    salted = pairs.join(heavy, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
-    copies = sets.select(F.col("id").alias("a"), F.col("items").alias("x")).join(heavy, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    both = salted.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(copies, ["a", "salt"])
-    return both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    salted = pairs.join(heavy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("salts")
+    copies = side("a").select(F.col("id").alias("a"), F.col("items").alias("x")).join(heavy, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return salted.join(side("b").select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(copies, ["a", "salt"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame, bits: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of the intersection."""
+    return matched(pairs, sets, bits).select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("shared"))
 
 
 def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
@@ -274,9 +296,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     rows_signed = signed.count()
     classes = scratch.write(classes, "classes", rows_signed * (ROW_BYTES + 8 * bands))
 
-    shown = classes.select(F.col("first").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = scratch.write(shown.join(shared, "key").distinct(), "members", classes.count() * bands * ROW_BYTES // 4)  # most keys are not shared
+    shown = classes.select(F.col("first").alias("id"), F.explode("keys").alias("key"))
+    size = classes.count() * bands * ROW_BYTES // 4  # most keys are not shared
+    shared = scratch.write(shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared", size)
+    shown = among(shown, "key", shared.select(F.col("key").alias("id")), map_bits(shared.count()))
+    members = scratch.write(shown.join(shared, "key").distinct(), "members", size)
     links = all_links(scratch, docs, members, words, percent)
     groups = scratch.write(components(scratch, links.select(F.col("a").alias("child"), F.col("b").alias("parent")), "groups", size := links.count() * ROW_BYTES), "groups", size)
 
@@ -307,7 +331,7 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
 
 def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links that connect whatever the buckets' similar pairs connect; members: (key, id, n, c).
+    """Verified links that connect whatever the buckets' similar pairs connect; members: (key, id, c).
 
     Members of a bucket all meet its pivot. So after the first comparisons rows of
     (pivot, member) stand for the buckets: one row however many buckets both share.
@@ -318,8 +342,9 @@ def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int,
     first = members.join(pivots, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("c").alias("c"))
     first = scratch.write(first, "first_pairs", size)
     size = first.count() * ROW_BYTES
-    sets = scratch.write(shingle_sets(docs, weights.select("id"), words), "sets")
-    scored = scratch.write(compared(first.select("a", "b"), sets), "scored", size)
+    bits = map_bits(weights.count())
+    sets = scratch.write(shingle_sets(docs, weights.select("id"), words, bits), "sets")
+    scored = scratch.write(compared(first.select("a", "b"), sets, bits), "scored", size)
     linked = lambda pairs: pairs.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     links = linked(scored)
 
@@ -340,14 +365,16 @@ def all_links(scratch: Scratch, docs: DataFrame, members: DataFrame, words: int,
         other = open_.where("component = home").groupBy("anchor").agg(F.max_by("id", F.xxhash64("id", F.lit(k))).alias("a"))
         asked = open_.where("component <> home").join(other, "anchor").select("a", F.col("id").alias("b"), F.col("home").alias("to")).distinct()
         asked = scratch.write(asked.join(mirrored(tested), ["a", "b"], "left_anti"), f"asked_{k}", size)
-        found = scratch.write(linked(compared(asked.select("a", "b").distinct(), sets)), f"found_{k}", size)
+        found = scratch.write(linked(compared(asked.select("a", "b").distinct(), sets, bits)), f"found_{k}", size)
         links, tested = links.unionAll(found), tested.unionAll(asked.select("a", "b"))
         # who is linked with such a pivot is of its component from now on
         moved = asked.join(found, ["a", "b"]).groupBy(F.col("b").alias("id")).agg(F.min("to").alias("to"))
         open_ = apart(open_.join(moved, "id", "left").withColumn("component", F.coalesce("to", "component")).drop("to"), f"open_{k}")
-    last = crossing(open_, percent).unionAll(sharing(open_, sets, percent)).distinct()
+    last = crossing(open_, percent).unionAll(sharing(beyond(scratch, open_, sets, bits), percent)).distinct()
     last = scratch.write(last.join(mirrored(tested), ["a", "b"], "left_anti"), "last_pairs")
-    return links.unionAll(scratch.write(linked(compared(last, sets)), "last_links", last.count() * ROW_BYTES))
+    links = links.unionAll(scratch.write(linked(compared(last, sets, bits)), "last_links", last.count() * ROW_BYTES))
+    scratch.drop("sets")
+    return links
 
 
 def crossing(rest: DataFrame, percent: int) -> DataFrame:
@@ -365,17 +392,24 @@ def crossing(rest: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
-def sharing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that met one pivot, in different components, that share shingles outside of it, enough to be similar perhaps; rest as for ``crossing``.
+def beyond(scratch: Scratch, rest: DataFrame, sets: DataFrame, bits: int) -> DataFrame:
+    """The members of rest but the pivots, with the shingles (items) that each has and its pivot lacks; rest as for ``crossing``."""
+    one = rest.where("id <> anchor")
+    items = one.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") - F.col("common")), F.lit(0))).first()
+    both = matched(one.withColumnsRenamed({"anchor": "a", "id": "b"}), sets, bits)
+    lacking = both.select(F.col("a").alias("anchor"), F.col("b").alias("id"), "n", "component", "common", "home", F.array_except("y", "x").alias("items"))
+    return scratch.write(lacking, "beyond", 2 * ROW_BYTES * items[0] + 8 * items[1])
+
+
+def sharing(extras: DataFrame, percent: int) -> DataFrame:
+    """Pairs that met one pivot, in different components, that share shingles outside of it, enough to be similar perhaps; extras as ``beyond`` gives them.
 
     A set of n shingles, c of them the pivot's, has to share percent * n / 100 - c of
     the others at least. So of these, the rarest first, all but so many less one are
     looked at: similar sets meet in one. What most members have and the pivot lacks
     comes last, and a member with many shingles of its own doesn't get to it.
     """
-    one = rest.where("id <> anchor")
-    both = one.join(sets, "id").join(sets.select(F.col("id").alias("anchor"), F.col("items").alias("there")), "anchor")
-    extra = both.select("anchor", "id", "n", "component", "common", "home", F.explode(F.array_except("items", "there")).alias("item"))
+    extra = extras.withColumn("item", F.explode("items")).drop("items")
     seen = extra.groupBy("anchor", "item").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     ranked = extra.join(seen, ["anchor", "item"]).withColumn("rank", F.row_number().over(Window.partitionBy("anchor", "id").orderBy("often", "item")))
     needed = F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("common"), F.lit(1))

@@ -162,6 +162,51 @@ def test_a_pivot_of_very_many_pairs_is_salted(spark, monkeypatch):
     assert got == brute_components(rows, 4, 80)
 
 
+def shuffled_bytes(spark, action):
+    """What action returns, and the bytes that its stages wrote for shuffles."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        listed = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return [listed.apply(k) for k in range(listed.size())]
+
+    last = max((s.stageId() for s in stages()), default=-1)
+    out = action()
+    return out, sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
+
+
+def test_comparisons_move_few_sets_besides_their_own(spark):
+    draw, rows = random.Random(21), []
+    for _ in range(8):  # all sets are needed at first, and after that those of a few members that are apart from their pivot
+        base = words(draw, 4000, 10**6)
+        rows += [(len(rows) + k, edited(draw, base, share)) for k, share in enumerate((0, 0.01, 0.015, 0.02, 0.06, 0.08))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, moved = shuffled_bytes(spark, lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, rows), words=4).collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute_components(rows, 4, 80)
+    sets = 8 * sum(n for n, _ in got.values())
+    assert moved < 10 * sets
+
+
+def test_maps_that_are_full_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MAP_BITS", 64)
+    monkeypatch.setattr(minhash, "MOST_BITS", 64)
+    assert minhash.map_bits(10**6) == 64
+    draw = random.Random(22)
+    bases = [words(draw, 120, 10**6) for _ in range(12)]
+    rows = [(n, edited(draw, bases[n % 12], draw.choice([0.01, 0.03, 0.05, 0.08]))) for n in range(96)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, rows), words=4).collect()}
+    assert got == brute_components(rows, 4, 80)
+
+
+def test_maps_grow_with_their_ids():
+    assert minhash.map_bits(0) == minhash.MAP_BITS and minhash.map_bits(10**9) == minhash.MOST_BITS
+    assert 16 * 10**6 <= minhash.map_bits(10**6) <= 32 * 10**6
+
+
 def test_parts_of_one_text_are_no_links_but_their_copies_are(spark):
     draw = random.Random(16)
     whole = words(draw, 400, 10**6).split(" ")
