@@ -3,6 +3,7 @@
 import itertools
 import random
 import struct
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -567,3 +568,23 @@ def test_pixels_and_modes(spark):
     with pytest.raises(Exception, match="mixes"):
         replay.one_mode(rows, "p").collect()
     assert replay.one_mode(rows.where("source_id = 2"), "p").count() == 1
+
+
+def python_steps(frame):
+    """(calls by group, passes through Python) of a plan."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("FlatMapGroups"), plan.count("MapInArrow") + plan.count("MapInPandas") + plan.count("FlatMapGroups")
+
+
+DETECTED = "source_id long, ordinal long, pts long, det_index int, class_id int, x1 double, y1 double, x2 double, y2 double, score double"
+
+
+def some_boxes(spark, sources, frames):
+    return spark.createDataFrame([(s, n, 10 * n, k, 3, float(9 * k), 5.0, 40.0 + 9 * k, 30.0, 0.9) for s in range(sources) for n in range(frames) for k in range(2)], DETECTED)
+
+
+def test_tracks_are_folded_once(spark):
+    assert python_steps(tracking.track(some_boxes(spark, 2, 4), POLICY)) == (0, 1)
+    wrong = spark.createDataFrame([(1, 0, 5, 0, 3, 0.0, 0.0, 9.0, 9.0, 0.9), (1, 0, 6, 1, 3, 0.0, 0.0, 9.0, 9.0, 0.9)], DETECTED)
+    with pytest.raises(Exception, match="strictly increasing"):
+        tracking.track(wrong, POLICY).collect()
