@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lamps import LampConfig
 from ..operators.lanes_fold import LaneFold
-from ..operators.tracking import COLUMNS, REPORT, Policy, Tracker, as_report, run_frames
+from ..operators.tracking import COLUMNS, REPORT, Policy, Tracker, as_report, fed, frames_of, plain_rows
 
 BACKWARDS = "time or order is not strictly increasing"
 
@@ -54,13 +56,14 @@ def track_stream(detections: DataFrame, policy: Policy) -> DataFrame:
         if state.exists:
             kept = json.loads(state.get[0])
             tracker = Tracker(policy, tuple(kept["last"]) if kept["last"] else None, kept["segment"], kept["next_id"], {int(k): t for k, t in kept["tracks"].items()}, kept["reason"])
-        rows = pd.concat(list(parts))
-        out = []
-        for _, frame in rows.sort_values("ordinal").groupby("ordinal", sort=True):
+        source, out = int(key[0]), []
+        rows = plain_rows(pd.concat(list(parts)))
+        for ordinal, rows_of in groupby(rows, itemgetter(0)):
             try:
-                out += run_frames(tracker, frame)
+                out += list(fed(tracker, source, frames_of(rows_of)))
             except ValueError as problem:  # only the frame that fails is lost
-                out.append(dict.fromkeys(COLUMNS) | {"source_id": int(key[0]), "ordinal": int(frame.ordinal.iloc[0]), "segment": tracker.segment, "state": "failed", "reset_reason": str(problem), "class_id": 0})
+                failed = {"source_id": source, "ordinal": ordinal, "segment": tracker.segment, "state": "failed", "reset_reason": str(problem), "class_id": 0}
+                out.append(tuple(map(failed.get, COLUMNS)))
         state.update((json.dumps(tracker.state()),))
         yield as_report(out)
 

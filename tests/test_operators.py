@@ -588,3 +588,15 @@ def test_tracks_are_folded_once(spark):
     wrong = spark.createDataFrame([(1, 0, 5, 0, 3, 0.0, 0.0, 9.0, 9.0, 0.9), (1, 0, 6, 1, 3, 0.0, 0.0, 9.0, 9.0, 0.9)], DETECTED)
     with pytest.raises(Exception, match="strictly increasing"):
         tracking.track(wrong, POLICY).collect()
+
+
+def test_a_long_stream_of_tracks_costs_its_frames(spark, tmp_path):
+    """A pandas frame for each frame of a source took some ten times as long."""
+    rows = some_boxes(spark, 1, 4000)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = folds.track_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), POLICY)
+    began = time.time()
+    out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    assert time.time() - began < 15
+    got, want = spark.read.schema(out.schema).parquet(str(tmp_path / "out")), tracking.track(rows, POLICY)
+    assert got.count() == want.count() > 4000 and got.exceptAll(want).count() == 0
