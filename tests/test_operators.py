@@ -600,3 +600,10 @@ def test_a_long_stream_of_tracks_costs_its_frames(spark, tmp_path):
     assert time.time() - began < 15
     got, want = spark.read.schema(out.schema).parquet(str(tmp_path / "out")), tracking.track(rows, POLICY)
     assert got.count() == want.count() > 4000 and got.exceptAll(want).count() == 0
+
+
+def test_annotations_make_reports_once(spark):
+    rows = some_boxes(spark, 2, 4)
+    shown = tracking.annotations(tracking.track(rows.where("det_index = 0"), POLICY), rows)
+    assert python_steps(shown)[1] == 1
+    assert sorted((r.det_index, r.state) for r in shown.where("source_id = 1").collect()) == [(0, "observed")] * 4 + [(1, "unassociated")] * 4
