@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .keyed import tasks_of
+
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -71,18 +73,31 @@ def post_nms(rows: DataFrame, classes: list[int]) -> DataFrame:
     return each.where(F.col("class_id").isin(classes)).withColumn("score", score)
 
 
-def pairs_of_class(boxes: DataFrame, on: list[str], numerator: int, denominator: int, cell: int = 64) -> DataFrame:
+def pairs_of_class(boxes: DataFrame, on: list[str], numerator: int, denominator: int, cell: int = 48) -> DataFrame:
     """Pairs (lower index first) of boxes equal in ``on`` that overlap enough.
 
-    Boxes join by the cells of a grid that they touch, so a key with very many boxes is
-    dealt over the grid. A pair counts in the cell of its common part's first corner alone.
+    Boxes join by cells of a grid, so a key with very many boxes is dealt over the
+    grid. Of an overlap of at least a share of both boxes the first corner lies within
+    the rest of each box's extent, so only that part of a box is laid on the grid. The
+    right box of a pair stands in its own column of cells, which can be narrow. A pair
+    counts in the cell of its common part's first corner alone.
     """
-    spread = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.greatest(F.floor(F.col(low) / cell), F.ceil(F.col(high) / cell) - 1)))
-    celled = boxes.withColumn("__cx", spread("x1", "x2")).withColumn("__cy", spread("y1", "y2"))
-    side = lambda p: celled.select(*on, "__cx", "__cy", *[F.col(c).alias(f"{p}_{c}") for c in ("idx", *BOX)])
-    home = (F.floor(F.greatest("a_x1", "b_x1") / cell) == F.col("__cx")) & (F.floor(F.greatest("a_y1", "b_y1") / cell) == F.col("__cy"))
-    met = side("a").join(side("b"), [*on, "__cx", "__cy"])
-    return met.where((F.col("a_idx") < F.col("b_idx")) & home & iou_at_least("a_", "b_", numerator, denominator)).drop("__cx", "__cy")
+    narrow, tasks = max(1, cell // 4), tasks_of(boxes.sparkSession)
+
+    def cells(low: str, high: str, width: int) -> Column:
+        rest = (F.col(high) - F.col(low)) * ((denominator - numerator) / denominator)
+        first, slack = F.floor(F.col(low) / width), 1e-9 * (F.abs(low) + F.abs(high))
+        return F.explode(F.sequence(first, F.greatest(first, F.floor((F.col(low) + rest + slack) / width))))
+
+    side = lambda rows, p: rows.select(*on, "__cx", "__cy", *[F.col(c).alias(f"{p}_{c}") for c in ("idx", *BOX)]).repartition(tasks, *on, "__cx", "__cy")
+    rows = boxes.withColumn("__cy", cells("y1", "y2", cell))
+    left, right = side(rows.withColumn("__cx", cells("x1", "x2", narrow)), "l"), side(rows.withColumn("__cx", F.floor(F.col("x1") / narrow)), "r")
+    ordered = (F.col("l_x1") < F.col("r_x1")) & (F.col("l_idx") != F.col("r_idx")) | (F.col("l_x1") == F.col("r_x1")) & (F.col("l_idx") < F.col("r_idx"))
+    home = F.floor(F.greatest("l_y1", "r_y1") / cell) == F.col("__cy")
+    met = left.join(right, [*on, "__cx", "__cy"]).where(ordered & iou_at_least("l_", "r_", numerator, denominator) & home)
+    lower = F.col("l_idx") < F.col("r_idx")
+    pick = lambda c, a, b: F.when(lower, F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}"))
+    return met.select(*on, *[pick(c, "l", "r").alias(f"a_{c}") for c in ("idx", *BOX)], *[pick(c, "r", "l").alias(f"b_{c}") for c in ("idx", *BOX)])
 
 
 def box_from_letterbox(box: dict[str, Column], content: tuple[Column, Column], original: tuple[Column, Column]) -> dict[str, Column]:

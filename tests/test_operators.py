@@ -607,3 +607,18 @@ def test_annotations_make_reports_once(spark):
     shown = tracking.annotations(tracking.track(rows.where("det_index = 0"), POLICY), rows)
     assert python_steps(shown)[1] == 1
     assert sorted((r.det_index, r.state) for r in shown.where("source_id = 1").collect()) == [(0, "observed")] * 4 + [(1, "unassociated")] * 4
+
+
+def test_box_pairs_of_any_share_and_place(spark):
+    """Whole and broken coordinates, indices not in the order of places, columns with the lower index first."""
+    draw = random.Random(67)
+    boxes = [(n % 2, n, x := draw.choice([draw.uniform(-90, 90), draw.randint(-3, 3) * 16.0]), y := draw.choice([draw.uniform(-90, 90), draw.randint(-3, 3) * 16.0]), x + draw.choice([16.0, draw.uniform(1, 150)]), y + draw.choice([16.0, draw.uniform(1, 150)])) for n in range(120)]
+    frame = spark.createDataFrame(boxes, "k int, idx int, x1 double, y1 double, x2 double, y2 double")
+    for share in (1, 3, 5, 9):
+        want = {(a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and 10 * tracking.iou(a[2:], b[2:]) >= share}
+        for cell in (7, 48):
+            found = geometry.pairs_of_class(frame, ["k"], share, 10, cell)
+            rows = [(r.a_idx, r.b_idx) for r in found.collect()]
+            assert len(rows) == len(set(rows)) and set(rows) == want
+            assert all(r.a_x1 == boxes[r.a_idx][2] and r.b_y2 == boxes[r.b_idx][5] for r in found.collect())
+    assert geometry.pairs_of_class(frame, ["k"], 3, 10)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 3  # two for left boxes, one for right ones
