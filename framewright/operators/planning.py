@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from . import ranges
+from .keyed import folded
 
 MAX_FRAMES = 120
 
@@ -42,17 +44,18 @@ def grouped_windows(windows: DataFrame, most: int = MAX_FRAMES) -> DataFrame:
     reach = F.max(F.col("first") + F.col("count")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     cut = windows.withColumn("apart", F.when(reach.isNull() | (F.col("first") > reach), 1).otherwise(0)).withColumn("stretch", F.sum("apart").over(order))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[int]] = []
-        for r in part.sort_values(["first", "count", "idx"]).itertuples():
-            begin, end = int(r.first), int(r.first) + int(r.count)
-            if groups and begin <= groups[-1][1] and max(end, groups[-1][1]) - groups[-1][0] <= most:
-                groups[-1][1:] = [max(end, groups[-1][1]), groups[-1][2] + 1]
+    def fold(part: Iterator[tuple]) -> Iterator[tuple]:
+        source, stretch, begin, count, _ = next(part)
+        end, n = begin + count, 1
+        for _, _, first, count, _ in part:
+            furthest = max(first + count, end)
+            if first <= end and furthest - begin <= most:
+                end, n = furthest, n + 1
             else:
-                groups.append([begin, end, 1])
-        source, stretch = int(part["source_id"].iloc[0]), int(part["stretch"].iloc[0])
-        return pd.DataFrame([(source, stretch, a, b - a, n) for a, b, n in groups], columns=["source_id", "stretch", "first", "count", "n_windows"])
+                yield source, stretch, begin, end - begin, n
+                begin, end, n = first, first + count, 1
+        yield source, stretch, begin, end - begin, n
 
-    folded = cut.select("source_id", "first", "count", "idx", "stretch").groupBy("source_id", "stretch").applyInPandas(fold, "source_id long, stretch long, first long, count long, n_windows long")
+    merged = folded(cut.select("source_id", "stretch", "first", "count", "idx"), ["source_id", "stretch"], ["first", "count", "idx"], fold, "source_id long, stretch long, first long, count long, n_windows long")
     number = F.row_number().over(Window.partitionBy("source_id").orderBy("stretch", "first")) - 1
-    return folded.select("source_id", number.cast("int").alias("group"), "first", "count", "n_windows")
+    return merged.select("source_id", number.cast("int").alias("group"), "first", "count", "n_windows")

@@ -622,3 +622,8 @@ def test_box_pairs_of_any_share_and_place(spark):
             assert len(rows) == len(set(rows)) and set(rows) == want
             assert all(r.a_x1 == boxes[r.a_idx][2] and r.b_y2 == boxes[r.b_idx][5] for r in found.collect())
     assert geometry.pairs_of_class(frame, ["k"], 3, 10)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 3  # two for left boxes, one for right ones
+
+
+def test_stretches_of_windows_are_no_calls_of_their_own(spark):
+    got = planning.grouped_windows(spark.createDataFrame([(s, 200 * n, 5, n) for s in range(3) for n in range(4)], "source_id long, first long, count long, idx int"))
+    assert python_steps(got) == (0, 1) and got.count() == 12
