@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .boundaries import reasons
+from .keyed import folded
 
 
 @dataclass
@@ -86,14 +87,12 @@ def lane_states(rows: DataFrame, max_gap: int, dwell: int) -> DataFrame:
     runs = reasons(rows, max_gap).withColumn("__run", F.sum(cuts).over(Window.partitionBy("source_id").orderBy("ordinal")))
     empty = runs.where("lane is null").select("source_id", "ordinal", F.lit("unknown").alias("status"), F.col("why").alias("reason"), F.lit(None).cast("string").alias("direction"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, lane = part.sort_values("ordinal"), LaneFold(dwell)
-        out = []
-        for r in part.itertuples():
-            reason = "start" if lane.last is None else r.reason if isinstance(r.reason, str) else None
-            status, change = lane.step(int(r.ordinal), int(r.pts), int(r.lane), bool(r.interior), reason is not None)
-            out.append((int(r.source_id), int(r.ordinal), status, "non_adjacent_or_incomplete" if status == "unknown" else reason, change["direction"] if change else None))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in STATES.split(", ")])
-
-    folded = runs.where("lane is not null").select("source_id", "ordinal", "pts", "lane", "interior", "reason", "__run").groupBy("source_id", "__run").applyInPandas(fold, STATES)
-    return folded.unionByName(empty)
+    def fold(part: Iterator[tuple]) -> Iterator[tuple]:
+        state = LaneFold(dwell)
+        for source, _, ordinal, pts, lane, interior, told in part:
+            reason = "start" if state.last is None else told
+            status, change = state.step(ordinal, pts, lane, interior, reason is not None)
+            yield source, ordinal, status, "non_adjacent_or_incomplete" if status == "unknown" else reason, change["direction"] if change else None
+
+    lanes = runs.where("lane is not null").select("source_id", "__run", "ordinal", "pts", "lane", F.coalesce("interior", F.lit(False)).alias("interior"), "reason")
+    return folded(lanes, ["source_id", "__run"], ["ordinal"], fold, STATES).unionByName(empty)

@@ -627,3 +627,10 @@ def test_box_pairs_of_any_share_and_place(spark):
 def test_stretches_of_windows_are_no_calls_of_their_own(spark):
     got = planning.grouped_windows(spark.createDataFrame([(s, 200 * n, 5, n) for s in range(3) for n in range(4)], "source_id long, first long, count long, idx int"))
     assert python_steps(got) == (0, 1) and got.count() == 12
+
+
+def test_lane_runs_are_no_calls_of_their_own(spark):
+    rows = spark.createDataFrame([(1, n, 10 * n, None if n % 3 == 2 else 1, True if n else None, "why") for n in range(9)], "source_id long, ordinal long, pts long, lane int, interior boolean, why string")
+    got = lanes_fold.lane_states(rows, 100, 5)
+    assert python_steps(got) == (0, 1)
+    assert [(r.status, r.reason) for r in got.orderBy("ordinal").collect()] == [("warming", "start"), ("warming", None), ("unknown", "why"), *[("warming", "start"), ("stable", None), ("unknown", "why")] * 2]
