@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from . import ranges
+from .keyed import folded
 
 
 def edges(truths: DataFrame, predictions: DataFrame, on: list[str], tolerance: int) -> DataFrame:
@@ -30,6 +32,7 @@ def assign(costs: np.ndarray) -> list[tuple[int, int]]:
     table[:, :m] = np.where(costs >= 0, costs, 4 * dear)
     for i in range(n):
         table[i, m + i] = dear
+    table = table.tolist()
     owner = [-1] * (m + n)
     row_price, col_price = [0] * n, [0] * (m + n)
     for start in range(n):
@@ -40,7 +43,7 @@ def assign(costs: np.ndarray) -> list[tuple[int, int]]:
             for j in range(m + n):
                 if done[j]:
                     continue
-                through = base + table[row, j] - row_price[row] - col_price[j]
+                through = base + table[row][j] - row_price[row] - col_price[j]
                 if reach[j] is None or through < reach[j]:
                     reach[j], back[j] = through, last
                 if best is None or reach[j] < reach[best]:
@@ -82,20 +85,27 @@ def best_matching(pairs: DataFrame, on: list[str]) -> DataFrame:
     pairs that cross cost as much in all as those that don't.
     """
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        truths, predictions = sorted(group.truth_id.unique()), sorted(group.prediction_id.unique())
+    n = len(on)
+
+    def solve(part: Iterator[tuple]) -> Iterator[tuple]:
+        rows = list(part)
+        truths, predictions = sorted({r[n + 1] for r in rows}), sorted({r[n + 2] for r in rows})
         row, column = {t: k for k, t in enumerate(truths)}, {p: k for k, p in enumerate(predictions)}
         costs = np.full((len(truths), len(predictions)), -1, dtype=object)
-        for t, p, c in zip(group.truth_id, group.prediction_id, group.cost):
-            costs[row[t], column[p]] = int(c)
-        first = {c: group[c].iloc[0] for c in on}
+        for r in rows:
+            costs[row[r[n + 1]], column[r[n + 2]]] = r[n + 3]
         dearest = int(costs.max()) ** 2 * len(truths) + 1  # more than all squares together
         ranked = np.where(costs >= 0, costs * dearest + costs**2, -1)
-        return pd.DataFrame([{**first, "truth_id": truths[i], "prediction_id": predictions[j], "cost": int(costs[i, j])} for i, j in assign(ranked)], columns=[*on, "truth_id", "prediction_id", "cost"])
+        for i, j in assign(ranked):
+            yield *rows[0][:n], truths[i], predictions[j], costs[i, j]
 
     fields = [f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in [*on, "truth_id", "prediction_id"]]
-    grouped = groups_of(pairs, on).select(*on, "matching_group", "truth_id", "prediction_id", "cost")
-    return grouped.groupBy(*on, "matching_group").applyInPandas(solve, ", ".join([*fields, "cost long"]))
+    columns = [*on, "truth_id", "prediction_id", "cost"]
+    # a pair alone in its group is its matching; only other groups go through Python
+    size = F.count(F.lit(1)).over(Window.partitionBy(*on, "matching_group"))
+    grouped = groups_of(pairs, on).select(*on, "matching_group", "truth_id", "prediction_id", F.col("cost").cast("long").alias("cost")).withColumn("__n", size)
+    several = folded(grouped.where("__n > 1").drop("__n"), [*on, "matching_group"], ["truth_id", "prediction_id"], solve, ", ".join([*fields, "cost long"]))
+    return several.select(*columns).unionByName(grouped.where("__n = 1").select(*columns))
 
 
 def metrics(truths: DataFrame, predictions: DataFrame, matches: DataFrame) -> DataFrame:

@@ -634,3 +634,10 @@ def test_lane_runs_are_no_calls_of_their_own(spark):
     got = lanes_fold.lane_states(rows, 100, 5)
     assert python_steps(got) == (0, 1)
     assert [(r.status, r.reason) for r in got.orderBy("ordinal").collect()] == [("warming", "start"), ("warming", None), ("unknown", "why"), *[("warming", "start"), ("stable", None), ("unknown", "why")] * 2]
+
+
+def test_groups_of_a_matching_are_no_calls_of_their_own(spark):
+    pairs = spark.createDataFrame([(1, 1, 1, 0, 0, 1, 1), (1, 2, 2, 50, 50, 51, 1), (1, 2, 3, 50, 50, 53, 3), (1, 3, 3, 54, 54, 53, 1)], "k int, truth_id long, prediction_id long, earliest long, latest long, at long, cost long")
+    got = evaluation.best_matching(pairs, ["k"])
+    assert python_steps(got) == (0, 1)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, 1), (1, 2, 2, 1), (1, 3, 3, 1)]
