@@ -641,3 +641,17 @@ def test_groups_of_a_matching_are_no_calls_of_their_own(spark):
     got = evaluation.best_matching(pairs, ["k"])
     assert python_steps(got) == (0, 1)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 1, 1), (1, 2, 2, 1), (1, 3, 3, 1)]
+
+
+def test_parts_are_placed_many_at_once(monkeypatch):
+    """Fractions only where long doubles can't tell; all as fractions give them."""
+    draw, calls, one = random.Random(61), [], sql.placed
+    number = lambda: draw.choice([float(draw.randint(-50, 900)), draw.uniform(-50, 900), draw.randint(-50, 900) / 10])
+    rows = [(draw.choice([0.0, 90.0, 180.0, 270.0]), float(draw.choice([64, 63, 7])), float(draw.choice([32, 31])), [number() for _ in range(4)], [number() for _ in range(4)]) for _ in range(2000)]
+    want = [one(*r) for r in rows]
+    monkeypatch.setattr(sql, "placed", lambda *r: calls.append(r) or one(*r))
+    assert [tuple(r) for r in sql.placed_rows(*map(np.array, zip(*rows))).tolist()] == want and len(calls) < 600
+    empty = sql.placed_rows(np.array([90.0]), np.array([64.0]), np.array([32.0]), np.array([[0.0, 0.0, 9.0, np.nan]]), np.array([[0.0, 0.0, 1.0, 1.0]]))
+    assert np.isnan(empty).all()
+    with pytest.raises(KeyError):
+        sql.placed_rows(*map(np.array, ([45.0], [64.0], [32.0], [[0.0, 0.0, 9.0, 9.0]], [[0.0, 0.0, 1.0, 1.0]])))
